@@ -4,8 +4,8 @@ A text becomes a normalised vector of hashed letter n-grams (one to three UTF-8
 lower-cased text, with everything but letters as one separator), weighted by log(1 + tf) and by
 inverse document frequencies counted over all training rows. Each language has several centroids, clustered by
 spherical k-means on a bounded sample of its rows. A text gets the language of the centroid of the
-greatest cosine; it is rejected if that cosine is less than almost every training text of that
-language has.
+greatest cosine; it is rejected if that cosine is far less than almost every training text of that
+language has, as far as a text of its length can reach it.
 
 Defined results: a null text, or one without a letter, gets ``und``, score 0 and is rejected, and
 so does every text if there is no training row; ties go to the language that sorts first; repeated
@@ -29,8 +29,9 @@ from tidewright.llm.common import bounded_batches, utf8
 DIMENSIONS = 4096
 CENTROIDS = 4
 SAMPLE_ROWS = 400
-#: A text is rejected under this share of the cosine that all but this quantile of the sample reach.
-REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.01
+#: A text is rejected under this share of the cosine that all but this quantile of the sample reach;
+#: texts of fewer distinct n-grams than the third can reach less, in proportion to the root.
+REJECT_SHARE, REJECT_QUANTILE, FULL_GRAMS = 0.5, 0.01, 2000
 UNKNOWN = "und"
 
 #: Bytes that are no part of a letter: ASCII but letters. Other bytes are kept, as letters of all scripts have them.
@@ -81,11 +82,13 @@ class CentroidModel:
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, cosine, rejected) of each text."""
-        cos = _unit(vectors(texts) * self.idf) @ self.centroids.T
+        x = vectors(texts)
+        reach = np.sqrt(np.minimum(1.0, np.count_nonzero(x, axis=1) / FULL_GRAMS))
+        cos = _unit(x * self.idf) @ self.centroids.T
         best = cos.argmax(1)
         score = np.clip(cos[np.arange(len(best)), best], 0, 1).astype(float)
         lang = self.owners[best]
-        return lang, score, score < self.least[lang]
+        return lang, score, score < self.least[lang] * reach
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
