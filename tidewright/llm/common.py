@@ -109,3 +109,76 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             held = [batch.slice(last)]
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+_BYTE = np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[ord(c) for c in SPACE_CHARS]] = True
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(n + n // 4, base, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text) of UTF-8 texts that lie one after another.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, finished by ``mix``; all words of a
+    batch are hashed at once from prefix sums. Equal words have equal hashes in every batch.
+    """
+    n = len(raw)
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    inside = ~_IS_SPACE[raw]
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    start = inside & first[:n]
+    start[1:] |= inside[1:] & ~inside[:-1]
+    end = inside & first[1:]
+    end[-1] = inside[-1]
+    end[:-1] |= inside[:-1] & ~inside[1:]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    up, down = _power_tables(n + 1)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    return mix(h), np.searchsorted(starts, offsets)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does when their handles are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, label) of the connected components of (a, b) edges; the label is the least node.
+
+    Labels spread along edges and jump to their label's label, a logarithmic number of rounds; each
+    round is checkpointed.
+    """
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
+    for _ in range(most_rounds):
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        spread = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        parent = labels.select(F.col("node").alias("up"), F.col("label").alias("higher"))
+        new = cut(spread.join(parent, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", F.coalesce("higher", "label")).alias("label")))
+        changed = new.where("old <> label").limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return labels

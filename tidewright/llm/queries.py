@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import html_extract, language_id, packing, secret_scan, sharding, url_filter
+from tidewright.llm import html_extract, language_id, packing, secret_scan, sharding, substring_dedup, url_filter
 from tidewright.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op5_html_extraction, op6_url_filters, op8_language_id, op9_secret_scans, op10_best_fit_packing)
+    f.__name__: f for f in (op4_sharding, op5_html_extraction, op6_url_filters, op7_substring_dedup, op8_language_id, op9_secret_scans, op10_best_fit_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a text, as DuckDB reads them.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": f"""
+        WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM docs),
+        windows AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS w FROM starts),
+        ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS r FROM windows),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM ranked WHERE r > 1),
+        gone AS (SELECT doc_id, list(j) AS js FROM covered GROUP BY doc_id),
+        words AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM docs),
+        kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.j) AS text
+                 FROM words w ANTI JOIN covered c ON w.doc_id = c.doc_id AND w.j = c.j GROUP BY w.doc_id)
+        SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(len(g.js), 0)::BIGINT AS n_removed,
+               sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM docs d LEFT JOIN gone g ON g.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+    """,
+}
