@@ -30,11 +30,12 @@ from tidewright.llm.common import bounded_batches, cut
 CAPACITY = 4096
 END_ID = 1
 #: Entries of the cache of encoded words in one Python worker.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 #: Pieces in one cell of ranks, about, and cells of a length at most.
 CELL_PIECES, MOST_CELLS = 50_000, 64
 
-_CHUNKS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Latin letters whose lower case is one letter and that normalisation leaves alone, then signs: two units to the tokenizer.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|()\"-]*)")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -42,16 +43,21 @@ class WordEncoder:
     """Token ids of a text, as little-endian unsigned 32-bit bytes, from a cache of its words.
 
     The tokenizer's pattern never matches white space and its normaliser only turns runs of it into
-    one, so the ids of a text are those of its white-space-separated words, one after another. Texts
-    with special tokens in them, which the tokenizer looks for first, are encoded whole.
+    one, so the ids of a text are those of its white-space-separated words, one after another. Words
+    not seen yet are encoded many at a time: the last token of a unit is marked in the vocabulary.
+    Texts with special tokens in them, which the tokenizer looks for first, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.units: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -59,24 +65,48 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split = [_CHUNKS.findall(t) if t and not any(s in t for s in self.special) else [] for t in texts]
-        missing = list({w for words in split for w in words} - self.known.keys())
-        fresh = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, "<u4").tobytes()
-        if len(self.known) + len(fresh) <= CACHE_ENTRIES:
-            self.known.update(fresh)
-            look = self.known.__getitem__
-        else:  # the cache is full: the words of this batch are looked up beside it
-            known = self.known
-            look = lambda w: known.get(w) or fresh.get(w, b"")
-        out = [b"".join(map(look, words)) for words in split]
-        for i, t in enumerate(texts):
-            if t and not split[i]:
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_units(self, units: list[str]) -> None:
+        for at in range(0, len(units), 1000):
+            part = units[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(part) and (not ends or ends[-1] == len(ids)):
+                raw = ids.tobytes()
+                self.units.update(zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends))))
+            else:
+                self.units.update((u, self._whole(u)) for u in part)
+
+    def _encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out, simple, cores, signs = {}, [], [], []
+        for w in words:
+            text = w.decode()
+            if m := _SIMPLE.fullmatch(text):
+                simple.append(w), cores.append(m[1].lower()), signs.append(m[2])
+            else:
+                out[w] = self._whole(text)
+        self._learn_units(sorted({*cores, *signs} - self.units.keys()))
+        units = self.units
+        out.update(zip(simple, map(bytes.__add__, map(units.__getitem__, cores), map(units.__getitem__, signs))))
+        if len(units) > CACHE_ENTRIES:
+            self.units = {"": b""}
+        return out
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        whole = {i: self._whole(t.decode()) for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        # bytes.split() splits at ASCII white space alone
+        split = [t.split() if t and i not in whole else [] for i, t in enumerate(texts)]
+        known = self.known
+        fresh = self._encode_words(set().union(*split) - known.keys())
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for i, ids in whole.items():
+            out[i] = ids
+        if len(known) > CACHE_ENTRIES:  # frequent words have come first and stay
+            for w in fresh:
+                del known[w]
         return out
 
 
@@ -92,13 +122,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path, end = tokenizer or default_tokenizer(), np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # the caches have no cycles, and searching them for some costs more than encoding
         encoder = WordEncoder.of(path)
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").to_pylist())):
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").cast(pa.binary()).to_pylist())):
                 tokens += end
                 for k, at in enumerate(range(0, len(tokens), 4 * capacity)):
                     part = tokens[at : at + 4 * capacity]
