@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import html_extract, language_id, packing, secret_scan, sharding, substring_dedup, url_filter
+from tidewright.llm import html_extract, language_id, packing, quality_rules, secret_scan, sharding, substring_dedup, url_filter
 from tidewright.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op5_html_extraction, op6_url_filters, op7_substring_dedup, op8_language_id, op9_secret_scans, op10_best_fit_packing)
+    f.__name__: f for f in (op1_quality_rules, op4_sharding, op5_html_extraction, op6_url_filters, op7_substring_dedup, op8_language_id, op9_secret_scans, op10_best_fit_packing)
 }
 
 #: Words of a text, as DuckDB reads them.
