@@ -28,7 +28,9 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 THRESHOLD = 0.5
 #: EM: beginning share of good documents, beginning accuracy of a rule on good and on bad documents (most rules
 #: see one kind of bad document only), pseudo-votes that hold an accuracy at its beginning, rounds.
-PRIOR_GOOD, BEGIN_ACCURACY, PSEUDO_VOTES, ROUNDS = 0.9, (0.98, 0.3), 20.0, 60
+PRIOR_GOOD, BEGIN_ACCURACY, PSEUDO_VOTES, ROUNDS = 0.9, (0.99, 0.3), 20.0, 60
+#: The rules are made to vote bad on so few good documents; EM holds their accuracy on good ones within.
+LEAST_ON_GOOD, MOST_ACCURACY = 0.99, 0.999
 
 SYMBOLS = "[#*$%&|<>]+"
 
@@ -87,12 +89,13 @@ def rules() -> dict[str, tuple[Column, Column]]:
     letters = F.col("word_chars") / n
     symbols, upper = F.col("n_symbols") / n, F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))
     repeats, dups = F.col("n_repeat_words") / n, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
-    variety = F.col("n_distinct") / n
+    variety, share = F.col("n_distinct") / n, F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))
     return {
         "length": (F.col("n_words") >= 50, F.col("n_words") < LEAST_WORDS),
         "repetition": (repeats <= 0.02, repeats > 0.3),
         "symbols": (symbols <= 0.05, symbols > 0.25),
-        "duplicate_lines": (dups == 0, dups > 0.3),
+        "symbol_share": (share <= 0.01, share > 0.06),
+        "duplicate_lines": (dups == 0, dups > 0.5),
         "word_length": (letters.between(3, 12), (letters < 2) | (letters > 20)),
         "upper_case": (upper <= 0.12, upper > 0.3),
         "variety": (variety >= 0.3, variety < 0.1),
@@ -131,8 +134,8 @@ def fit(patterns: list[tuple[dict[str, int], int]], names: list[str]) -> Trust:
             cast = [(p * n, (1 - p) * n, v[r]) for p, (v, n) in zip(posterior, patterns) if v[r]]
             on_good = (sum(g for g, _, v in cast if v > 0) + BEGIN_ACCURACY[0] * PSEUDO_VOTES) / (sum(g for g, _, _ in cast) + PSEUDO_VOTES)
             on_bad = (sum(b for _, b, v in cast if v < 0) + BEGIN_ACCURACY[1] * PSEUDO_VOTES) / (sum(b for _, b, _ in cast) + PSEUDO_VOTES)
-            on_good = min(0.999, max(0.501, on_good))
-            accuracy[r] = on_good, min(0.999, max(1.001 - on_good, on_bad))
+            on_good = min(MOST_ACCURACY, max(LEAST_ON_GOOD, on_good))
+            accuracy[r] = on_good, min(MOST_ACCURACY, max(1.001 - on_good, on_bad))
         trust = Trust(min(0.999, max(0.001, (good + PRIOR_GOOD * PSEUDO_VOTES) / (total + PSEUDO_VOTES))), accuracy)
     return trust
 
