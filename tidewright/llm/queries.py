@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, html_extract, language_id, packing, quality_rules, secret_scan, sharding, substring_dedup, url_filter
+from tidewright.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, secret_scan, sharding, substring_dedup, url_filter
 from tidewright.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_benchmark_decontamination, op4_sharding, op5_html_extraction, op6_url_filters, op7_substring_dedup, op8_language_id, op9_secret_scans, op10_best_fit_packing)
+    f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_sharding, op5_html_extraction, op6_url_filters, op7_substring_dedup, op8_language_id, op9_secret_scans, op10_best_fit_packing)
 }
 
 #: Words of a text, as DuckDB reads them.
