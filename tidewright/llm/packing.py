@@ -14,6 +14,7 @@ then copy; repeated rows are packed each, as copies of their own; other columns
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from tidewright.llm.common import bounded_batches, cut
 CAPACITY = 4096
 END_ID = 1
 #: Entries of the cache of encoded words in one Python worker.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Pieces in one cell of ranks, about, and cells of a length at most.
 CELL_PIECES, MOST_CELLS = 50_000, 64
 
@@ -99,8 +100,12 @@ class WordEncoder:
         # bytes.split() splits at ASCII white space alone
         split = [t.split() if t and i not in whole else [] for i, t in enumerate(texts)]
         known = self.known
-        fresh = self._encode_words(set().union(*split) - known.keys())
-        known.update(fresh)
+        gc.disable()  # the caches have no cycles, and searching them for some costs more than encoding
+        try:
+            fresh = self._encode_words(set().union(*split) - known.keys())
+            known.update(fresh)
+        finally:
+            gc.enable()
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for i, ids in whole.items():
             out[i] = ids
@@ -122,11 +127,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path, end = tokenizer or default_tokenizer(), np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # the caches have no cycles, and searching them for some costs more than encoding
         encoder = WordEncoder.of(path)
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
