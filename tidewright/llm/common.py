@@ -158,8 +158,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs, which it does when their handles are collected."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # handles of Python's objects first, then what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -155,11 +155,13 @@ def _final(documents: DataFrame, window: int, with_text: bool) -> DataFrame:
     docs = documents.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.col("doc_id"), "text")
     texts = docs.select("id", "text")
     info = _per_document(texts, window)
-    windows = texts.join(info, "id", "left").mapInArrow(_candidates(window), "id long, h long")
+    # one shuffle of the texts serves both uses below: the plans are the same up to here
+    both = docs.join(info, "id", "left")
+    windows = both.mapInArrow(_candidates(window), "id long, h long")
     firsts = cut(windows.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"))
     release(spark)
     later = windows.join(firsts, "h").where("id > first").groupBy("id").agg(F.collect_list("h").alias("repeated"))
-    joined = docs.join(info.select("id", "copy"), "id", "left").join(later, "id", "left").select("doc_id", "text", "copy", "repeated")
+    joined = both.join(later, "id", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_cleaned(window, with_text), schema)
 
