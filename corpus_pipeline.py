@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import language_id, packing, secret_scan
+from tidewright.llm import decontaminate, jaccard_join, language_id, packing, secret_scan
 from tidewright.llm.common import table
 
 
@@ -13,17 +13,30 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return language_id.accepted(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of least doc_id stays."""
+    return jaccard_join.representatives(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, as it is or re-parameterised, go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; no document goes."""
     return secret_scan.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Planned sequences of at most 4096 tokens, a row per piece."""
     return packing.pack(docs)
 
 
 STAGES = [
     ("language ID", keep_known_languages),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
     ("secret scans", mask_secrets),
     ("best-fit packing", pack_sequences),
 ]
