@@ -292,6 +292,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of least doc_id of their class, with their own columns; of repeated rows one stays."""
+    """The documents of least doc_id of their class, with their own columns; of rows equal in doc_id and text one stays."""
     kept = join(docs, threshold).where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    unique = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
+    return rows if unique else rows.dropDuplicates(["doc_id", "text"])

@@ -12,10 +12,13 @@ Positions are code points, ends exclusive. Whole texts are scanned, however long
 
 from __future__ import annotations
 
+import builtins
 import hashlib
+import keyword
 import random
 import re
 import string
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,9 +111,10 @@ def random_strings(n: int = SAMPLE_STRINGS, seed: int = 20) -> list[str]:
 
 
 def identifiers(words: list[str], seed: int = 21) -> list[str]:
-    """Labelled sample of ordinary identifiers: words alone, words joined in the usual styles, plain numbers."""
+    """Labelled sample of ordinary identifiers: words and the names of Python's own library, alone and joined in the usual styles, and plain numbers."""
     draw = random.Random(seed)
-    words = words or ["the", "value", "user", "name", "count", "index"]
+    names = {n.strip("_") for n in [*dir(builtins), *dir(str), *dir(random), *sys.stdlib_module_names, *keyword.kwlist]}
+    words = [*words, *sorted(n for n in names if n.isascii() and len(n) > 1)]
     out = list(words)
     for i in range(min(20_000, 4 * len(words))):
         parts = draw.choices(words, k=draw.randint(2, 4))
