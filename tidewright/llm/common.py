@@ -128,15 +128,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text) of UTF-8 texts that lie one after another.
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of each word of UTF-8 texts that lie one after another.
 
     A word's hash is a polynomial of its bytes modulo 2**64, finished by ``mix``; all words of a
     batch are hashed at once from prefix sums. Equal words have equal hashes in every batch.
     """
     n = len(raw)
     if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     inside = ~_IS_SPACE[raw]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
@@ -151,7 +151,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     sums[0] = 0
     np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-    return mix(h), np.searchsorted(starts, offsets)
+    return mix(h), starts, ends
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text)."""
+    h, starts, _ = word_spans(raw, offsets)
+    return h, np.searchsorted(starts, offsets)
 
 
 def release(spark: SparkSession) -> None:

@@ -14,7 +14,6 @@ then copy; repeated rows are packed each, as copies of their own; other columns
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import bounded_batches, cut
+from tidewright.llm.common import bounded_batches, cut, utf8, word_spans
 
 CAPACITY = 4096
 END_ID = 1
 #: Entries of the cache of encoded words in one Python worker.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_500_000
 #: Pieces in one cell of ranks, about, and cells of a length at most.
-CELL_PIECES, MOST_CELLS = 50_000, 64
+CELL_PIECES, MOST_CELLS = 5_000, 64
 
 #: Latin letters whose lower case is one letter and that normalisation leaves alone, then signs: two units to the tokenizer.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|()\"-]*)")
@@ -41,24 +40,26 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids of a text, as little-endian unsigned 32-bit bytes, from a cache of its words.
+    """Token ids of texts, from a cache of the ids of words.
 
     The tokenizer's pattern never matches white space and its normaliser only turns runs of it into
     one, so the ids of a text are those of its white-space-separated words, one after another. Words
-    not seen yet are encoded many at a time: the last token of a unit is marked in the vocabulary.
-    Texts with special tokens in them, which the tokenizer looks for first, are encoded whole.
+    are looked up by 64-bit hash, a batch at a time; those not seen yet are encoded many at a time,
+    as the last token of a unit is marked in the vocabulary. Texts with special tokens in them,
+    which the tokenizer looks for first, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {"": b""}
+        self.entries = entries
+        self.hashes, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.pool, self.used = np.empty(0, np.uint32), 0
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -69,49 +70,61 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_units(self, units: list[str]) -> None:
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        out = {"": b""}
         for at in range(0, len(units), 1000):
             part = units[at : at + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(part) and (not ends or ends[-1] == len(ids)):
                 raw = ids.tobytes()
-                self.units.update(zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends))))
+                out.update(zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends))))
             else:
-                self.units.update((u, self._whole(u)) for u in part)
-
-    def _encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
-        out, simple, cores, signs = {}, [], [], []
-        for w in words:
-            text = w.decode()
-            if m := _SIMPLE.fullmatch(text):
-                simple.append(w), cores.append(m[1].lower()), signs.append(m[2])
-            else:
-                out[w] = self._whole(text)
-        self._learn_units(sorted({*cores, *signs} - self.units.keys()))
-        units = self.units
-        out.update(zip(simple, map(bytes.__add__, map(units.__getitem__, cores), map(units.__getitem__, signs))))
-        if len(units) > CACHE_ENTRIES:
-            self.units = {"": b""}
+                out.update((u, self._whole(u)) for u in part)
         return out
 
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        whole = {i: self._whole(t.decode()) for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        # bytes.split() splits at ASCII white space alone
-        split = [t.split() if t and i not in whole else [] for i, t in enumerate(texts)]
-        known = self.known
-        gc.disable()  # the caches have no cycles, and searching them for some costs more than encoding
-        try:
-            fresh = self._encode_words(set().union(*split) - known.keys())
-            known.update(fresh)
-        finally:
-            gc.enable()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for i, ids in whole.items():
-            out[i] = ids
-        if len(known) > CACHE_ENTRIES:  # frequent words have come first and stay
-            for w in fresh:
-                del known[w]
+    def _words(self, words: list[str]) -> list[bytes]:
+        simple = [_SIMPLE.fullmatch(w) for w in words]
+        cores, signs = [m[1].lower() if m else "" for m in simple], [m[2] if m else "" for m in simple]
+        units = self._units(sorted({*cores, *signs} - {""}))
+        return [units[c] + units[s] if m else self._whole(w) for m, c, s, w in zip(simple, cores, signs, words)]
+
+    def _places(self, hashes: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in the pool of the ids of distinct words; ``spell`` gives the texts of those at some indices."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        start, size = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int32)
+        start[known], size[known] = self.start[at[known]], self.size[at[known]]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            found = self._words(spell(missing))
+            new = np.frombuffer(b"".join(found), "<u4")
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            if self.used + len(new) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(new), self.used // 4), np.uint32)])
+            self.pool[self.used : self.used + len(new)] = new
+            start[missing], size[missing] = self.used + np.cumsum(sizes) - sizes, sizes
+            if len(self.hashes) + len(missing) <= self.entries:  # else frequent words have come first and stay
+                order = np.argsort(both := np.concatenate([self.hashes, hashes[missing]]), kind="stable")
+                self.hashes, self.start, self.size = both[order], np.concatenate([self.start, start[missing]])[order], np.concatenate([self.size, size[missing]])[order]
+                self.used += len(new)
+        return start, size
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        raw, offsets = utf8(texts)
+        hashes, begins, ends = word_spans(raw, offsets)
+        one, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        start, size = self._places(one, lambda at: [data[i:j].decode() for i, j in zip(begins[example[at]].tolist(), ends[example[at]].tolist())])
+        sizes = size[which].astype(np.int64)
+        done = np.cumsum(sizes)
+        ids = self.pool[np.repeat(start[which] - (done - sizes), sizes) + np.arange(int(done[-1]) if len(done) else 0)].astype("<u4")
+        bounds = np.concatenate([[0], done])[np.searchsorted(begins, offsets)]
+        out = [ids[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        if any(s.encode() in data for s in self.special):
+            for i, t in enumerate(texts.to_pylist()):
+                if t and any(s in t for s in self.special):
+                    out[i] = self._whole(t)
         return out
 
 
@@ -133,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         encoder = WordEncoder.of(path)
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").cast(pa.binary()).to_pylist())):
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"))):
                 tokens += end
                 for k, at in enumerate(range(0, len(tokens), 4 * capacity)):
                     part = tokens[at : at + 4 * capacity]
