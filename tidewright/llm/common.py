@@ -30,15 +30,37 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """This session's folder in the shared checkpoint folder."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, in the shared checkpoint folder; later stages survive lost executors."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Staged:
+    """A DataFrame computed once into Parquet in the shared checkpoint folder, smaller than a checkpoint's rows; ``drop`` deletes it."""
+
+    def __init__(self, df: DataFrame):
+        import uuid
+
+        self.spark = df.sparkSession
+        self.path = f"{checkpoint_dir(self.spark)}/staged-{uuid.uuid4()}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_of(text: Column) -> Column:
     """Array of words of a text; an empty array for null, empty and blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

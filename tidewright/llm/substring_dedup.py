@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, cut, longs, mix, release, utf8, window_hashes, word_hashes
+from tidewright.llm.common import Staged, bounded_batches, cut, longs, mix, release, utf8, window_hashes, word_hashes
 
 WINDOW = 20
 #: Rounds of naming pairs, and the most words that a pair may stand for.
@@ -155,13 +155,12 @@ def _final(documents: DataFrame, window: int, with_text: bool) -> DataFrame:
     docs = documents.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.col("doc_id"), "text")
     texts = docs.select("id", "text")
     info = _per_document(texts, window)
-    # one shuffle of the texts serves both uses below: the plans are the same up to here
-    both = docs.join(info, "id", "left")
-    windows = both.mapInArrow(_candidates(window), "id long, h long")
+    windows = Staged(texts.join(info, "id", "left").mapInArrow(_candidates(window), "id long, h long")).rows
+    release(spark)
     firsts = cut(windows.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"))
     release(spark)
     later = windows.join(firsts, "h").where("id > first").groupBy("id").agg(F.collect_list("h").alias("repeated"))
-    joined = both.join(later, "id", "left")
+    joined = docs.join(info.select("id", "copy"), "id", "left").join(later, "id", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_cleaned(window, with_text), schema)
 
@@ -187,7 +186,8 @@ def _per_document(texts: DataFrame, window: int) -> DataFrame:
             ids = np.asarray(batch.column("id"), np.int64)[b.docs[chosen]]
             yield pa.RecordBatch.from_arrays([pa.array(name[chosen].view(np.int64)), pa.array(ids), pa.array(times.astype(np.int64))], names=["key", "id", "n"])
 
-    found = texts.mapInArrow(emit, "key long, id long, n long")
+    staged = Staged(texts.mapInArrow(emit, "key long, id long, n long"))
+    found = staged.rows
     keys = cut(found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     release(texts.sparkSession)
     shared = found.select("key", "id").join(keys, "key").groupBy("id").agg(F.collect_list("key").alias("keys")).withColumn("copy", F.lit(False))
@@ -195,6 +195,7 @@ def _per_document(texts: DataFrame, window: int) -> DataFrame:
     copied = cut(digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("digest", "first"))
     copies = digests.join(copied, "digest").where("id > first").select("id").distinct()
     info = cut(shared.join(copies.withColumn("again", F.lit(True)), "id", "full").select("id", "keys", F.coalesce("again", F.lit(False)).alias("copy")))
+    staged.drop()
     release(texts.sparkSession)
     return info
 
