@@ -155,12 +155,9 @@ def coverage(keep: list[tuple[int, str, float]], vectors: dict[int, np.ndarray],
     if known and k > 0:
         x = np.array([vectors[r[0]] for r in known])
         score = quality_weight * np.array([r[2] for r in known])
-        sq = (x * x).sum(1)
 
         def similarity(i: int) -> np.ndarray:
-            s = -np.sqrt(np.maximum(0, sq + sq[i] - 2 * x @ x[i]))
-            s[i] = 0
-            return s
+            return -np.linalg.norm(x - x[i], axis=1)
 
         # nothing is covered yet, every gain is infinite: the first in keep order
         covered, left = similarity(0), np.ones(len(known), bool)

@@ -168,12 +168,12 @@ def fingerprints(frames: DataFrame, features: list[str]) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
         h = hashlib.sha256()
-        for k in keys:
+        for i, k in enumerate(keys):
             h.update(k.encode())
-            h.update(np.ascontiguousarray(np.array(pdf[k].tolist(), dtype=kinds[k])).tobytes())
+            h.update(np.ascontiguousarray(np.array(pdf[f"k{i}"].tolist(), dtype=kinds[k])).tobytes())
         return pd.DataFrame({"episode_index": [pdf["episode_index"].iloc[0]], "fingerprint": [h.hexdigest()]})
 
-    return frames.select("episode_index", "step", *(F.col(f"`{k}`") for k in keys)).groupBy("episode_index").applyInPandas(one, "episode_index long, fingerprint string")
+    return frames.select("episode_index", "step", *(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).groupBy("episode_index").applyInPandas(one, "episode_index long, fingerprint string")
 
 
 def dataset_hash(prints: DataFrame) -> str:
