@@ -389,3 +389,37 @@ def test_window_hashes_tell_order_and_length():
 
 def test_html_unescape_is_used():
     assert html.unescape("&amp") == "&" and html_extract.extract("<p>a&amp b</p>", {}) == "a& b"
+
+
+def test_other_columns_and_narrow_ids_do_no_harm(spark):
+    rows = [(i, f"{' '.join(make_words(i, 40))} token = {'a1' * 20}", "en", None, i, "x", True, 0.5, None) for i in range(6)] + [(None, None, None, None, None, None, None, None, None), (2, None, "en", "s", 1, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, kept_id string, row int, items string, rejected boolean, score double, class_id array<int>")
+    items = spark.createDataFrame([(1, " ".join(make_words(1, 30)), 3)], "item_id int, text string, doc_id int")
+    for got in (quality_rules.judge(docs), jaccard_join.join(docs), sharding.shard(docs), language_id.identify(docs), secret_scan.scan(docs), packing.pack(docs), substring_dedup.remove_repeats(docs)):
+        assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in rows)
+    assert [r.doc_id for r in decontaminate.leaks(docs, items).collect()] == [1]
+    for kept in (jaccard_join.representatives(docs), decontaminate.without_leaks(docs, items), language_id.accepted(docs), secret_scan.redact(docs)):
+        assert kept.schema == docs.schema or kept.columns == docs.columns
+        assert kept.count() >= 5
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    base = make_words(70, 120)
+    texts = {i: " ".join(make_words(100 + i, 80)) for i in range(30)}
+    texts |= {40: " ".join(base), 41: " ".join(base[:-1]), 42: " ".join(make_words(71, 20) + make_words(50, 25)), 43: "!!!", 44: None, 45: texts[3] + " api_key = Zx81kLmQ0pR7vWtY2nBc"}
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(make_words(50, 25)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    assert set(texts) - set(kept["language ID"]) == {43, 44}
+    assert set(kept["language ID"]) - set(kept["n-gram Jaccard join"]) == {41, 45}
+    assert set(kept["n-gram Jaccard join"]) - set(kept["benchmark decontamination"]) == {42}
+    assert set(kept["secret scans"]) == set(kept["benchmark decontamination"])
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == set(range(30)) | {40} and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)

@@ -61,6 +61,11 @@ class Staged:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def chosen(column: str, share: float) -> Column:
+    """Whether the hash of a value falls into this share of all hashes."""
+    return F.pmod(F.xxhash64(column), F.lit(2**30)) < int(share * 2**30)
+
+
 def words_of(text: Column) -> Column:
     """Array of words of a text; an empty array for null, empty and blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -240,7 +240,7 @@ def _by_join(docs: DataFrame, items: DataFrame, width: int, least: int) -> DataF
 def _leaks(rows: DataFrame, benchmark: DataFrame, width: int, least: int, index_windows: int) -> DataFrame:
     """(row, item_id, n_windows) of (row, text) rows."""
     bounded_batches(rows.sparkSession)
-    items = benchmark.select(F.col("item_id").alias("row"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("row"), "text")
     # an item has no more windows than its text has white space and one
     bound = items.agg(F.sum(F.length(F.coalesce("text", F.lit("")))), F.count("*")).first()
     if (bound[0] or 0) / 2 + bound[1] <= index_windows:
@@ -251,7 +251,7 @@ def _leaks(rows: DataFrame, benchmark: DataFrame, width: int, least: int, index_
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST_WINDOWS, index_windows: int = INDEX_WINDOWS) -> DataFrame:
     """One row per contaminated document: doc_id, n_windows, items (ids, ascending, comma-joined). Documents without id are left out."""
-    found = _leaks(docs.select(F.col("doc_id").alias("row"), "text").where("row is not null"), benchmark, width, least, index_windows)
+    found = _leaks(docs.select(F.col("doc_id").cast("long").alias("row"), "text").where("row is not null"), benchmark, width, least, index_windows)
     # a repeated document has its items and windows once
     once = found.groupBy("row", "item_id").agg(F.max("n_windows").alias("n"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",")

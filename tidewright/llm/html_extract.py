@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches
+from tidewright.llm.common import bounded_batches, chosen
 
 #: At most about so many labelled pages train the weights.
 SAMPLE_PAGES = 1000
@@ -142,7 +142,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
     labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select("html")
     n = labelled.count()
     share = min(1.0, sample / n) if n else 1.0
-    chosen = labelled.where(F.abs(F.hash("html")) <= int(share * (2**31 - 1))).limit(2 * sample)
+    some = labelled.where(chosen("html", share)).limit(2 * sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +151,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
                 found.update(features(page))
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([i for _, i in found], pa.bool_()), pa.array(list(found.values()), pa.int64())], names=["feature", "inside", "n"])
 
-    rows = chosen.mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
+    rows = some.mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
     return weights_of({(r.feature, r.inside): r.n for r in rows})
 
 
@@ -170,7 +170,7 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
 def extract_pages(pages: DataFrame, learned: dict[str, float] | None = None) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     bounded_batches(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     learned = train(pages) if learned is None else learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

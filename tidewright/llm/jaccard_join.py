@@ -40,8 +40,8 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 #: MinHash values compared at a time, and the posterior probability under which a pair is dropped.
 CHUNK, TOLERANCE = 20, 1e-6
-#: Documents in a block, and bytes of text in a block of verification, about.
-BLOCK, BLOCK_BYTES = 1024, 8_000_000
+#: Documents in a block of comparison and of verification, and bytes of text in the latter, about.
+BLOCK, VERIFY_BLOCK, BLOCK_BYTES = 1024, 256, 8_000_000
 
 _NULL_ID = -(2**63)
 _draw = np.random.default_rng(11)
@@ -258,7 +258,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     """Per row of ``docs``: doc_id, class_id (the least doc_id that links lead to), n_links (documents linked to it)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), "text")
     signed = cut(texts.mapInArrow(_signed, _SIGNED))
     sets = cut(signed.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("times")))
     reps = sets.select(F.col("rep").alias("id"), "times")
@@ -275,7 +275,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
     close = components(edges)
     sized = cut(close.join(chosen.select("id", "times"), close.node == F.col("id")).join(texts, "id").dropDuplicates(["id"]).select("id", "label", "times", "text"))
-    groups = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks"))
+    groups = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / min(block, VERIFY_BLOCK)), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks"))
     bounded_batches(spark, 256)
     dealt = _by_group(_blocks(sized.join(groups, "label"), "label", "blocks").select("g", "id", "side", "times", "text"))
     checked = cut(dealt.mapInArrow(_verified(threshold), "id long, root long, links long"))
@@ -287,13 +287,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     classes = classes.select("d1", "d2", "n", "times", F.coalesce("label", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     known = signed.select("id", "d1", "d2", "n").distinct().join(classes, ["d1", "d2", "n"]).select("id", "class", (F.col("links") + F.col("times") - 1).alias("n_links"))
     given = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"))
     return rows.join(known, "id", "left").select(given("id").alias("doc_id"), F.when(F.coalesce("class", "id") != _NULL_ID, F.coalesce("class", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents of least doc_id of their class, with their own columns; of rows equal in doc_id and text one stays."""
     kept = join(docs, threshold).where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     unique = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
     return rows if unique else rows.dropDuplicates(["doc_id", "text"])

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, utf8
+from tidewright.llm.common import bounded_batches, chosen, utf8
 
 #: Buckets of hashed n-grams, centroids of a language, sampled rows of a language at most about.
 DIMENSIONS = 4096
@@ -122,7 +122,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_ROWS, centroids: int = CENTROIDS
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n], pa.int64()), pa.array([df.tolist() if i == 0 else None], pa.list_(pa.int64()))], names=["lang", "n", "df"])
 
     parts = rows.mapInArrow(frequencies, "lang string, n long, df array<long>")
-    parts = parts.withColumn("slot", F.abs(F.hash("df")) % 16)
+    parts = parts.withColumn("slot", F.pmod(F.hash("df"), F.lit(16)))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     zero = F.array_repeat(F.lit(0).cast("long"), DIMENSIONS)
     sums = parts.groupBy("lang", "slot").agg(F.sum("n").alias("n"), F.reduce(F.collect_list("df"), zero, add).alias("df")).collect()
@@ -135,7 +135,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_ROWS, centroids: int = CENTROIDS
     idf = (np.log((1 + sum(counts.values())) / (1 + df)) + 1).astype(np.float32)
     wanted = F.lit(False)
     for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.abs(F.hash("text").cast("long")) <= int(min(1.0, sample / n) * 2**31)))
+        wanted = wanted | ((F.col("lang") == lang) & chosen("text", min(1.0, sample / n)))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: CentroidModel | None = None) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, rejected."""
     model = model or train(docs)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), has_letter(F.col("text")).alias("letters"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), has_letter(F.col("text")).alias("letters"), "text")
     return rows.mapInArrow(lambda batches: ((pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *_predicted(b, model)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])) for b in batches), schema)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, utf8, words_of
+from tidewright.llm.common import bounded_batches, chosen, utf8, words_of
 
 #: The base patterns, in the order that breaks ties, and their shortest accepted lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -128,9 +128,9 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPL
     """Fit both models; the identifiers are at most ``words`` distinct words of about ``documents`` documents, chosen by hashes."""
     n = docs.count()
     share = min(1.0, documents / n) if n else 1.0
-    chosen = docs.where(F.col("text").isNotNull() & (F.abs(F.hash("text")) <= int(share * (2**31 - 1))))
+    some = docs.where(F.col("text").isNotNull() & chosen("text", share))
     word = F.explode(words_of(F.col("text")))
-    rows = chosen.select(word.alias("word")).select(F.rtrim("word", F.lit(".,;:!?")).alias("word")).where(F.col("word").rlike("^[A-Za-z]{2,}$")).distinct().orderBy(F.xxhash64("word"), "word").limit(words).collect()
+    rows = some.select(word.alias("word")).select(F.rtrim("word", F.lit(".,;:!?")).alias("word")).where(F.col("word").rlike("^[A-Za-z]{2,}$")).distinct().orderBy(F.xxhash64("word"), "word").limit(words).collect()
     return MarkovRatio.train(random_strings(), identifiers([r.word for r in rows]))
 
 
@@ -173,7 +173,7 @@ def scan(docs: DataFrame, model: MarkovRatio | None = None) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = model or train(docs)
     nothing = hashlib.sha256(b"").hexdigest()
 

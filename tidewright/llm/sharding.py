@@ -75,7 +75,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
 
     total = docs.count()
     cells = max(1, min(MOST_CELLS, -(-total // (CELL_ROWS * shards))))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("point"), F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("salt"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("point"), F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("salt"))
     rows = rows.mapInArrow(arcs, "doc_id long, size long, text_crc32 long, salt int, arc int")
     counts = {(r.arc, r.salt): r["count"] for r in rows.groupBy("arc", "salt").count().collect()}
     per_arc = [sum(counts.get((a, s), 0) for s in range(cells)) for a in range(len(nodes))]

@@ -152,7 +152,7 @@ def kept_texts(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 def _final(documents: DataFrame, window: int, with_text: bool) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark, _BATCH)
-    docs = documents.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.col("doc_id"), "text")
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.select("id", "text")
     info = _per_document(texts, window)
     windows = Staged(texts.join(info, "id", "left").mapInArrow(_candidates(window), "id long, h long")).rows
