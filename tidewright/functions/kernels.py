@@ -23,6 +23,31 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once, in the shared folder that the session names; later stages survive lost executors."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/tidewright"))
+    return df.checkpoint(eager=True)
+
+
+def in_order(df: DataFrame, *order: Column, total: str | None = None) -> DataFrame:
+    """Adds ``rank`` (from 1) in a total order, and with ``total`` the sum of that column over the rows before, as ``before``.
+
+    Rows are dealt out in ranges of the order; only one row per range passes through a single task.
+    """
+    value = F.col(total) if total else F.lit(0)
+    # computed once: both uses below must see the same ranges
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rank"), F.coalesce(F.sum("_v").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    placed = parts.withColumns({"_i": F.row_number().over(inside), "_b": F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).join(F.broadcast(start), "_part")
+    out = placed.withColumn("rank", F.col("_i") + F.col("_rank"))
+    return (out.withColumn("before", F.col("_b") + F.col("_before")) if total else out).drop("_part", "_i", "_b", "_rank", "_before")
+
+
 def to_long(frames: DataFrame, column: str, dims: tuple[int, int | None] = (0, None)) -> DataFrame:
     """Explode an array column of frames (episode_index, step, t, ...) into one row per dimension in ``dims``."""
     start, stop = dims

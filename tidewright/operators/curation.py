@@ -64,14 +64,9 @@ def weighted_sum(scores: DataFrame, weights: dict[str, float] | None = None) ->
     return used.groupBy("episode_index").agg(F.when(F.count(F.when(F.col("w") != 0, 1)) == 0, 0.0).when(total <= 0, 0.5).otherwise(F.try_divide(F.sum(F.col("w") * F.col("norm")), total)).alias("keep_score"))
 
 
-def _ranked(keep: DataFrame, ascending: bool = False) -> DataFrame:
-    """Adds the rank in keep order, from 1: a sort of all episodes' two numbers, in ranges, then counts of the ranges before."""
-    order = [F.col("keep_score").asc() if ascending else F.col("keep_score").desc(), F.col("fingerprint").asc()]
-    parts = keep.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # one row per partition
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return parts.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("rank", F.col("inside") + F.col("before")).drop("part", "inside", "before")
+def _ranked(keep: DataFrame) -> DataFrame:
+    """Adds the rank in keep order, from 1."""
+    return K.in_order(keep, F.col("keep_score").desc(), F.col("fingerprint").asc())
 
 
 def top_k(keep: DataFrame, k: int) -> DataFrame:
@@ -107,20 +102,20 @@ def greedy_dedup(keep: DataFrame, vectors: DataFrame, epsilon: float, k: int | N
     found in parallel rounds (an undecided episode with no undecided or kept better neighbour is
     kept, its neighbours fall). Episodes without a vector are kept. At most k of the kept stay.
     """
-    ranked = _cut(_ranked(keep).select("episode_index", "rank"))
+    ranked = K.cut(_ranked(keep).select("episode_index", "rank"))
     pairs = close_pairs(vectors, epsilon)
     r = ranked.select(F.col("episode_index").alias("id"), F.col("rank").alias("r"))
     edges = pairs.join(r, pairs.a == r.id).withColumnRenamed("r", "ra").drop("id").join(r, F.col("b") == r.id).withColumnRenamed("r", "rb")
-    edges = _cut(edges.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse")))
+    edges = K.cut(edges.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse")))
     kept, fallen = ranked.select("episode_index").limit(0), ranked.select("episode_index").limit(0)
     open_edges = edges
     for _ in range(most_rounds):
         # kept: better in an open edge and worse in none
-        free = _cut(open_edges.select(F.col("better").alias("episode_index")).distinct().join(open_edges.select(F.col("worse").alias("episode_index")), "episode_index", "left_anti"))
-        down = _cut(open_edges.join(free, open_edges.better == free.episode_index, "left_semi").select(F.col("worse").alias("episode_index")).distinct())
+        free = K.cut(open_edges.select(F.col("better").alias("episode_index")).distinct().join(open_edges.select(F.col("worse").alias("episode_index")), "episode_index", "left_anti"))
+        down = K.cut(open_edges.join(free, open_edges.better == free.episode_index, "left_semi").select(F.col("worse").alias("episode_index")).distinct())
         fallen = fallen.union(down)
         gone = free.union(down)
-        open_edges = _cut(open_edges.join(gone, open_edges.better == gone.episode_index, "left_anti").join(down, F.col("worse") == down.episode_index, "left_anti"))
+        open_edges = K.cut(open_edges.join(gone, open_edges.better == gone.episode_index, "left_anti").join(down, F.col("worse") == down.episode_index, "left_anti"))
         if not open_edges.limit(1).count():
             break
     marked = ranked.join(fallen.distinct().withColumn("fell", F.lit(True)), "episode_index", "left").withColumn("alive", F.col("fell").isNull())
@@ -130,14 +125,6 @@ def greedy_dedup(keep: DataFrame, vectors: DataFrame, epsilon: float, k: int | N
     return marked.join(chosen, "episode_index", "left").select("episode_index", "rank", F.col("in").isNotNull().alias("kept"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the session names."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/tidewright"))
-    return df.checkpoint(eager=True)
-
-
 #: Episodes that coverage selection takes at most: it needs all similarities, on one machine.
 COVERAGE_LIMIT = 20_000
 

@@ -102,7 +102,7 @@ def demo_score(vectors: DataFrame, labels: DataFrame, hidden: int = 16, epochs:
 def steps(frames: DataFrame, state: str = "state", action: str = "action", most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """States and actions in episode and step order; no more than ``most`` rows come to the driver, chosen by a hash of the episode."""
     n = frames.count()
-    chosen = frames if n <= most else frames.where(F.abs(F.xxhash64("episode_index")) <= int(most / n * (2**63 - 1)))
+    chosen = frames if n <= most else frames.where(F.pmod(F.xxhash64("episode_index"), F.lit(2**20)) < int(most / n * 2**20))
     rows = chosen.orderBy("episode_index", "step").select(state, action).limit(most).collect()
     return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
 

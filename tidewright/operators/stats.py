@@ -90,10 +90,9 @@ def split(n: int, fraction: float, seed: int) -> tuple[list[int], list[int]]:
 
 def length_matched(episodes: DataFrame, order: str, target: int) -> DataFrame:
     """Episodes in the order of a column until their steps reach the target; the one that crosses it is the last."""
-    before = F.coalesce(F.sum("n_steps").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return episodes.withColumn("steps_before", before).where(F.col("steps_before") < target)
+    return K.in_order(episodes, F.col(order).asc(), total="n_steps").where(F.col("before") < target).drop("rank", "before")
 
 
 def leaderboard(entries: DataFrame) -> DataFrame:
     """Entries (name, submitted_mean, ...) by mean, then name, with their place."""
-    return entries.withColumn("place", F.row_number().over(Window.orderBy("submitted_mean", "name")))
+    return K.in_order(entries, F.col("submitted_mean").asc(), F.col("name").asc()).withColumnRenamed("rank", "place")

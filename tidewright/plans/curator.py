@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions import kernels as K
 from tidewright.operators import curation as C
 from tidewright.operators import signals as S
 from tidewright.sources import datasets
@@ -88,10 +89,10 @@ def run(frames: DataFrame, spec: CurationSpec, episodes: DataFrame | None = None
     for name, parameters in spec.signals.items():
         found = S.REGISTRY.get(name, **parameters)(frames).select("episode_index", "signal", "value", "higher_is_better", "skip_reason")
         scores = found if scores is None else scores.union(found)
-    scores = C._cut(scores)
+    scores = K.cut(scores)
     for r in scores.groupBy("signal").agg(F.every(F.col("value").isNull()).alias("none")).where("none").collect():
         warnings.warn(f"signal {r.signal} skipped every episode", stacklevel=2)
-    keep = C._cut(episodes.select("episode_index", "fingerprint").join(C.weighted_sum(scores, spec.weights), "episode_index"))
+    keep = K.cut(episodes.select("episode_index", "fingerprint").join(C.weighted_sum(scores, spec.weights), "episode_index"))
     gated = dropped = unlisted = None
     valid = keep
     if spec.gate:

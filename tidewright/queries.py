@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewright.functions import kernels as K
 from tidewright.operators import corruptions, curation, reports, stats
@@ -210,16 +209,16 @@ def q_weighted_sum(spark, sf_dir):
 
 @query(f"{_SCORES} SELECT ep AS episode_index, round(keep, 6) AS keep_score FROM ks QUALIFY row_number() OVER (ORDER BY keep DESC, fp) <= (SELECT round_even(.8 * count(*), 0) FROM ks)")
 def q_topk_budget(spark, sf_dir):
-    keep = curation._cut(event_keep(spark, sf_dir))
+    keep = K.cut(event_keep(spark, sf_dir))
     return curation.top_k(keep, curation.Budget("fraction", 0.8).resolve(keep.count())).select("episode_index", *r6("keep_score"))
 
 
 @query(f"{_SCORES}, g AS (SELECT ks.* FROM ks JOIN (SELECT ep FROM sc WHERE signal = 'action_noise' AND NOT coalesce(value > 2, false)) USING (ep)) SELECT ep AS episode_index, round(keep, 6) AS keep_score FROM g QUALIFY row_number() OVER (ORDER BY keep DESC, fp) <= (SELECT round_even(.5 * count(*), 0) FROM g)")
 def q_gate_topk(spark, sf_dir):
-    scores = curation._cut(event_scores(spark, sf_dir))
+    scores = K.cut(event_scores(spark, sf_dir))
     gated = scores.where((F.col("signal") == "action_noise") & curation.Gate("action_noise", reject_above=2.0).rejects(F.col("value")))
     keep = curation.weighted_sum(scores, {"jerk": 2.0}).withColumn("fingerprint", F.lpad(F.col("episode_index").cast("string"), 20, "0"))
-    valid = curation._cut(keep.join(gated.select("episode_index"), "episode_index", "left_anti"))
+    valid = K.cut(keep.join(gated.select("episode_index"), "episode_index", "left_anti"))
     return curation.top_k(valid, curation.Budget("fraction", 0.5).resolve(valid.count())).select("episode_index", *r6("keep_score"))
 
 
@@ -383,8 +382,8 @@ def q_per_transition_worst(spark, sf_dir):
 @query("WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id AS episode_index, row_number() OVER (ORDER BY conv_id) - 1 AS out_index, (coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS from_index FROM n")
 def q_running_index(spark, sf_dir):
     n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    order = Window.orderBy("conv_id")
-    return n.select(F.col("conv_id").alias("episode_index"), (F.row_number().over(order) - 1).cast("long").alias("out_index"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("from_index"))
+    placed = K.in_order(n, F.col("conv_id").asc(), total="n")
+    return placed.select(F.col("conv_id").alias("episode_index"), (F.col("rank") - 1).alias("out_index"), F.col("before").alias("from_index"))
 
 
 @query("WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), c AS (SELECT conv_id, n, coalesce(sum(n) OVER (ORDER BY md5(conv_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n) SELECT conv_id AS episode_index, n AS n_steps FROM c WHERE b < 100")
@@ -393,7 +392,7 @@ def q_length_matched(spark, sf_dir):
     return stats.length_matched(n, "o", 100).select("episode_index", "n_steps")
 
 
-@query("SELECT source AS name, round(avg(n_chars), 6) AS submitted_mean, (row_number() OVER (ORDER BY avg(n_chars), source))::INT AS place FROM documents GROUP BY source")
+@query("SELECT source AS name, round(avg(n_chars), 6) AS submitted_mean, row_number() OVER (ORDER BY avg(n_chars), source) AS place FROM documents GROUP BY source")
 def q_leaderboard(spark, sf_dir):
     means = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.avg("n_chars").alias("submitted_mean"))
     return stats.leaderboard(means).select("name", *r6("submitted_mean"), "place")

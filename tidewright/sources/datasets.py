@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewright.functions import kernels as K
+
 #: Columns that say where a row stands, not what it holds; layout templates.
 POSITIONS = ("episode_index", "frame_index", "index", "task_index")
 V21_DATA = "data/chunk-{chunk:03d}/episode_{episode:06d}.parquet"
@@ -196,8 +198,8 @@ def guard(dest: str, source: str | None) -> None:
 
 def _reindexed(data: Dataset, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept episodes renumbered from 0 in their order, with the offset of their first frame; and their frames."""
-    order = Window.orderBy("episode_index")
-    episodes = data.episodes.join(kept.select("episode_index"), "episode_index", "left_semi").withColumns({"out": F.row_number().over(order) - 1, "begin": F.coalesce(F.sum("n_steps").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    chosen = data.episodes.join(kept.select("episode_index"), "episode_index", "left_semi")
+    episodes = K.in_order(chosen, F.col("episode_index").asc(), total="n_steps").withColumn("out", F.col("rank") - 1).withColumnRenamed("before", "begin").drop("rank")
     frames = data.frames.join(episodes.select("episode_index", "out", "begin"), "episode_index")
     frames = frames.withColumns({"episode_index": F.col("out").cast("long"), "frame_index": F.col("step").cast("long"), "index": (F.col("begin") + F.col("step")).cast("long"), "task_index": F.lit(0).cast("long")})
     return episodes, frames.select(*(F.col(f"`{k}`") for k in dict.fromkeys([*data.features, *POSITIONS]) if k in frames.columns), "step")
