@@ -103,9 +103,9 @@ ORACLE_SQL: dict[str, str] = {
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
         links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
-        both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-        reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT r.doc_id, e.b FROM reach r JOIN both e ON e.a = r.other)
-        SELECT doc_id, min(other) AS class_id, coalesce((SELECT count(*) FROM both WHERE a = doc_id), 0) AS n_links FROM reach GROUP BY doc_id
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+        SELECT doc_id, min(other) AS class_id, coalesce((SELECT count(*) FROM edges WHERE a = doc_id), 0) AS n_links FROM reach GROUP BY doc_id
     """,
     "op7_substring_dedup": f"""
         WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
