@@ -396,3 +396,62 @@ def test_command_line(spark, source, tmp_path, capsys):
     assert cli.main(["validate", out]) == 1
     shutil.rmtree(out)
     capsys.readouterr()
+
+
+def test_made_datasets_and_quarantine(spark, tmp_path):
+    from pathlib import Path
+
+    from tidewright.sources import fixtures
+
+    root = str(tmp_path / "demo")
+    fixtures.write_demo(root, fixtures.demonstrations())
+    spec = curator.CurationSpec(budget=curation.Budget("count", 4))
+    result, problems = curator.run_dataset(spark, root, spec, "quarantine")
+    assert problems == {} and {r.episode_index for r in result.decisions.where("not kept").collect()} == {1, 3, 5, 7}
+    Path(root, "data/chunk-000/episode_000002.parquet").write_bytes(b"broken")
+    with pytest.warns(UserWarning, match="do not read"):
+        result, problems = curator.run_dataset(spark, root, spec, "quarantine")
+    assert len(problems) == 1 and result.decisions.count() == 7
+    with pytest.raises(FileNotFoundError):
+        datasets.resolve("nowhere at all")
+    assert datasets.resolve(root) == root
+
+
+def test_labels_of_groups(spark):
+    groups = {f"demo_{i}": {"actions": np.zeros((3, 1)), "rewards": [0, 0, i % 2], "success": [False, True, i > 1]} for i in range(3)}
+    rows = datasets.group_labels(spark, groups, datasets.ROBOMIMIC, {"worse": ["demo_2"]}).orderBy("episode_index").collect()
+    assert [r.success for r in rows] == [False, True, False] and [r.operator_tier for r in rows] == [None, None, "worse"]
+    flags = datasets.group_labels(spark, groups, datasets.GroupLayout("", r"demo_\d+", success="last_flag")).orderBy("episode_index").collect()
+    assert [r.success for r in flags] == [False, False, True]
+
+
+def test_health_plots_and_gates(spark, tmp_path):
+    from tidewright.plans import plots
+
+    frames = make(spark, [ramp(64)] * 3 + [ramp(20)])
+    flat = frames.withColumn("x", F.get("action", 0))
+    found = reports.health(flat, S.structural_validity(frames), ["x"], {"a": "b"})
+    assert found["defects"] == [3] and found["coverage"][0]["coverage"] == 1 and "1 truncated" in reports.health_markdown(found)
+    assert reports.action_roughness(frames).first().quality == pytest.approx(0, abs=1e-12)
+    assert {r.n for r in plots.histogram(S.jerk(frames), 4).collect()} and reports.step_summary(S.jerk_steps(frames)).count() == 4
+    curator.SPECS["needs_gpu"] = S.Spec("needs_gpu", True, requires=("gpu",))
+    with pytest.warns(UserWarning, match="GPU"):
+        assert curator.usable(["jerk", "needs_gpu"], curator.Resources()) == ["jerk"]
+    assert curator.usable(["needs_gpu"], curator.Resources(gpus=1)) == ["needs_gpu"]
+    curator.SPECS.clear()
+
+
+def test_experiments(spark):
+    from tidewright.sources import fixtures
+
+    frames = fixtures.in_memory(spark, fixtures.identity(10, 4)).persist()
+    config = experiment.ExperimentConfig({"signals": {"path_efficiency": {}}, "budget": {"kind": "fraction", "value": 0.7}}, seeds=[0, 1], policy={"hidden": 8, "epochs": 30})
+    r = experiment.run_config(frames, config)
+    assert set(r["arms"]) == {"full", "curated", "equal_n_random", "random_filter"} and "headline" in r
+    assert "| curated |" in experiment.report_markdown(r)
+    c = experiment.compare_held_out(frames, list(range(8)), seeds=(0,), hidden=8, epochs=30)
+    assert set(c["losses"]) == {"full", "random", "random_steps", "curated"}
+    env = experiment.FakeEnvironment(1)
+    assert env.rollouts(2.0, 200) > env.rollouts(-2.0, 200) and env.rollouts(0.3, 50) == experiment.FakeEnvironment(1).rollouts(0.3, 50)
+    steps = spark.createDataFrame([(0, False), (0, True), (1, False)], "episode_index long, success boolean")
+    assert {x.episode_index: x.success for x in experiment.latched_success(steps).collect()} == {0: True, 1: False}

@@ -93,6 +93,38 @@ def verify(expected: DataFrame, found: DataFrame) -> DataFrame:
     return e.join(f, "episode_index", "full").select("episode_index", problem.alias("problem")).where("problem is not null")
 
 
+def step_summary(steps: DataFrame) -> DataFrame:
+    """(episode_index, low, median, high) of the finite step values."""
+    return distribution(steps.where(K.finite(F.col("norm"))), "norm", ["episode_index"]).drop("n")
+
+
+def action_roughness(frames: DataFrame, source: str = "action") -> DataFrame:
+    """One row: the mean over episodes of the mean absolute second difference, negated; higher is smoother."""
+    twice = K.difference(K.difference(K.to_long(frames, source)))
+    return twice.groupBy("episode_index").agg(F.avg(F.abs("x")).alias("m")).agg((-F.avg("m")).alias("quality"))
+
+
+def health(frames: DataFrame, validity: DataFrame, columns: list[str], unreadable: dict[str, str] | None = None) -> dict:
+    """What a dataset check found: coverage of features, structural defects, unreadable files."""
+    n = validity.count()
+    return {
+        "episodes": n,
+        "coverage": [r.asDict() for r in feature_coverage(frames, columns, n).orderBy("feature").collect()],
+        "structure": structural_tally(validity).first().asDict(),
+        "defects": sorted(r.episode_index for r in validity.where("not is_valid").select("episode_index").limit(1000).collect()),
+        "unreadable": unreadable or {},
+    }
+
+
+def health_markdown(found: dict) -> str:
+    s = found["structure"]
+    lines = ["# Dataset health", "", f"{found['episodes']} episodes: {s['n_valid']} valid, {s['n_truncated']} truncated, {s['n_stalled']} stalled, {s['n_nonfinite']} not finite.", "", "| feature | episodes | coverage | finite | min | max | mean |", "| --- | --- | --- | --- | --- | --- | --- |"]
+    shown = lambda v: "–" if v is None else f"{v:.4g}"
+    lines += [f"| {r['feature']} | {r['present']} | {shown(r['coverage'])} | {shown(r['finite_fraction'])} | {shown(r['low'])} | {shown(r['high'])} | {shown(r['mean'])} |" for r in found["coverage"]]
+    lines += [f"- {file}: {why}" for file, why in sorted(found["unreadable"].items())]
+    return "\n".join([*lines, ""])
+
+
 def removed_by_group(decisions: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     """(group, n, removed, share, enrichment): each group's share of the removed against its share of all."""
     rows = decisions.join(groups.select("episode_index", group), "episode_index")

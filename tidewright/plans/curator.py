@@ -65,6 +65,31 @@ def load_recipe(path: str) -> CurationSpec:
     return CurationSpec.from_dict(json.loads(Path(path).read_text())["config"])
 
 
+@dataclass(frozen=True)
+class Resources:
+    """What a run may use; signals that need more are left out with a warning."""
+
+    gpus: int = 0
+    cpus: int = 1
+
+
+#: What signals need beside a CPU, and whether they give equal results twice.
+SPECS: dict[str, S.Spec] = {}
+
+
+def usable(names: list[str], resources: Resources) -> list[str]:
+    out = []
+    for name in names:
+        spec = SPECS.get(name)
+        if spec and not spec.deterministic:
+            raise ValueError(f"signal {name} is not deterministic")
+        if spec and "gpu" in spec.requires and not resources.gpus:
+            warnings.warn(f"signal {name} needs a GPU and is left out", stacklevel=2)
+            continue
+        out.append(name)
+    return out
+
+
 @dataclass
 class Result:
     spec: CurationSpec
@@ -81,12 +106,29 @@ class Result:
         return datasets.write(data, self.decisions.where("kept"), dest, self.manifest(data.root, created), videos)
 
 
-def run(frames: DataFrame, spec: CurationSpec, episodes: DataFrame | None = None) -> Result:
+def run_dataset(spark, root: str, spec: CurationSpec, on_error: str = "abort") -> tuple[Result, dict[str, str]]:
+    """A run over a v2.1 or v3.0 dataset. on_error="quarantine" leaves out episode files that do not read, and says why."""
+    if on_error not in ("abort", "quarantine"):
+        raise ValueError("on_error is abort or quarantine")
+    problems: dict[str, str] = {}
+    data = None
+    if on_error == "quarantine" and datasets.detect_version(root) == "v2.1":
+        good, problems = datasets.readable(spark, root)
+        if problems:
+            data = datasets.read_v21(spark, root, good)
+            warnings.warn(f"{len(problems)} episode files do not read", stacklevel=2)
+    data = data or datasets.read(spark, root)
+    frames = data.frames.withColumn("action", F.transform("action", lambda x: x.cast("double")))
+    return run(frames, spec, datasets.fingerprints(data.frames, data.features)), problems
+
+
+def run(frames: DataFrame, spec: CurationSpec, episodes: DataFrame | None = None, resources: Resources = Resources()) -> Result:
     """episodes may hold (episode_index, fingerprint); without it an episode's index, zero-padded, orders ties."""
     if episodes is None:
         episodes = frames.select("episode_index").distinct().withColumn("fingerprint", F.lpad(F.col("episode_index").cast("string"), 20, "0"))
     scores = None
-    for name, parameters in spec.signals.items():
+    for name in usable(list(spec.signals), resources):
+        parameters = spec.signals[name]
         found = S.REGISTRY.get(name, **parameters)(frames).select("episode_index", "signal", "value", "higher_is_better", "skip_reason")
         scores = found if scores is None else scores.union(found)
     scores = K.cut(scores)

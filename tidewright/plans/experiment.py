@@ -68,6 +68,62 @@ def compare_held_out(frames: DataFrame, curated: list[int], fraction: float = 0.
     return {"losses": found, "effects": {a: asdict(stats.paired_effect(found["curated"], found[a])) for a in ("full", "random", "random_steps")}}
 
 
+@dataclass
+class FakeEnvironment:
+    """A deterministic stand-in for a simulator: success when a policy's quality beats a seeded difficulty."""
+
+    seed: int = 0
+
+    def rollouts(self, quality: float, n: int) -> float:
+        """Share of n episodes that succeed."""
+        hard = np.random.default_rng(self.seed).normal(size=n)
+        return float((1 / (1 + np.exp(-(quality - hard))) > 0.5).mean())
+
+
+def latched_success(steps: DataFrame) -> DataFrame:
+    """(episode_index, success): whether any step of (episode_index, success) succeeded."""
+    return steps.groupBy("episode_index").agg(F.max("success").alias("success"))
+
+
+def report(found: dict[str, list[float]], treatment: str = "curated", baseline: str = "equal_n_random") -> dict:
+    """Each arm's mean with its interval, and the paired effect of the treatment."""
+    out = {"arms": {a: asdict(stats.bootstrap(v)) for a, v in found.items()}}
+    if treatment in found and baseline in found:
+        e = stats.paired_effect(found[treatment], found[baseline])
+        out["headline"] = asdict(e) | {"separated": e.separated}
+    return out
+
+
+def report_markdown(r: dict) -> str:
+    lines = ["| arm | mean | 95 % interval | n |", "| --- | --- | --- | --- |"] + [f"| {a} | {e['mean']:.4f} | [{e['low']:.4f}, {e['high']:.4f}] | {e['n']} |" for a, e in r["arms"].items()]
+    if h := r.get("headline"):
+        lines += ["", f"Effect {h['mean']:.4f} [{h['low']:.4f}, {h['high']:.4f}]: {'separated from zero' if h['separated'] else 'not separated from zero'}."]
+    return "\n".join(lines)
+
+
+@dataclass
+class ExperimentConfig:
+    """A run from JSON: the curation, the held-out share, seeds and the policy."""
+
+    curation: dict = field(default_factory=dict)
+    fraction: float = 0.2
+    seeds: list[int] = field(default_factory=lambda: [0, 1, 2])
+    policy: dict = field(default_factory=dict)
+
+    @classmethod
+    def load(cls, path: str) -> "ExperimentConfig":
+        return cls(**json.loads(Path(path).read_text()))
+
+
+def run_config(frames: DataFrame, config: ExperimentConfig) -> dict:
+    """Arms on the training episodes, cloned and judged on the held-out ones."""
+    everything = sorted(r.episode_index for r in frames.select("episode_index").distinct().collect())
+    train, held = stats.split(len(everything), config.fraction, config.seeds[0])
+    pool = select(frames, [everything[i] for i in train])
+    spec = curator.CurationSpec.from_dict(curator.CurationSpec().to_dict() | config.curation)
+    return report(losses(frames, arms(pool, spec), [everything[i] for i in held], config.seeds, **config.policy))
+
+
 @dataclass
 class BenchmarkSpec:
     pool_hash: str

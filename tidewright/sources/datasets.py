@@ -75,19 +75,20 @@ def read(spark: SparkSession, root: str) -> Dataset:
     return read_v3(spark, root) if detect_version(root) == "v3.0" else read_v21(spark, root)
 
 
-def _frames(spark: SparkSession, path: str, features: dict) -> DataFrame:
-    raw = spark.read.parquet(path)
+def _frames(spark: SparkSession, path: str | list[str], features: dict) -> DataFrame:
+    raw = spark.read.parquet(*([path] if isinstance(path, str) else path))
     t = F.col("timestamp").cast("double") if "timestamp" in raw.columns else F.lit(None).cast("double")
     step = F.col("frame_index").cast("int") if "frame_index" in raw.columns else (F.row_number().over(Window.partitionBy("episode_index").orderBy("index")) - 1)
     return raw.withColumns({"step": step, "t": t})
 
 
-def read_v21(spark: SparkSession, root: str) -> Dataset:
+def read_v21(spark: SparkSession, root: str, files: list[str] | None = None) -> Dataset:
+    """``files`` are the episode files to read, if not all."""
     info = json.loads((Path(root) / "meta/info.json").read_text())
     for key, f in info["features"].items():
         if f.get("dtype") == "image":
             raise NotImplementedError(f"images in tables are not read: {key}")
-    frames = _frames(spark, f"{root}/data/*/episode_*.parquet", info["features"])
+    frames = _frames(spark, files or f"{root}/data/*/episode_*.parquet", info["features"])
     raw = spark.read.json(f"{root}/meta/episodes.jsonl")
     labelled = next((k for k in info["features"] if role_of(k) == "SUCCESS" and k in frames.columns), None)
     given = F.col("success") if "success" in raw.columns else F.lit(None).cast("boolean")
@@ -151,6 +152,75 @@ def read_groups(spark: SparkSession, groups: dict[str, dict], pattern: str = r".
     return spark.createDataFrame(rows, "episode_index long, group string, step int, t double, action array<double>, state array<double>, reward double")
 
 
+@dataclass(frozen=True)
+class GroupLayout:
+    """How a file of groups holds episodes: where they are, what they are called, and what tells success."""
+
+    top: str = ""
+    pattern: str = r".*"
+    observations: tuple[str, ...] = ("obs", "observations")
+    success: str = "none"  # last_reward: the last reward is positive; last_flag: the last success flag is set
+
+
+#: Layouts of known collections.
+ROBOMIMIC = GroupLayout("data", r"demo_\d+", ("obs",), "last_reward")
+MANISKILL = GroupLayout("", r"traj_\d+", ("obs",), "last_flag")
+OPERATOR_TIERS = ("better", "okay", "worse")
+
+
+def group_labels(spark: SparkSession, groups: dict[str, dict], layout: GroupLayout, masks: dict[str, list[str]] | None = None) -> DataFrame:
+    """(episode_index, group, success, operator_tier) of groups, in natural order; masks name the groups of each tier."""
+    tiers = {name: tier for tier in OPERATOR_TIERS for name in (masks or {}).get(tier, [])}
+    rows = []
+    for i, name in enumerate(sorted((n for n in groups if re.fullmatch(layout.pattern, n)), key=natural_key)):
+        g, success = groups[name], None
+        if layout.success == "last_reward" and len(g.get("rewards", ())):
+            success = bool(np.asarray(g["rewards"])[-1] > 0)
+        elif layout.success == "last_flag" and len(g.get("success", ())):
+            success = bool(np.asarray(g["success"])[-1])
+        rows.append((i, name, success, tiers.get(name)))
+    return spark.createDataFrame(rows, "episode_index long, group string, success boolean, operator_tier string")
+
+
+def resolve(name: str) -> str:
+    """A local directory as it is; a hub id (namespace/name) by the optional hub client, without videos."""
+    if Path(name).is_dir():
+        return name
+    if not re.fullmatch(r"[\w.-]+/[\w.-]+", name):
+        raise FileNotFoundError(name)
+    try:
+        from huggingface_hub import snapshot_download
+    except ImportError as missing:
+        raise ImportError(f"{name} is no directory; fetching it from a hub needs the package huggingface_hub") from missing
+    return snapshot_download(name, repo_type="dataset", allow_patterns=["meta/*", "meta/**", "data/**"])
+
+
+def decode_video(path: str, begin: float, end: float, most: int | None = None) -> list[np.ndarray] | None:
+    """RGB frames of a shard between two times, evenly chosen; None if the shard is missing."""
+    if not Path(path).exists():
+        return None
+    try:
+        import av
+    except ImportError as missing:
+        raise ImportError("decoding video needs the package av") from missing
+    with av.open(path) as box:
+        frames = [f.to_ndarray(format="rgb24") for f in box.decode(video=0) if f.time is not None and begin <= f.time <= end]
+    if most is None or len(frames) <= most:
+        return frames
+    return [frames[i] for i in np.round(np.linspace(0, len(frames) - 1, most)).astype(int)]
+
+
+def read_zarr(spark: SparkSession, path: str, pattern: str = r".*") -> DataFrame:
+    try:
+        import zarr
+    except ImportError as missing:
+        raise ImportError("reading Zarr needs the package zarr") from missing
+    top = zarr.open(path, mode="r")
+    top = top["data"] if "data" in top else top
+    plain = lambda x: {k: x[k][...] for k in x} if hasattr(x, "keys") else x[...]
+    return read_groups(spark, {n: {("obs" if k in ("obs", "observations") else k): plain(top[n][k]) for k in top[n]} for n in top}, pattern)
+
+
 def read_hdf5(spark: SparkSession, path: str, pattern: str = r".*") -> DataFrame:
     try:
         import h5py
