@@ -36,25 +36,26 @@ def _scores(spec: Spec, rows: DataFrame, value: Column, skip: Column, *more: Col
     return rows.select("episode_index", F.lit(spec.name).alias("signal"), F.when(skip.isNull(), value).cast("double").alias("value"), F.lit(spec.higher_is_better).alias("higher_is_better"), skip.cast("string").alias("skip_reason"), *more)
 
 
-def _clock(frames: DataFrame) -> DataFrame:
-    """(episode_index, n_steps, rising): steps, and whether time strictly increases."""
+def _jerk_steps(frames: DataFrame, source: str, order: int) -> DataFrame:
+    """(episode_index, step, norm, gap, timed, known): one row per step, also of episodes without the source."""
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("episode_index").orderBy("step"))
-    return frames.select("episode_index", gap.alias("gap"), F.col("t").isNotNull().alias("timed")).groupBy("episode_index").agg(F.count("*").alias("n_steps"), F.coalesce(F.min("gap") > 0, F.lit(True)).alias("rising"), F.min("timed").alias("timed"))
+    long = frames.select("episode_index", "step", "t", gap.alias("gap"), F.posexplode_outer(source).alias("dof", "x")).withColumn("x", F.col("x").cast("double"))
+    long = K.znorm(long)
+    for _ in range(order):
+        long = K.gradient(long)
+    return long.groupBy("episode_index", "step").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.min("gap").alias("gap"), F.count("t").alias("timed"), F.count("dof").alias("known"))
 
 
 def jerk_steps(frames: DataFrame, source: str = "action", order: int = 2) -> DataFrame:
     """(episode_index, step, norm) of the ``order``-th time derivative of the standardised source."""
-    long = K.znorm(K.to_long(frames, source))
-    for _ in range(order):
-        long = K.gradient(long)
-    return K.step_norms(long)
+    return _jerk_steps(frames, source, order).select("episode_index", "step", "norm")
 
 
 def jerk(frames: DataFrame, source: str = "action", order: int = 2) -> DataFrame:
+    """Clock, derivatives and means come from one pass behind one shuffle."""
     spec = Spec("jerk", False, per_transition=True)
-    stats = jerk_steps(frames, source, order).groupBy("episode_index").agg(F.avg("norm").alias("v"), F.max("norm").alias("max_jerk"))
-    rows = _clock(frames).join(stats, "episode_index", "left")
-    skip = F.when(~F.col("timed"), "no time").when(F.col("n_steps") < order + 1, "too short").when(~F.col("rising"), "time does not increase").when(F.col("v").isNull(), "no source")
+    rows = _jerk_steps(frames, source, order).groupBy("episode_index").agg(F.count("*").alias("n_steps"), F.coalesce(F.min("gap") > 0, F.lit(True)).alias("rising"), (F.min("timed") > 0).alias("timed"), (F.min("known") > 0).alias("known"), F.avg("norm").alias("v"), F.max("norm").alias("max_jerk"))
+    skip = F.when(~F.col("known"), "no source").when(~F.col("timed"), "no time").when(F.col("n_steps") < order + 1, "too short").when(~F.col("rising"), "time does not increase")
     return _scores(spec, rows, F.col("v"), skip, F.when(skip.isNull(), F.col("max_jerk")).alias("max_jerk"))
 
 
