@@ -39,7 +39,8 @@ def _scores(spec: Spec, rows: DataFrame, value: Column, skip: Column, *more: Col
 def _jerk_steps(frames: DataFrame, source: str, order: int) -> DataFrame:
     """(episode_index, step, norm, gap, timed, known): one row per step, also of episodes without the source."""
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("episode_index").orderBy("step"))
-    long = frames.select("episode_index", "step", "t", gap.alias("gap"), F.posexplode_outer(source).alias("dof", "x")).withColumn("x", F.col("x").cast("double"))
+    # the gap first: in one select Spark would explode before it looks back
+    long = frames.withColumn("gap", gap).select("episode_index", "step", "t", "gap", F.posexplode_outer(source).alias("dof", "x")).withColumn("x", F.col("x").cast("double"))
     long = K.znorm(long)
     for _ in range(order):
         long = K.gradient(long)
