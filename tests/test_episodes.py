@@ -455,3 +455,22 @@ def test_experiments(spark):
     assert env.rollouts(2.0, 200) > env.rollouts(-2.0, 200) and env.rollouts(0.3, 50) == experiment.FakeEnvironment(1).rollouts(0.3, 50)
     steps = spark.createDataFrame([(0, False), (0, True), (1, False)], "episode_index long, success boolean")
     assert {x.episode_index: x.success for x in experiment.latched_success(steps).collect()} == {0: True, 1: False}
+
+
+def test_in_order_ranks_and_sums(spark):
+    draw = np.random.default_rng(10)
+    rows = [(int(i), int(draw.integers(0, 5)), int(draw.integers(1, 9))) for i in draw.permutation(200)]
+    df = spark.createDataFrame(rows, "id long, k long, n long").repartition(5)
+    got = {r.id: (r["rank"], r.before) for r in K.in_order(df, F.col("k").desc(), F.col("id").asc(), total="n").collect()}
+    total = 0
+    for place, (i, _, n) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        assert got[i] == (place, total)
+        total += n
+    assert K.in_order(df.limit(0), F.col("id").asc(), total="n").count() == 0
+
+
+def test_close_pairs_meet_in_neighbouring_cells(spark):
+    x = np.random.default_rng(11).random((80, 3))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "episode_index long, v array<double>")
+    got = {(r.a, r.b) for r in curation.close_pairs(df, 0.2).collect()}
+    assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if np.linalg.norm(x[i] - x[j]) <= 0.2}
