@@ -175,6 +175,7 @@ def greedy(points, order, eps):
 def test_greedy_dedup_equals_the_walk(spark):
     draw = np.random.default_rng(5)
     points = draw.random((120, 4))
+    points[100:] = points[7]
     score = draw.random(120).round(1)
     keep = spark.createDataFrame([(i, f"{i:04d}", float(s)) for i, s in enumerate(score)], "episode_index long, fingerprint string, keep_score double")
     vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "episode_index long, v array<double>")

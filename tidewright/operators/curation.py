@@ -103,11 +103,15 @@ def greedy_dedup(keep: DataFrame, vectors: DataFrame, epsilon: float, k: int | N
     kept, its neighbours fall). Episodes without a vector are kept. At most k of the kept stay.
     """
     ranked = K.cut(_ranked(keep).select("episode_index", "rank"))
-    pairs = close_pairs(vectors, epsilon)
+    # of equal vectors all but the best fall, kept or not, so a crowd of copies makes no pairs
+    placed = vectors.join(ranked, "episode_index")
+    firsts = K.cut(placed.groupBy("v").agg(F.min_by("episode_index", "rank").alias("episode_index")))
+    copies = placed.select("episode_index").join(firsts.select("episode_index"), "episode_index", "left_anti")
+    pairs = close_pairs(firsts, epsilon)
     r = ranked.select(F.col("episode_index").alias("id"), F.col("rank").alias("r"))
     edges = pairs.join(r, pairs.a == r.id).withColumnRenamed("r", "ra").drop("id").join(r, F.col("b") == r.id).withColumnRenamed("r", "rb")
     edges = K.cut(edges.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse")))
-    kept, fallen = ranked.select("episode_index").limit(0), ranked.select("episode_index").limit(0)
+    fallen = copies
     open_edges = edges
     for _ in range(most_rounds):
         # kept: better in an open edge and worse in none
