@@ -22,9 +22,11 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ LEAST_WINDOWS = 1
 #: Benchmark windows that may be sent to every task.
 INDEX_WINDOWS = 200_000
 #: Entries of the cache of tokens in one Python worker.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 #: Units of measurement.
 UNITS = set("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ml cl l s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years ms % percent usd eur gbp dollar dollars euro euros cent cents pound pounds degree degrees °c °f k w kw kwh v a hz khz mhz ghz b kb mb gb tb mph kph km/h m/s litre litres liter liters gram grams kilogram kilograms metre metres meter meters kilometre kilometres kilometer kilometers".split())
@@ -50,17 +52,24 @@ _PLACEHOLDERS = mix(np.arange(101, 105, dtype=np.uint64))
 
 
 def _hash(s: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(s.encode())
 
 
+_ROW = np.dtype([("v", np.uint64), ("f", np.int64), ("g", np.uint64)])
+
+
 class _Lexicon(dict):
-    """What a white-space-separated token is, by its place in ``rows``."""
+    """What a white-space-separated token is: its row in ``table``, of its value's hash, flags, and the hash of a unit glued on."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int, int]] = []  # hash of the value, flags, hash of a unit that is glued on
+        self.known, self.fresh = np.empty(0, _ROW), []
+
+    def table(self) -> np.ndarray:
+        if self.fresh:
+            self.known = np.concatenate([self.known, np.array(self.fresh, _ROW)])
+            self.fresh = []
+        return self.known
 
     def __missing__(self, token: str) -> int:
         core = token.strip(_OUTER)
@@ -68,19 +77,22 @@ class _Lexicon(dict):
         glued = 0
         if not core:
             flags = 1  # no token
+        elif low in UNITS:
+            flags = 4
+        elif core.isalpha():
+            flags = 8 if core[0].isupper() and core[1:].islower() else 0
         elif _NUMBER.fullmatch(core):
             flags = 2
         elif (m := _NUMBER_UNIT.fullmatch(core)) and m[2].lower() in UNITS:
             flags, low, glued = 2 | 16, m[1], _hash(m[2].lower())
-        elif low in UNITS:
-            flags = 4
         else:
             flags = 8 if core[0].isupper() and core[1:].islower() else 0
         if token[-1] in ".!?:":
             flags |= 32  # ends a sentence
-        self.rows.append((_hash(low), flags, glued))
-        self[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        row = len(self)
+        self.fresh.append((_hash(low), flags, glued))
+        self[token] = row
+        return row
 
 
 _lexicon = _Lexicon()
@@ -89,13 +101,12 @@ _lexicon = _Lexicon()
 def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, value, kind, first token of each text) of texts one after another."""
     global _lexicon
-    if len(_lexicon.rows) > CACHE_ENTRIES:
+    if len(_lexicon) > CACHE_ENTRIES:
         _lexicon = _Lexicon()
     split = [t.split() if t else [] for t in texts]
     sizes = np.array([len(s) for s in split], np.int64)
-    total = int(sizes.sum())
-    rows = np.fromiter((r for s in split for r in map(_lexicon.__getitem__, s)), np.int64, total)
-    table = np.array(_lexicon.rows, dtype=[("v", np.uint64), ("f", np.int64), ("g", np.uint64)]) if _lexicon.rows else np.empty(0, dtype=[("v", np.uint64), ("f", np.int64), ("g", np.uint64)])
+    rows = np.fromiter(map(_lexicon.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    table = _lexicon.table()
     value, flags = table["v"][rows], table["f"][rows]
     doc = np.repeat(np.arange(len(texts)), sizes)
     glue = np.flatnonzero(flags & 16)
