@@ -31,8 +31,8 @@ from tidewright.llm.common import bounded_batches
 SHARDS = 8
 #: Nodes of a shard on the ring.
 VNODES = 64
-#: Rows of one cell, about, and cells of an arc at most.
-CELL_ROWS, MOST_CELLS = 20_000, 128
+#: Rows of one cell, about, and cells of an arc at least (a text that many rows have has one arc) and at most.
+CELL_ROWS, LEAST_CELLS, MOST_CELLS = 20_000, 16, 128
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -74,7 +74,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "text_crc32", "salt")), pa.array(arc.astype(np.int32))], names=["doc_id", "size", "text_crc32", "salt", "arc"])
 
     total = docs.count()
-    cells = max(1, min(MOST_CELLS, -(-total // (CELL_ROWS * shards))))
+    cells = max(LEAST_CELLS, min(MOST_CELLS, -(-total // (CELL_ROWS * shards))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("point"), F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("salt"))
     rows = rows.mapInArrow(arcs, "doc_id long, size long, text_crc32 long, salt int, arc int")
     counts = {(r.arc, r.salt): r["count"] for r in rows.groupBy("arc", "salt").count().collect()}
