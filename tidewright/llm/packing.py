@@ -167,8 +167,6 @@ class Plan:
     sequences: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = np.empty(len(self.length), dtype=[("l", np.int64), ("r", np.int64)])
-        key["l"], key["r"] = self.length, self.first
         bounds = np.searchsorted(self.length, length, "left"), np.searchsorted(self.length, length, "right")
         row = np.empty(len(length), np.int64)
         for L in np.unique(length):
@@ -221,18 +219,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     cells = max(1, min(MOST_CELLS, -(-n // CELL_PIECES)))
     ranked = done.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(cells)).cast("int"))
     order = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")
-    sizes = sorted((r.length, r.cell, r["count"]) for r in ranked.groupBy("length", "cell").count().collect())
-    before, counts = {}, {}
-    for length, cell, many in sizes:
-        before[length, cell] = counts.get(length, 0)
-        counts[length] = before[length, cell] + many
+    sizes = np.zeros((capacity + 1, cells), np.int64)
+    for r in ranked.groupBy("length", "cell").count().collect():
+        sizes[r.length, r.cell] = r["count"]
+    before = np.cumsum(sizes, axis=1) - sizes
+    counts = {length: int(many) for length, many in enumerate(sizes.sum(1)) if many}
     made = plan(counts, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = np.asarray(batch.column("length"))
-            base = np.array([before[k] for k in zip(length.tolist(), batch.column("cell").to_pylist())], np.int64)
-            sequence, offset = made.place(length, base + np.asarray(batch.column("r")) - 1)
+            rank = before[length, np.asarray(batch.column("cell"))] + np.asarray(batch.column("r")) - 1
+            sequence, offset = made.place(length, rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     bounded_batches(docs.sparkSession, 5000)

@@ -17,7 +17,6 @@ and checksum; repeated rows get slots of their own; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,36 +76,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
     cells = max(LEAST_CELLS, min(MOST_CELLS, -(-total // (CELL_ROWS * shards))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("point"), F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("salt"))
     rows = rows.mapInArrow(arcs, "doc_id long, size long, text_crc32 long, salt int, arc int")
-    counts = {(r.arc, r.salt): r["count"] for r in rows.groupBy("arc", "salt").count().collect()}
-    per_arc = [sum(counts.get((a, s), 0) for s in range(cells)) for a in range(len(nodes))]
-    stretches = walk(per_arc, nodes, capacities(sum(per_arc), shards))
-    # stretch ends and first slots, by position in an arc; the cells of an arc follow each other
-    used = [0] * shards
-    ends, owners, firsts = [], [], []
-    for stretch in stretches:
-        end, e, o, f = 0, [], [], []
+    counts = np.zeros((len(nodes), cells), np.int64)
+    for r in rows.groupBy("arc", "salt").count().collect():
+        counts[r.arc, r.salt] = r["count"]
+    # rows in the order of arcs, cells and ranks have one global position; stretches are ranges of it
+    begin = (np.cumsum(counts.ravel()) - counts.ravel()).reshape(counts.shape)
+    used, end, ends, owners, shifts = [0] * shards, 0, [], [], []
+    for stretch in walk(counts.sum(1).tolist(), nodes, capacities(int(counts.sum()), shards)):
         for many, s in stretch:
-            f.append(used[s] - end)
-            used[s] += many
-            end += many
-            e.append(end), o.append(s)
-        ends.append(e), owners.append(o), firsts.append(f)
-    before = {}
-    for a in range(len(nodes)):
-        done = 0
-        for s in range(cells):
-            before[a, s] = done
-            done += counts.get((a, s), 0)
+            shifts.append(used[s] - end)
+            used[s], end = used[s] + many, end + many
+            ends.append(end), owners.append(s)
+    ends_, owners_, shifts_ = np.array(ends, np.int64), np.array(owners, np.int32), np.array(shifts, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard_, slot = [], []
-            for arc, salt, r in zip(*(batch.column(c).to_pylist() for c in ("arc", "salt", "r"))):
-                at = before[arc, salt] + r - 1
-                k = bisect_left(ends[arc], at + 1)
-                shard_.append(owners[arc][k]), slot.append(firsts[arc][k] + at)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "text_crc32")), pa.array(["rows"] * n, pa.string()), pa.array(shard_, pa.int32()), pa.array(slot, pa.int64()), pa.nulls(n, pa.int32())], names=["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
+            at = begin[np.asarray(batch.column("arc")), np.asarray(batch.column("salt"))] + np.asarray(batch.column("r")) - 1
+            k = np.searchsorted(ends_, at, "right")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "text_crc32")), pa.array(["rows"] * n, pa.string()), pa.array(owners_[k]), pa.array(at + shifts_[k]), pa.nulls(n, pa.int32())], names=["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
 
     order = Window.partitionBy("arc", "salt").orderBy("doc_id", "size", "text_crc32")
     placed = rows.withColumn("r", F.row_number().over(order).cast("long"))
