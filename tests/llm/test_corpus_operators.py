@@ -172,6 +172,19 @@ def test_decontamination(spark, empty, limit):
     assert decontaminate.leaks(docs, items.limit(0), index_windows=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.INDEX_WINDOWS, 0])
+def test_one_slot_at_odds_costs_its_own_windows_only(spark, limit):
+    words = make_words(60, 60)
+    item = [*words[:10], "40", *words[10:40], "40", *words[40:50], "3", "and", "5", *words[50:]]
+    equal, coincide = list(item), list(item)
+    equal[41] = "45"
+    coincide[52] = coincide[54] = "4"
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(equal)), (3, " ".join(coincide))], "doc_id long, text string")
+    windows = len(item) - 9
+    assert {r.doc_id: r.n_windows for r in decontaminate.leaks(docs, items, index_windows=limit).collect()} == {1: windows, 2: windows - 10, 3: windows - 12}
+
+
 def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
     got = sharding.shard(docs).collect()

@@ -2,10 +2,11 @@
 
 Texts are canonicalised token by token: numbers, units after numbers and names (capitalised inside a
 sentence) become typed placeholders, other words are lower-cased without outer punctuation. Windows
-of ``WIDTH`` template tokens are joined by hash with the windows of the benchmark items. A match
-counts if its slots are consistent: over all matched windows of one alignment of a document with an
-item, equal slot values of the item stand for equal values of the document, and different for
-different ones, within a type.
+of ``WIDTH`` template tokens are joined by hash with the windows of the benchmark items. A matched
+window counts if its slots are consistent: over all matched windows of one alignment of a document
+with an item, equal slot values of the item stand for equal values of the document, and different for
+different ones, within a type. A changed value that is at odds with another costs the windows that
+hold it and no others, so windows that are literally equal always count.
 
 The index of benchmark windows goes to every task if it has at most ``INDEX_WINDOWS`` windows, which
 is counted first; a larger benchmark is joined by Spark on window hashes instead, with equal results.
@@ -19,7 +20,7 @@ an id; other columns are ignored by ``leaks`` and kept by ``without_leaks``.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -170,9 +171,12 @@ class Index:
         return out
 
 
-def _consistent(pairs: set[tuple[int, int, int]]) -> bool:
-    """Whether (kind, value of the item, value of the document) is one to one within each kind."""
-    return len(pairs) == len({(k, a) for k, a, _ in pairs}) == len({(k, b) for k, _, b in pairs})
+def _sound(windows: list[set[tuple[int, int, int]]]) -> int:
+    """How many windows of one alignment, each with its (kind, value of the item, value of the document), hold no changed value at odds with another."""
+    pairs = set().union(*windows)
+    theirs, ours = Counter((k, a) for k, a, _ in pairs), Counter((k, b) for k, _, b in pairs)
+    odd = {(k, a, b) for k, a, b in pairs if a != b and (theirs[k, a] > 1 or ours[k, b] > 1)}
+    return sum(odd.isdisjoint(w) for w in windows)
 
 
 def _matches(ids: list, texts: list[str | None], index: Index, least: int) -> Iterator[tuple[int, int | None, int]]:
@@ -189,9 +193,7 @@ def _matches(ids: list, texts: list[str | None], index: Index, least: int) -> It
     counts: dict[tuple[int, int], int] = defaultdict(int)
     for (doc, row, _), windows in found.items():
         _, values, kinds = index.items[row]
-        pairs = {(int(kinds[b + k]), int(values[b + k]), int(value[s + k])) for s, b, w in windows for k in range(w) if kinds[b + k] != WORD_KIND}
-        if _consistent(pairs):
-            counts[doc, row] += len(windows)
+        counts[doc, row] += _sound([{(int(kinds[b + k]), int(values[b + k]), int(value[s + k])) for k in range(w) if kinds[b + k] != WORD_KIND} for s, b, w in windows])
     for (doc, row), n in sorted(counts.items()):
         if n >= least:
             yield ids[doc], index.items[row][0], n
@@ -230,21 +232,22 @@ def _emit_windows(widths: list[int] | None, width: int):
 _EMITTED = "row long, start long, width long, hash long, slots array<long>"
 
 
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, item_id, n) of alignments with their windows' slots."""
+    for batch in batches:
+        n = [_sound([{(t[i + 1], t[i + 2], o[i + 2]) for t, o in [(w["theirs"], w["slots"])] for i in range(0, len(t), 3)} for w in ws]) for ws in batch.column("windows").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), pa.array(n, pa.int64())], names=["row", "item_id", "n"])
+
+
 def _by_join(docs: DataFrame, items: DataFrame, width: int, least: int) -> DataFrame:
     theirs = cut(items.mapInArrow(_emit_windows(None, width), _EMITTED))
     widths = sorted(r.width for r in theirs.select("width").distinct().collect())  # at most ``width`` values
     ours = docs.mapInArrow(_emit_windows(widths, width), _EMITTED) if widths else docs.sparkSession.createDataFrame([], _EMITTED)
     b = theirs.select(F.col("row").alias("item_id"), F.col("start").alias("begin"), "hash", F.col("slots").alias("theirs"))
     joined = ours.join(b, "hash").withColumn("shift", F.col("start") - F.col("begin"))
-    n = F.size("theirs") / 3
-    pairs = F.when(n == 0, F.array()).otherwise(
-        F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.struct(F.get("theirs", 3 * i + 1).alias("k"), F.get("theirs", 3 * i + 2).alias("a"), F.get("slots", 3 * i + 2).alias("b")))
-    )
-    # the slots of one alignment are as many as the item's tokens at most
-    aligned = joined.groupBy("row", "item_id", "shift").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"))
-    left = F.array_distinct(F.transform("p", lambda x: F.struct(x["k"], x["a"])))
-    right = F.array_distinct(F.transform("p", lambda x: F.struct(x["k"], x["b"])))
-    good = aligned.where((F.size("p") == F.size(left)) & (F.size("p") == F.size(right)))
+    # the windows of one alignment are as many as the item's tokens at most
+    aligned = joined.groupBy("row", "item_id", "shift").agg(F.collect_list(F.struct("theirs", "slots")).alias("windows"))
+    good = aligned.mapInArrow(_judge, "row long, item_id long, n long")
     return good.groupBy("row", "item_id").agg(F.sum("n").alias("n_windows")).where(F.col("n_windows") >= least)
 
 
