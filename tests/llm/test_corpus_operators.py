@@ -185,6 +185,18 @@ def test_one_slot_at_odds_costs_its_own_windows_only(spark, limit):
     assert {r.doc_id: r.n_windows for r in decontaminate.leaks(docs, items, index_windows=limit).collect()} == {1: windows, 2: windows - 10, 3: windows - 12}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.INDEX_WINDOWS, 0])
+def test_items_without_a_template_are_found_word_for_word(spark, limit):
+    texts = ["What is 12 + 34 - 5 * 6 / 2?", "What is the capital of France?", "Who wrote Hamlet?", "in 1901 1905 1912 1933 1940 1944 1951 1967 1970 1988 1999", "The town Alice Bob Carol Dan Erin Frank Grace"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    questions = [f"words before 1) {t} and after" for t in texts] + ["he asked (a) What is the capital of Spain?", "What is 12 + 34 - 5 * 6 / 3?", "Who wrote Emma?", "What is the size of France?"]
+    docs = spark.createDataFrame(list(enumerate(questions)), "doc_id long, text string")
+    found = {r.doc_id: (r["items"], r.n_windows) for r in decontaminate.leaks(docs, items, index_windows=limit).collect()}
+    assert found == {0: ("0", 1), 1: ("1", 1), 2: ("2", 1), 3: ("3", 3), 4: ("4", 1), 5: ("1", 1)}
+    kept = decontaminate.without_leaks(docs, items, index_windows=limit)
+    assert {r.doc_id for r in kept.collect()} == {6, 7, 8}
+
+
 def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
     got = sharding.shard(docs).collect()

@@ -8,12 +8,18 @@ with an item, equal slot values of the item stand for equal values of the docume
 different ones, within a type. A changed value that is at odds with another costs the windows that
 hold it and no others, so windows that are literally equal always count.
 
+Each window is also read word for word, which finds verbatim copies that templates can not tell: windows
+with fewer than half literal tokens, and whole items too short for a template. A document's window is
+read a third time if its first word is capitalised: as a name if it begins a sentence, else as a word.
+All windows make a leak; ``n_windows`` are those equal by template, as in the SQL, and for an item that
+has none of them all its windows.
+
 The index of benchmark windows goes to every task if it has at most ``INDEX_WINDOWS`` windows, which
 is counted first; a larger benchmark is joined by Spark on window hashes instead, with equal results.
 
-Defined results: null and empty texts have no tokens; an item of fewer than ``LEAST_TOKENS`` tokens
-matches nothing, one shorter than a window is one window of its own length; windows with fewer than
-half literal tokens match nothing; repeated rows give equal results; a null id of an item counts as
+Defined results: null and empty texts have no tokens; an item shorter than a window is one window of
+its own length; an item of fewer than ``LEAST_TOKENS`` tokens, and a window with fewer than half literal
+tokens, match only word for word; repeated rows give equal results; a null id of an item counts as
 an id; other columns are ignored by ``leaks`` and kept by ``without_leaks``.
 """
 
@@ -52,6 +58,9 @@ WORD_KIND, NUMBER_KIND, UNIT_KIND, NAME_KIND = range(4)
 _PLACEHOLDERS = mix(np.arange(101, 105, dtype=np.uint64))
 
 
+_FACTOR = np.uint64(0xD1342543DE82EF95)
+
+
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode())
 
@@ -99,8 +108,22 @@ class _Lexicon(dict):
 _lexicon = _Lexicon()
 
 
-def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, value, kind, first token of each text) of texts one after another."""
+@dataclass
+class Template:
+    """Tokens of texts one after another."""
+
+    symbol: np.ndarray
+    value: np.ndarray
+    kind: np.ndarray
+    turned: np.ndarray  # the kind of a capitalised word at the other place in a sentence; of other tokens their own
+    first: np.ndarray  # first token of each text
+
+
+def _symbols(value: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return np.where(kind == WORD_KIND, value, _PLACEHOLDERS[kind])
+
+
+def template(texts: list[str | None]) -> Template:
     global _lexicon
     if len(_lexicon) > CACHE_ENTRIES:
         _lexicon = _Lexicon()
@@ -124,31 +147,54 @@ def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     kind[((flags & 8) != 0) & ~begins] = NAME_KIND
     kind[(((flags & 4) != 0) & after) | ((flags & 64) != 0)] = UNIT_KIND
     kind[number] = NUMBER_KIND
-    symbol = np.where(kind == WORD_KIND, value, _PLACEHOLDERS[kind])
+    turned = np.where((flags & 8) != 0, np.where(kind == NAME_KIND, WORD_KIND, NAME_KIND), kind)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return symbol, value, kind, first
+    return Template(_symbols(value, kind), value, kind, turned, first)
 
 
-def _windows(symbol: np.ndarray, kind: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows of whole texts with enough literal tokens."""
+def _rolling(symbol: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` symbols, before ``mix``."""
     n = len(symbol) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
     v, h = mix(symbol + np.uint64(width)), np.zeros(n, np.uint64)
     for k in range(width):
-        h *= np.uint64(0xD1342543DE82EF95)
+        h *= _FACTOR
         h += v[k : k + n]
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    literal = np.concatenate([[0], np.cumsum(kind == WORD_KIND)])
-    at = np.flatnonzero((doc[:n] == doc[width - 1 :]) & (2 * (literal[width:] - literal[:n]) >= width))
-    return at, mix(h[at])
+    return h
+
+
+def _windows(t: Template, width: int, turn: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool, np.ndarray]]:
+    """(start, hash, by template, word for word, kinds of all tokens) of the windows of whole texts, by reading.
+
+    Word for word all windows are read; by template those with a slot and enough literal tokens, as
+    without a slot both are one; with ``turn``, those that begin with a capitalised word once more.
+    """
+    n = len(t.value) - width + 1
+    if n <= 0:
+        return
+    doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
+    whole = doc[:n] == doc[width - 1 :]
+    exact = _rolling(t.value, width)
+    literal = np.concatenate([[0], np.cumsum(t.kind == WORD_KIND)])
+    words = literal[width:] - literal[:n]
+    at = np.flatnonzero(whole)
+    yield at, mix(exact[at]), (words[at] == width) & (width >= LEAST_TOKENS), True, t.kind
+    if width < LEAST_TOKENS:
+        return
+    typed = exact if (t.kind == WORD_KIND).all() else _rolling(t.symbol, width)
+    at = np.flatnonzero(whole & (words < width) & (2 * words >= width))
+    yield at, mix(typed[at]), np.ones(len(at), bool), False, t.kind
+    if turn:
+        words = words - (t.kind[:n] == WORD_KIND) + (t.turned[:n] == WORD_KIND)
+        at = np.flatnonzero(whole & (t.turned[:n] != t.kind[:n]) & (words < width) & (2 * words >= width))
+        step = mix(_symbols(t.value[at], t.turned[at]) + np.uint64(width)) - mix(t.symbol[at] + np.uint64(width))
+        yield at, mix(typed[at] + step * np.uint64(pow(int(_FACTOR), width - 1, 2**64))), np.zeros(len(at), bool), False, t.turned
 
 
 @dataclass
 class Index:
     """Benchmark windows: where each hash occurs, and the slots of each item."""
 
-    places: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))  # hash -> (item's row, start)
+    places: dict[int, list[tuple[int, int, bool]]] = field(default_factory=lambda: defaultdict(list))  # hash -> (item's row, start, by template)
     items: list[tuple[int | None, np.ndarray, np.ndarray]] = field(default_factory=list)  # id, values, kinds
     widths: set[int] = field(default_factory=set)
     hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
@@ -157,98 +203,129 @@ class Index:
     def of(cls, items: list[tuple[int | None, str | None]], width: int) -> "Index":
         out = cls()
         for item, text in items:
-            symbol, value, kind, first = template([text])
-            n = len(symbol)
-            if n < LEAST_TOKENS:
+            t = template([text])
+            if not len(t.value):
                 continue
-            w = min(width, n)
-            out.items.append((item, value, kind))
-            for start, h in zip(*_windows(symbol, kind, first, w)):
-                out.places[int(h)].append((len(out.items) - 1, int(start)))
-                out.widths.add(w)
+            w = min(width, len(t.value))
+            out.widths.add(w)
+            out.items.append((item, t.value, t.kind))
+            for at, h, typed, _, _ in _windows(t, w, turn=False):
+                for start, key, plain in zip(at.tolist(), h.tolist(), typed.tolist()):
+                    out.places[key].append((len(out.items) - 1, start, plain))
         out.places = dict(out.places)
         out.hashes = np.sort(np.array(list(out.places), np.uint64))
         return out
 
+    def sieve(self) -> np.ndarray:
+        """Which last bits the hashes have, to let most others pass by."""
+        out = np.zeros(2 ** min(22, max(16, (64 * len(self.hashes)).bit_length())), bool)
+        out[self.hashes & np.uint64(len(out) - 1)] = True
+        return out
+
+    def known(self, h: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+        """Where hashes of the index are."""
+        if not len(self.hashes):
+            return np.empty(0, np.int64)
+        near = np.flatnonzero(sieve[h & np.uint64(len(sieve) - 1)])
+        place = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+        return near[self.hashes[place] == h[near]]
 
-def _sound(windows: list[set[tuple[int, int, int]]]) -> int:
-    """How many windows of one alignment, each with its (kind, value of the item, value of the document), hold no changed value at odds with another."""
+
+def _sound(windows: list[set[tuple[int, int, int]]]) -> list[bool]:
+    """Whether each window of one alignment, given its (kind, value of the item, value of the document), holds no changed value at odds with another."""
     pairs = set().union(*windows)
     theirs, ours = Counter((k, a) for k, a, _ in pairs), Counter((k, b) for k, _, b in pairs)
     odd = {(k, a, b) for k, a, b in pairs if a != b and (theirs[k, a] > 1 or ours[k, b] > 1)}
-    return sum(odd.isdisjoint(w) for w in windows)
+    return [odd.isdisjoint(w) for w in windows]
 
 
-def _matches(ids: list, texts: list[str | None], index: Index, least: int) -> Iterator[tuple[int, int | None, int]]:
+def _matches(ids: list, texts: list[str | None], index: Index, least: int, sieve: np.ndarray) -> Iterator[tuple[int, int | None, int]]:
     """(doc_id, item_id, matched windows) of the leaks in a batch."""
-    symbol, value, kind, first = template(texts)
-    found: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    t = template(texts)
+    found: dict[tuple[int, int, int], dict[tuple[int, int, int], bool]] = defaultdict(dict)
     for width in sorted(index.widths):
-        at, h = _windows(symbol, kind, first, width)
-        hit = np.flatnonzero(np.isin(h, index.hashes))
-        docs = np.searchsorted(first, at[hit], "right") - 1
-        for start, doc, key in zip(at[hit].tolist(), docs.tolist(), h[hit].tolist()):
-            for row, begin in index.places[key]:
-                found[doc, row, start - begin].append((start, begin, width))
-    counts: dict[tuple[int, int], int] = defaultdict(int)
+        for at, h, typed, _, _ in _windows(t, width, turn=True):
+            hit = index.known(h, sieve)
+            docs = np.searchsorted(t.first, at[hit], "right") - 1
+            for start, doc, key, plain in zip(at[hit].tolist(), docs.tolist(), h[hit].tolist(), typed[hit].tolist()):
+                for row, begin, also in index.places[key]:
+                    windows = found[doc, row, start - begin]
+                    windows[start, begin, width] = windows.get((start, begin, width), False) or (plain and also)
+    counts: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
     for (doc, row, _), windows in found.items():
         _, values, kinds = index.items[row]
-        counts[doc, row] += _sound([{(int(kinds[b + k]), int(values[b + k]), int(value[s + k])) for k in range(w) if kinds[b + k] != WORD_KIND} for s, b, w in windows])
-    for (doc, row), n in sorted(counts.items()):
-        if n >= least:
-            yield ids[doc], index.items[row][0], n
+        sound = _sound([{(int(kinds[b + k]), int(values[b + k]), int(t.value[s + k])) for k in range(w) if kinds[b + k] != WORD_KIND} for s, b, w in windows])
+        counts[doc, row][0] += sum(sound)
+        counts[doc, row][1] += sum(ok and plain for ok, plain in zip(sound, windows.values()))
+    for (doc, row), (n, typed) in sorted(counts.items()):
+        if n and n >= least:
+            yield ids[doc], index.items[row][0], typed or n
 
 
 def _by_index(docs: DataFrame, index: Index, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = index.sieve()
         for batch in batches:
-            rows = list(_matches(batch.column("row").to_pylist(), batch.column("text").to_pylist(), index, least))
+            rows = list(_matches(batch.column("row").to_pylist(), batch.column("text").to_pylist(), index, least, sieve))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["row", "item_id", "n_windows"])
 
     return docs.mapInArrow(run, "row long, item_id long, n_windows long")
 
 
 def _emit_windows(widths: list[int] | None, width: int):
-    """Rows (row, start, hash, slots) for the join by Spark; slots are (place, kind, value) flattened."""
+    """Rows (row, start, width, hash, typed, exact, slots) for the join by Spark, of documents if there are widths, else of items.
+
+    Slots are (place, kind, value) flattened; a document's window read word for word needs none, as it has the item's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            symbol, value, kind, first = template(batch.column("text").to_pylist())
-            ids, sizes = batch.column("row").to_pylist(), np.diff(first)
+            t = template(batch.column("text").to_pylist())
+            ids, sizes = batch.column("row").to_pylist(), np.diff(t.first)
+            values = t.value.view(np.int64)
             out: list[tuple] = []
-            for w in widths or range(LEAST_TOKENS, width + 1):
-                at, h = _windows(symbol, kind, first, w)
-                doc = np.searchsorted(first, at, "right") - 1
-                # an item's own windows have one width: the whole item, if it is shorter
-                keep = np.ones(len(at), bool) if widths else (np.minimum(sizes[doc], width) == w)
-                for start, d, key in zip(at[keep].tolist(), doc[keep].tolist(), h[keep].view(np.int64).tolist()):
-                    slots = [x for k in range(w) if kind[start + k] for x in (k, int(kind[start + k]), int(value[start + k : start + k + 1].view(np.int64)[0]))]
-                    out.append((ids[d], start - int(first[d]), w, key, slots))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], pa.list_(pa.int64()))], names=["row", "start", "width", "hash", "slots"])
+            for w in widths or range(1, width + 1):
+                for at, h, typed, exact, kind in _windows(t, w, turn=bool(widths)):
+                    doc = np.searchsorted(t.first, at, "right") - 1
+                    # an item's own windows have one width: the whole item, if it is shorter
+                    keep = np.ones(len(at), bool) if widths else (np.minimum(sizes[doc], width) == w)
+                    for start, d, key, plain in zip(at[keep].tolist(), doc[keep].tolist(), h[keep].view(np.int64).tolist(), typed[keep].tolist()):
+                        kinds = [int(kind[start]), *t.kind[start + 1 : start + w].tolist()]
+                        slots = [] if exact and widths else [x for k, c in enumerate(kinds) if c for x in (k, c, int(values[start + k]))]
+                        out.append((ids[d], start - int(t.first[d]), w, key, plain, exact, slots))
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())))], names=["row", "start", "width", "hash", "typed", "exact", "slots"])
 
     return run
 
 
-_EMITTED = "row long, start long, width long, hash long, slots array<long>"
+_EMITTED = "row long, start long, width long, hash long, typed boolean, exact boolean, slots array<long>"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, item_id, n) of alignments with their windows' slots."""
+    """Rows (row, item_id, n, typed) of alignments with their windows' slots."""
     for batch in batches:
-        n = [_sound([{(t[i + 1], t[i + 2], o[i + 2]) for t, o in [(w["theirs"], w["slots"])] for i in range(0, len(t), 3)} for w in ws]) for ws in batch.column("windows").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), pa.array(n, pa.int64())], names=["row", "item_id", "n"])
+        n, typed = [], []
+        for windows in batch.column("windows").to_pylist():
+            sound = _sound([{(t[i + 1], t[i + 2], o[i + 2]) for t, o in [(w["theirs"], w["slots"])] for i in range(0, len(t), 3)} for w in windows])
+            n.append(sum(sound))
+            typed.append(sum(ok and w["typed"] for ok, w in zip(sound, windows)))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), pa.array(n, pa.int64()), pa.array(typed, pa.int64())], names=["row", "item_id", "n", "typed"])
 
 
 def _by_join(docs: DataFrame, items: DataFrame, width: int, least: int) -> DataFrame:
     theirs = cut(items.mapInArrow(_emit_windows(None, width), _EMITTED))
     widths = sorted(r.width for r in theirs.select("width").distinct().collect())  # at most ``width`` values
     ours = docs.mapInArrow(_emit_windows(widths, width), _EMITTED) if widths else docs.sparkSession.createDataFrame([], _EMITTED)
-    b = theirs.select(F.col("row").alias("item_id"), F.col("start").alias("begin"), "hash", F.col("slots").alias("theirs"))
-    joined = ours.join(b, "hash").withColumn("shift", F.col("start") - F.col("begin"))
+    b = theirs.select(F.col("row").alias("item_id"), F.col("start").alias("begin"), "hash", F.col("typed").alias("also"), F.col("slots").alias("theirs"))
+    joined = ours.join(b, "hash").withColumn("shift", F.col("start") - F.col("begin")).withColumn("slots", F.when(F.col("exact"), F.col("theirs")).otherwise(F.col("slots")))
+    # a window that is read in two ways counts once
+    joined = joined.groupBy("row", "item_id", "shift", "start").agg(F.first("theirs").alias("theirs"), F.first("slots").alias("slots"), F.max(F.col("typed") & F.col("also")).alias("typed"))
     # the windows of one alignment are as many as the item's tokens at most
-    aligned = joined.groupBy("row", "item_id", "shift").agg(F.collect_list(F.struct("theirs", "slots")).alias("windows"))
-    good = aligned.mapInArrow(_judge, "row long, item_id long, n long")
-    return good.groupBy("row", "item_id").agg(F.sum("n").alias("n_windows")).where(F.col("n_windows") >= least)
+    aligned = joined.groupBy("row", "item_id", "shift").agg(F.collect_list(F.struct("theirs", "slots", "typed")).alias("windows"))
+    good = aligned.mapInArrow(_judge, "row long, item_id long, n long, typed long")
+    counted = good.groupBy("row", "item_id").agg(F.sum("n").alias("n"), F.sum("typed").alias("typed")).where((F.col("n") > 0) & (F.col("n") >= least))
+    return counted.select("row", "item_id", F.when(F.col("typed") > 0, F.col("typed")).otherwise(F.col("n")).alias("n_windows"))
 
 
 def _leaks(rows: DataFrame, benchmark: DataFrame, width: int, least: int, index_windows: int) -> DataFrame:
