@@ -234,6 +234,18 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_wrappers_and_sections_with_marked_names_are_kept():
+    first, second = " ".join(make_words(61, 40)), " ".join(make_words(62, 40))
+    nav = "<nav><a>one</a><a>two</a></nav>"
+    for page in (
+        f'<html class="no-banner"><body class="has-sidebar">{nav}<p>{first}<p>{second}</body></html>',
+        f'<body><div id="page" class="content header-fixed">{nav}<p>{first}</p><p>{second}</p></div></body>',
+        f'<body><div class="header-fixed"><article><p>{first}</p><p>{second}</p></article></div></body>',
+        f'<body>{nav}<article><p>{first}</p><div class="ad">buy now cheap</div><section class="related-work"><p>{second}</p></section></article></body>',
+    ):
+        assert html_extract.extract(page, {}) == f"{first}\n{second}", page
+
+
 @given(st.text(alphabet="<>/!-\"'= abpdiv&;\n", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_html_extraction_reads_anything(page):

@@ -4,6 +4,9 @@ A page is read as one sequence of tokens: words and tags. Each token has a weigh
 labelled pages as the log-odds of lying inside the main region rather than outside it: a word's by
 the element that it stands in, a tag's by its name. One linear scan (Kadane) finds the contiguous
 region of the greatest total weight; its blocks, without any boilerplate nested in it, are the text.
+Boilerplate are some elements by name, and those whose class, id or role has a word for it if their
+own words, by weights learned under such marks, are worth nothing; never html, body and what encloses
+the whole region.
 
 Labelled pages are those that mark their main region themselves with ``<article>`` or ``<main>``;
 at most ``SAMPLE_PAGES`` of them, chosen by a hash, train the weights. That markup is never a token
@@ -40,19 +43,20 @@ BOILERPLATE = set("nav aside footer header form menu button dialog".split())
 INLINE_CONTEXT = {"a", "label", "button"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 LABELS = ("article", "main")
+WHOLE = ("html", "body")
 BOILERPLATE_WORDS = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu nav navbar navigation newsletter notice pager pagination popup promo related respond share sidebar social sponsor sponsored subscribe widget".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<opaque>{'|'.join(OPAQUE)})\b[^>]*>.*?(?:</(?P=opaque)\s*>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, value, context, in a labelled region, in boilerplate); kinds: text, tag, break."""
-    stack: list[tuple[str, bool]] = []  # open elements that matter, each with: is boilerplate
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool, tuple[int, ...]]]:
+    """(kind, value, context, in a labelled region, in boilerplate, open marked elements); kinds: text, tag, break."""
+    stack: list[tuple[str, bool, int]] = []  # open elements that matter, each with: is boilerplate, its number if it is marked
     done = labelled = 0
 
-    def here(value: str, kind: str) -> tuple[str, str, str, bool, bool]:
-        return kind, value, stack[-1][0] if stack else "", labelled > 0, any(b for _, b in stack)
+    def here(value: str, kind: str) -> tuple[str, str, str, bool, bool, tuple[int, ...]]:
+        return kind, value, stack[-1][0] if stack else "", labelled > 0, any(s[1] for s in stack), tuple(s[2] for s in stack if s[2])
 
     for m in TOKEN.finditer(page):
         if m.start() > done:
@@ -64,7 +68,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         if name in LABELS:
             yield here("", "break")
             labelled = max(0, labelled + (-1 if m["close"] else 1))
-            stack = [s for s in stack if s[1]] if not m["close"] else stack
+            stack = [s for s in stack if s[1] or s[2]] if not m["close"] else stack
             continue
         noted = name in BLOCKS or name in INLINE_CONTEXT
         if m["close"]:
@@ -72,11 +76,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             if noted and name in (open_ := [s[0].split(".")[0] for s in stack]):
                 del stack[len(open_) - 1 - open_[::-1].index(name) :]
         else:
-            marks = {w for a in ATTRIBUTE.finditer(m["attrs"] or "") for w in re.split(r"[^a-z]+", (a[1] or a[2] or a[3] or "").lower())} & BOILERPLATE_WORDS
+            marks = {w for a in ATTRIBUTE.finditer(m["attrs"] or "") for w in re.split(r"[^a-z]+", (a[1] or a[2] or a[3] or "").lower())} & BOILERPLATE_WORDS if name not in WHOLE else set()
             if noted and name not in VOID:
                 if name == "p" and stack and stack[-1][0] == "p":
                     stack.pop()
-                stack.append((name + (".x" if marks else ""), bool(marks) or name in BOILERPLATE))
+                stack.append((name + (".x" if marks else ""), name in BOILERPLATE, m.start() + 1 if marks else 0))
             yield here(name, "tag")
         if name in BLOCKS:
             yield here("", "break")
@@ -87,12 +91,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
 
 
 def features(page: str) -> Counter:
-    """Counts of (feature, inside) for training; words count by context, tags by name."""
+    """Counts of (feature, inside) for training; words count by context, those in marked elements once more, tags by name."""
     out: Counter = Counter()
-    for kind, value, context, inside, _ in tokens(page):
+    for kind, value, context, inside, _, marks in tokens(page):
         if kind == "text":
             if n := len(value.split()):
                 out["w:" + context, inside] += n
+                if marks:
+                    out["m:" + context, inside] += n
         elif kind == "tag":
             out["t:" + value, inside] += 1
     return out
@@ -101,7 +107,9 @@ def features(page: str) -> Counter:
 def _prior(feature: str) -> float:
     kind, _, name = feature.partition(":")
     poor = name.endswith(".x") or name in BOILERPLATE or name in INLINE_CONTEXT
-    return (-WORD_PRIOR if poor else WORD_PRIOR) if kind == "w" else TAG_PRIOR
+    if kind == "t":
+        return TAG_PRIOR
+    return -WORD_PRIOR if poor else WORD_PRIOR if kind == "w" else WORD_PRIOR / 2
 
 
 def extract(page: str | None, learned: dict[str, float]) -> str:
@@ -111,7 +119,7 @@ def extract(page: str | None, learned: dict[str, float]) -> str:
     seq = list(tokens(page))
     best = total = 0.0
     begin = first = last = 0
-    for i, (kind, value, context, _, _) in enumerate(seq):
+    for i, (kind, value, context, _, _, _) in enumerate(seq):
         if kind == "text":
             n = len(value.split())
             gain = n * learned.get("w:" + context, _prior("w:" + context)) if n else 0.0
@@ -124,10 +132,18 @@ def extract(page: str | None, learned: dict[str, float]) -> str:
         total += gain
         if total > best:
             best, first, last = total, begin, i + 1
+    region = seq[first:last]
+    worth: dict[int, float] = {}  # of the marked elements nested in the region
+    around = set(region[0][5]).intersection(region[-1][5]) if region else set()
+    for kind, value, context, _, _, marks in region:
+        if marks and kind == "text" and (n := len(value.split())):
+            for mark in marks:
+                worth[mark] = worth.get(mark, 0.0) + n * learned.get("m:" + context, _prior("m:" + context))
+    worthless = {mark for mark, w in worth.items() if w <= 0} - around
     blocks, block = [], []
-    for kind, value, _, _, poor in seq[first:last]:
+    for kind, value, _, _, poor, marks in region:
         if kind == "text":
-            if not poor:
+            if not poor and worthless.isdisjoint(marks):
                 block.append(value)
         elif kind == "break":
             blocks.append("".join(block))
@@ -161,7 +177,8 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     out = {}
     for f in sorted({f for f, _ in counts}):
         a, b = counts.get((f, True), 0), counts.get((f, False), 0)
-        rate = math.log((a + 0.5) / (totals[f[0], True] + 1)) - math.log((b + 0.5) / (totals[f[0], False] + 1))
+        of = "t" if f[0] == "t" else "w"  # marked words are words too
+        rate = math.log((a + 0.5) / (totals[of, True] + 1)) - math.log((b + 0.5) / (totals[of, False] + 1))
         share = (a + b) / (a + b + PRIOR_TOKENS)
         out[f] = max(-WEIGHT_LIMIT, min(WEIGHT_LIMIT, share * rate + (1 - share) * _prior(f)))
     return out
