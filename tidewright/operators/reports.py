@@ -111,7 +111,7 @@ def health(frames: DataFrame, validity: DataFrame, columns: list[str], unreadabl
         "episodes": n,
         "coverage": [r.asDict() for r in feature_coverage(frames, columns, n).orderBy("feature").collect()],
         "structure": structural_tally(validity).first().asDict(),
-        "defects": sorted(r.episode_index for r in validity.where("not is_valid").select("episode_index").limit(1000).collect()),
+        "defects": [r.episode_index for r in validity.where("not is_valid").select("episode_index").orderBy("episode_index").toLocalIterator()],
         "unreadable": unreadable or {},
     }
 

@@ -13,7 +13,7 @@ NO_CLAIM = "No policy was trained or evaluated, so nothing is claimed about the
 def scorecard(result: Result, effect: dict | None = None) -> dict:
     summary = reports.quality_summary(result.decisions).first().asDict()
     signals = [r.asDict() for r in reports.signal_report(result.scores).orderBy("signal").collect()]
-    removed = [r.asDict() for r in result.decisions.where("not kept").orderBy("episode_index").limit(1000).collect()]
+    removed = [r.asDict() for r in result.decisions.where("not kept").orderBy("episode_index").toLocalIterator()]
     return {"summary": summary, "signals": signals, "removed": removed, "baseline_n": len(result.baseline or []), "effect": effect or NO_CLAIM, "config": result.spec.to_dict()}
 
 
