@@ -36,8 +36,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE_CHARS = string.ascii_letters + string.digits + "+/_=-"
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-CANDIDATE_LEAST = 20
+#: The shortest of the random strings that the model is trained on.
+CANDIDATE_LEAST = 16
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}")
 
 #: The identifiers are at most so many words of about so many documents; the random strings are so many.
 SAMPLE_DOCUMENTS = 2000
@@ -107,7 +108,7 @@ def _log_model(strings: list[str], smoothing: float) -> np.ndarray:
 def random_strings(n: int = SAMPLE_STRINGS, seed: int = 20) -> list[str]:
     """Labelled sample of random strings."""
     draw = random.Random(seed)
-    return ["".join(draw.choices(_ALPHABETS[i % len(_ALPHABETS)], k=draw.randint(16, 64))) for i in range(n)]
+    return ["".join(draw.choices(_ALPHABETS[i % len(_ALPHABETS)], k=draw.randint(CANDIDATE_LEAST, 64))) for i in range(n)]
 
 
 def identifiers(words: list[str], seed: int = 21) -> list[str]:
@@ -134,10 +135,19 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPL
     return MarkovRatio.train(random_strings(), identifiers([r.word for r in rows]))
 
 
+def _outside(start: int, end: int, base: list) -> Iterator[tuple[int, int]]:
+    """What base spans, in order, leave of a run, if it is long enough."""
+    for s, e, _ in [*base, (end, end, "")]:
+        if start < end and e > start and s <= end:
+            if s - start >= CANDIDATE_LEAST:
+                yield start, s
+            start = max(start, e)
+
+
 def spans_of(text: str, model: MarkovRatio) -> tuple[list, list]:
-    """(base spans, all spans); a candidate that meets a base span is left to it."""
+    """(base spans, all spans); of a candidate that meets base spans what is left on either side is judged alone."""
     base = base_spans(text)
-    more = [(m.start(), m.end(), "markov") for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in base) and model.accepts(m.group())]
+    more = [(s, e, "markov") for m in CANDIDATE.finditer(text) for s, e in _outside(m.start(), m.end(), base) if model.accepts(text[s:e])]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
