@@ -1,11 +1,12 @@
 """Learned signals and the behaviour-cloning policy, in NumPy: small networks, trained full-batch with Adam.
 
-Training runs on the driver on embeddings or on a bounded number of steps; per-episode gradients run
-on the executors with the weights in the closure.
+Training runs on the driver on embeddings or on as many steps as fit there; with more steps each epoch's
+gradient is summed on the executors, as per-episode gradients are, with the weights in the closure.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,11 +55,15 @@ class MLP:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.01, keep: tuple[float, ...] = ()) -> list["MLP"]:
         """Trains in place; copies at the given shares of the epochs are returned."""
+        return self.descend(lambda: self.gradient(x, y, 1 / max(1, len(x))), epochs, rate, keep)
+
+    def descend(self, gradient: Callable[[], list[np.ndarray]], epochs: int, rate: float = 0.01, keep: tuple[float, ...] = ()) -> list["MLP"]:
+        """Trains in place by full-batch gradients; copies at the given shares of the epochs are returned."""
         m = [np.zeros_like(w) for w in self.weights]
         v = [np.zeros_like(w) for w in self.weights]
         marks, kept = {max(1, round(k * epochs)) for k in keep}, []
         for e in range(1, epochs + 1):
-            for i, g in enumerate(self.gradient(x, y, 1 / max(1, len(x)))):
+            for i, g in enumerate(gradient()):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 self.weights[i] = self.weights[i] - rate * (m[i] / (1 - 0.9**e)) / (np.sqrt(v[i] / (1 - 0.999**e)) + 1e-8)
@@ -99,20 +104,52 @@ def demo_score(vectors: DataFrame, labels: DataFrame, hidden: int = 16, epochs:
     return _scores(spec, df, F.col("v"), F.col("s"), F.col("suspected_mislabel"))
 
 
-def steps(frames: DataFrame, state: str = "state", action: str = "action", most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """States and actions in episode and step order; no more than ``most`` rows come to the driver, chosen by a hash of the episode."""
-    n = frames.count()
-    chosen = frames if n <= most else frames.where(F.pmod(F.xxhash64("episode_index"), F.lit(2**20)) < int(most / n * 2**20))
-    rows = chosen.orderBy("episode_index", "step").select(state, action).limit(most).collect()
+def steps(frames: DataFrame, state: str = "state", action: str = "action", most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray] | DataFrame:
+    """States and actions in episode and step order on the driver; of more than ``most`` rows a table (x, y) of all of them."""
+    if frames.count() > most:
+        return frames.select(F.col(state).alias("x"), F.col(action).alias("y"))
+    rows = frames.orderBy("episode_index", "step").select(state, action).collect()
     return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
 
 
+def _summed(table: DataFrame, part: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+    """Sum over all rows of what ``part`` makes of some rows' states and actions, computed on the executors."""
+
+    def run(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                found = part(np.array(pdf["x"].tolist(), float), np.array(pdf["y"].tolist(), float))
+                total = found if total is None else [a + b for a, b in zip(total, found)]
+        if total is not None:
+            yield pd.DataFrame({"g": [[np.ravel(a).tolist() for a in total]], "shapes": [[list(np.shape(a)) for a in total]]})
+
+    rows = table.mapInPandas(run, "g array<array<double>>, shapes array<array<int>>").collect()  # one row per task
+    return [np.sum([np.array(r.g[i]) for r in rows], axis=0).reshape(rows[0].shapes[i]) for i in range(len(rows[0].g))]
+
+
 class BCPolicy:
     """Behaviour cloning: standardised state to action."""
 
     def __init__(self, hidden: int = 64, epochs: int = 300, rate: float = 0.01, seed: int = 0):
         self.hidden, self.epochs, self.rate, self.seed = hidden, epochs, rate, seed
 
+    def fit(self, data: tuple[np.ndarray, np.ndarray] | DataFrame, keep: tuple[float, ...] = ()) -> "BCPolicy":
+        """Trains on what ``steps`` gives, on every row of it."""
+        if not isinstance(data, DataFrame):
+            return self.train(*data, keep)
+        table = data.persist()
+        n, total, outputs = _summed(table, lambda x, y: [np.array([len(x)]), x.sum(0), np.array([len(x) * y.shape[1]])])
+        n = int(n[0])
+        mean = total / n
+        spread = np.sqrt(_summed(table, lambda x, y: [((x - mean) ** 2).sum(0)])[0] / n)
+        spread = np.where(spread > 0, spread, 1.0)
+        self.mean, self.spread = mean, spread
+        self.model = model = MLP(len(mean), int(outputs[0]) // n, self.hidden, "regress", self.seed)
+        self.checkpoints = model.descend(lambda: _summed(table, lambda x, y: model.gradient((x - mean) / spread, y, 1 / n)), self.epochs, self.rate, keep)
+        table.unpersist()
+        return self
+
     def train(self, x: np.ndarray, y: np.ndarray, keep: tuple[float, ...] = ()) -> "BCPolicy":
         self.mean, spread = x.mean(0), x.std(0)
         self.spread = np.where(spread > 0, spread, 1.0)
@@ -143,8 +180,7 @@ def influence(frames: DataFrame, state: str = "state", action: str = "action", m
     if mode not in ("tracin", "self_influence"):
         raise ValueError("mode is tracin or self_influence")
     spec = Spec("cupid", mode == "tracin")
-    x, y = steps(frames, state, action)
-    policy = BCPolicy(hidden, epochs, seed=seed).train(x, y, keep=(0.1, 0.25, 0.5, 0.75))
+    policy = BCPolicy(hidden, epochs, seed=seed).fit(steps(frames, state, action), keep=(0.1, 0.25, 0.5, 0.75))
     mean, spread, models = policy.mean, policy.spread, policy.checkpoints
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

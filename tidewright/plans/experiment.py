@@ -44,8 +44,8 @@ def losses(frames: DataFrame, chosen: dict[str, list[int]], held: list[int], see
     """Held-out cloning loss of each arm and seed."""
     test, out = select(frames, held).persist(), {}
     for name, indices in chosen.items():
-        x, y = learned.steps(select(frames, indices))
-        out[name] = [learned.held_out_loss(learned.BCPolicy(seed=s, **policy).train(x, y), test) for s in seeds]
+        data = learned.steps(select(frames, indices))
+        out[name] = [learned.held_out_loss(learned.BCPolicy(seed=s, **policy).fit(data), test) for s in seeds]
     test.unpersist()
     return out
 
