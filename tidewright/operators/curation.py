@@ -7,6 +7,7 @@ keep_score). Order among equal keep scores is by fingerprint, so every selection
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -100,7 +101,8 @@ def greedy_dedup(keep: DataFrame, vectors: DataFrame, epsilon: float, k: int | N
 
     That walk keeps the lexicographically first maximal independent set of the closeness graph; it is
     found in parallel rounds (an undecided episode with no undecided or kept better neighbour is
-    kept, its neighbours fall). Episodes without a vector are kept. At most k of the kept stay.
+    kept, its neighbours fall), until no edge is open; after each ``most_rounds`` the lineage of the
+    fallen is cut. Episodes without a vector are kept. At most k of the kept stay.
     """
     ranked = K.cut(_ranked(keep).select("episode_index", "rank"))
     # of equal vectors all but the best fall, kept or not, so a crowd of copies makes no pairs
@@ -113,11 +115,11 @@ def greedy_dedup(keep: DataFrame, vectors: DataFrame, epsilon: float, k: int | N
     edges = K.cut(edges.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse")))
     fallen = copies
     open_edges = edges
-    for _ in range(most_rounds):
+    for done in count(1):
         # kept: better in an open edge and worse in none
         free = K.cut(open_edges.select(F.col("better").alias("episode_index")).distinct().join(open_edges.select(F.col("worse").alias("episode_index")), "episode_index", "left_anti"))
         down = K.cut(open_edges.join(free, open_edges.better == free.episode_index, "left_semi").select(F.col("worse").alias("episode_index")).distinct())
-        fallen = fallen.union(down)
+        fallen = fallen.union(down) if done % most_rounds else K.cut(fallen.union(down))
         gone = free.union(down)
         open_edges = K.cut(open_edges.join(gone, open_edges.better == gone.episode_index, "left_anti").join(down, F.col("worse") == down.episode_index, "left_anti"))
         if not open_edges.limit(1).count():
