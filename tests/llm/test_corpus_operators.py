@@ -197,6 +197,14 @@ def test_items_without_a_template_are_found_word_for_word(spark, limit):
     assert {r.doc_id for r in kept.collect()} == {6, 7, 8}
 
 
+def test_rows_of_one_id_count_alike_on_both_sides_of_the_switch(spark):
+    clash = BENCHMARK[4][1].replace("4 apples and 4", "7 apples and 7"), BENCHMARK[4][1].replace("4 apples and 4", "9 apples and 9")
+    docs = spark.createDataFrame([*QUESTIONS, (7, clash[1]), (20, clash[0]), (20, clash[1]), (6, QUESTIONS[5][1]), (1, BENCHMARK[0][1])], "doc_id long, text string")
+    items = spark.createDataFrame([*BENCHMARK, BENCHMARK[3], (4, " ".join(make_words(50, 20)))], "item_id long, text string")
+    one, two = ({r.doc_id: (r.n_windows, r["items"]) for r in decontaminate.leaks(docs, items, index_windows=limit).collect()} for limit in (decontaminate.INDEX_WINDOWS, 0))
+    assert one == two and one[20] == (6, "5") and one[6] == (16, "4")
+
+
 def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
     got = sharding.shard(docs).collect()

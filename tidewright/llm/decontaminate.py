@@ -273,7 +273,7 @@ def _by_index(docs: DataFrame, index: Index, least: int) -> DataFrame:
 
 
 def _emit_windows(widths: list[int] | None, width: int):
-    """Rows (row, start, width, hash, typed, exact, slots) for the join by Spark, of documents if there are widths, else of items.
+    """Rows (row, key, start, width, hash, typed, exact, slots) for the join by Spark, of documents if there are widths, else of items.
 
     Slots are (place, kind, value) flattened; a document's window read word for word needs none, as it has the item's.
     """
@@ -281,7 +281,7 @@ def _emit_windows(widths: list[int] | None, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = template(batch.column("text").to_pylist())
-            ids, sizes = batch.column("row").to_pylist(), np.diff(t.first)
+            ids, sizes = list(zip(batch.column("row").to_pylist(), batch.column("key").to_pylist())), np.diff(t.first)
             values = t.value.view(np.int64)
             out: list[tuple] = []
             for w in widths or range(1, width + 1):
@@ -292,39 +292,42 @@ def _emit_windows(widths: list[int] | None, width: int):
                     for start, d, key, plain in zip(at[keep].tolist(), doc[keep].tolist(), h[keep].view(np.int64).tolist(), typed[keep].tolist()):
                         kinds = [int(kind[start]), *t.kind[start + 1 : start + w].tolist()]
                         slots = [] if exact and widths else [x for k, c in enumerate(kinds) if c for x in (k, c, int(values[start + k]))]
-                        out.append((ids[d], start - int(t.first[d]), w, key, plain, exact, slots))
-            columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())))], names=["row", "start", "width", "hash", "typed", "exact", "slots"])
+                        out.append((*ids[d], start - int(t.first[d]), w, key, plain, exact, slots))
+            columns = list(zip(*out)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())))], names=["row", "key", "start", "width", "hash", "typed", "exact", "slots"])
 
     return run
 
 
-_EMITTED = "row long, start long, width long, hash long, typed boolean, exact boolean, slots array<long>"
+_EMITTED = "row long, key long, start long, width long, hash long, typed boolean, exact boolean, slots array<long>"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, item_id, n, typed) of alignments with their windows' slots."""
+    """Rows (row, key, item_id, item_key, n, typed) of alignments with their windows' slots."""
     for batch in batches:
         n, typed = [], []
         for windows in batch.column("windows").to_pylist():
             sound = _sound([{(t[i + 1], t[i + 2], o[i + 2]) for t, o in [(w["theirs"], w["slots"])] for i in range(0, len(t), 3)} for w in windows])
             n.append(sum(sound))
             typed.append(sum(ok and w["typed"] for ok, w in zip(sound, windows)))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), pa.array(n, pa.int64()), pa.array(typed, pa.int64())], names=["row", "item_id", "n", "typed"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "key", "item_id", "item_key")), pa.array(n, pa.int64()), pa.array(typed, pa.int64())], names=["row", "key", "item_id", "item_key", "n", "typed"])
 
 
 def _by_join(docs: DataFrame, items: DataFrame, width: int, least: int) -> DataFrame:
+    # rows of one id are told apart by their texts
+    docs, items = (df.select("row", "text", F.xxhash64("text").alias("key")) for df in (docs, items))
     theirs = cut(items.mapInArrow(_emit_windows(None, width), _EMITTED))
     widths = sorted(r.width for r in theirs.select("width").distinct().collect())  # at most ``width`` values
     ours = docs.mapInArrow(_emit_windows(widths, width), _EMITTED) if widths else docs.sparkSession.createDataFrame([], _EMITTED)
-    b = theirs.select(F.col("row").alias("item_id"), F.col("start").alias("begin"), "hash", F.col("typed").alias("also"), F.col("slots").alias("theirs"))
+    b = theirs.select(F.col("row").alias("item_id"), F.col("key").alias("item_key"), F.col("start").alias("begin"), "hash", F.col("typed").alias("also"), F.col("slots").alias("theirs"))
     joined = ours.join(b, "hash").withColumn("shift", F.col("start") - F.col("begin")).withColumn("slots", F.when(F.col("exact"), F.col("theirs")).otherwise(F.col("slots")))
+    keys = ["row", "key", "item_id", "item_key"]
     # a window that is read in two ways counts once
-    joined = joined.groupBy("row", "item_id", "shift", "start").agg(F.first("theirs").alias("theirs"), F.first("slots").alias("slots"), F.max(F.col("typed") & F.col("also")).alias("typed"))
+    joined = joined.groupBy(*keys, "shift", "start").agg(F.first("theirs").alias("theirs"), F.first("slots").alias("slots"), F.max(F.col("typed") & F.col("also")).alias("typed"))
     # the windows of one alignment are as many as the item's tokens at most
-    aligned = joined.groupBy("row", "item_id", "shift").agg(F.collect_list(F.struct("theirs", "slots", "typed")).alias("windows"))
-    good = aligned.mapInArrow(_judge, "row long, item_id long, n long, typed long")
-    counted = good.groupBy("row", "item_id").agg(F.sum("n").alias("n"), F.sum("typed").alias("typed")).where((F.col("n") > 0) & (F.col("n") >= least))
+    aligned = joined.groupBy(*keys, "shift").agg(F.collect_list(F.struct("theirs", "slots", "typed")).alias("windows"))
+    good = aligned.mapInArrow(_judge, "row long, key long, item_id long, item_key long, n long, typed long")
+    counted = good.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("typed").alias("typed")).where((F.col("n") > 0) & (F.col("n") >= least))
     return counted.select("row", "item_id", F.when(F.col("typed") > 0, F.col("typed")).otherwise(F.col("n")).alias("n_windows"))
 
 
