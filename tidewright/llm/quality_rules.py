@@ -27,10 +27,10 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: A document is kept if it is good with this probability at least.
 THRESHOLD = 0.5
 #: EM: beginning share of good documents, beginning accuracy of a rule on good and on bad documents (most rules
-#: see one kind of bad document only), pseudo-votes that hold an accuracy at its beginning, rounds.
-PRIOR_GOOD, BEGIN_ACCURACY, PSEUDO_VOTES, ROUNDS = 0.9, (0.99, 0.3), 20.0, 60
-#: The rules are made to vote bad on so few good documents; EM holds their accuracy on good ones within.
-LEAST_ON_GOOD, MOST_ACCURACY = 0.99, 0.999
+#: see one kind of bad document only), pseudo-votes that stand for this beginning beside the corpus, rounds at most.
+PRIOR_GOOD, BEGIN_ACCURACY, PSEUDO_VOTES, ROUNDS = 0.9, (0.95, 0.3), 20.0, 500
+#: EM ends when no estimate moves more; shares stay so far from 0 and 1.
+SETTLED, EDGE = 1e-9, 1e-4
 
 SYMBOLS = "[#*$%&|<>]+"
 
@@ -122,21 +122,38 @@ class Trust:
         return total
 
 
+def _share(x: float) -> float:
+    return min(1 - EDGE, max(EDGE, x))
+
+
 def fit(patterns: list[tuple[dict[str, int], int]], names: list[str]) -> Trust:
-    """EM on (votes, how many documents) pairs. A bad vote stays likelier for a bad document than for a good one, so labels cannot swap."""
+    """EM on (votes, how many documents) pairs, until it settles.
+
+    Both accuracies of a rule are free but for their order, which keeps the labels from swapping: a good
+    vote is no likelier for a bad document than for a good one. A rule that would break it tells nothing
+    and votes alike on both.
+    """
     trust = Trust(PRIOR_GOOD, {r: BEGIN_ACCURACY for r in names})
     total = sum(n for _, n in patterns)
     for _ in range(ROUNDS if total else 0):
         posterior = [1 / (1 + math.exp(-max(-500.0, min(500.0, trust.log_odds(v))))) for v, _ in patterns]
-        good = sum(p * n for p, (_, n) in zip(posterior, patterns))
         accuracy = {}
         for r in names:
             cast = [(p * n, (1 - p) * n, v[r]) for p, (v, n) in zip(posterior, patterns) if v[r]]
-            on_good = (sum(g for g, _, v in cast if v > 0) + BEGIN_ACCURACY[0] * PSEUDO_VOTES) / (sum(g for g, _, _ in cast) + PSEUDO_VOTES)
-            on_bad = (sum(b for _, b, v in cast if v < 0) + BEGIN_ACCURACY[1] * PSEUDO_VOTES) / (sum(b for _, b, _ in cast) + PSEUDO_VOTES)
-            on_good = min(MOST_ACCURACY, max(LEAST_ON_GOOD, on_good))
-            accuracy[r] = on_good, min(MOST_ACCURACY, max(1.001 - on_good, on_bad))
-        trust = Trust(min(0.999, max(0.001, (good + PRIOR_GOOD * PSEUDO_VOTES) / (total + PSEUDO_VOTES))), accuracy)
+            good, bad = sum(g for g, _, _ in cast), sum(b for _, b, _ in cast)
+            good_up, bad_up = sum(g for g, _, v in cast if v > 0), sum(b for _, b, v in cast if v > 0)
+            on_good = (good_up + BEGIN_ACCURACY[0] * PSEUDO_VOTES) / (good + PSEUDO_VOTES)
+            on_bad = (bad - bad_up + BEGIN_ACCURACY[1] * PSEUDO_VOTES) / (bad + PSEUDO_VOTES)
+            if on_good + on_bad < 1:
+                on_good = (good_up + bad_up + BEGIN_ACCURACY[0] * PSEUDO_VOTES) / (good + bad + PSEUDO_VOTES)
+                on_bad = 1 - _share(on_good)
+            accuracy[r] = _share(on_good), _share(on_bad)
+        good = sum(p * n for p, (_, n) in zip(posterior, patterns))
+        new = Trust(_share((good + PRIOR_GOOD * PSEUDO_VOTES) / (total + PSEUDO_VOTES)), accuracy)
+        moved = max([abs(new.good - trust.good)] + [abs(x - y) for r in names for x, y in zip(accuracy[r], trust.accuracy[r])])
+        trust = new
+        if moved < SETTLED:
+            break
     return trust
 
 
