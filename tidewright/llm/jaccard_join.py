@@ -16,10 +16,11 @@ emitted: a row for a representative and block pair goes out. With 40 bands of 5
 exactly 0.8 meets in no band with probability 1.3e-7, one at 0.9 with 1e-15.
 
 Defined results: a text of 1 to 4 words is one shingle of all its words; a text without words (or
-null) is linked to nothing; a pair at exactly the threshold is linked; repeated rows (equal doc_id)
-are one document and get equal results; a null doc_id is one more id, before all others; other
-columns are ignored by ``join`` and kept by ``representatives``. Shingles are compared by 64-bit
-hashes.
+null) is linked to nothing; a pair at exactly the threshold is linked; repeated rows (equal doc_id
+and text) are one document and get equal results, rows of one doc_id with different texts are
+documents of their own; a null doc_id is one more id, before all others, so the class of a document
+without id has no id; other columns are ignored by ``join`` and kept by ``representatives``. Shingles
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, components, cut, grouped, mix, release, utf8, window_hashes, word_hashes
+from tidewright.llm.common import bounded_batches, components, cut, grouped, mix, release, sliced, utf8, window_hashes, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,7 +42,7 @@ HASHES = BANDS * ROWS
 #: MinHash values compared at a time, and the posterior probability under which a pair is dropped.
 CHUNK, TOLERANCE = 20, 1e-6
 #: Documents in a block of comparison and of verification, and bytes of text in the latter, about.
-BLOCK, VERIFY_BLOCK, BLOCK_BYTES = 1024, 256, 8_000_000
+BLOCK, VERIFY_BLOCK, BLOCK_BYTES = 1024, 128, 8_000_000
 
 _NULL_ID = -(2**63)
 _draw = np.random.default_rng(11)
@@ -116,15 +117,15 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, d1, d2, n, sig, bands): digest of the set, one byte per MinHash value, and the bands' hashes."""
+    """(id, t, d1, d2, n, sig, bands): digest of the set, one byte per MinHash value, and the bands' hashes."""
     salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
-    for batch in batches:
-        ids, d1, d2, sizes, sigs, bands = [], [], [], [], [], []
-        for key, s in zip(batch.column("id").to_pylist(), shingles(batch.column("text"))):
+    for batch in sliced(batches):
+        at, d1, d2, sizes, sigs, bands = [], [], [], [], [], []
+        for i, s in enumerate(shingles(batch.column("text"))):
             if not len(s):
                 continue
             m = minhash(s)
-            ids.append(key), sizes.append(len(s)), sigs.append((mix(m) & np.uint64(255)).astype(np.uint8).tobytes())
+            at.append(i), sizes.append(len(s)), sigs.append((mix(m) & np.uint64(255)).astype(np.uint8).tobytes())
             d1.append(int(mix(s).sum().view(np.int64))), d2.append(int(mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum().view(np.int64)))
             rows = m.reshape(BANDS, ROWS).astype(np.uint64)
             h = salt.copy()
@@ -132,11 +133,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = mix(h ^ rows[:, r]) + salt
             bands.append(h.view(np.int64))
         flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BANDS + 1, BANDS, dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), lists], names=["id", "d1", "d2", "n", "sig", "bands"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * BANDS + 1, BANDS, dtype=np.int32)), flat)
+        some = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(some), batch.column("t").take(some), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), lists], names=["id", "t", "d1", "d2", "n", "sig", "bands"])
 
 
-_SIGNED = "id long, d1 long, d2 long, n long, sig binary, bands array<long>"
+_SIGNED = "id long, t long, d1 long, d2 long, n long, sig binary, bands array<long>"
 
 
 def _pairs_of(sizes: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,15 +256,26 @@ def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id (the least doc_id that links lead to), n_links (documents linked to it)."""
+def _keys(docs: DataFrame) -> list:
+    """Columns id and t, which tell a document: its doc_id and a hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("t")]
+
+
+def _classes(docs: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """(id, t, node, label, first, links): per document with words its set's node, the class's node, the class's least id and its links.
+
+    A node is a distinct set of shingles; its number is that of its row in a checkpoint.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), "text")
+    texts = docs.select(*_keys(docs), "text")
     signed = cut(texts.mapInArrow(_signed, _SIGNED))
-    sets = cut(signed.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("times")))
-    reps = sets.select(F.col("rep").alias("id"), "times")
-    chosen = cut(signed.join(reps, "id").dropDuplicates(["id"]).select("id", "times", "sig", "bands"))
+    pair = F.struct("id", "t")
+    sets = signed.groupBy("d1", "d2", "n").agg(F.min(pair).alias("rep"), F.count_distinct("id").alias("times"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", F.col("rep.id").alias("first"), F.col("rep.t").alias("first_t"), "times"))
+    # equal sets have equal signatures, so any of a repeated row's will do
+    once = signed.select(F.col("id").alias("first"), F.col("t").alias("first_t"), "sig", "bands")
+    chosen = cut(sets.select("node", "first", "first_t").join(once, ["first", "first_t"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "sig", "bands"))
     release(spark)
 
     member = chosen.select("id", F.explode("bands").alias("bucket"))
@@ -274,26 +287,42 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     release(spark)
 
     close = components(edges)
-    sized = cut(close.join(chosen.select("id", "times"), close.node == F.col("id")).join(texts, "id").dropDuplicates(["id"]).select("id", "label", "times", "text"))
+    wanted = cut(close.join(sets, "node").select(F.col("node").alias("id"), "label", "times", "first", "first_t"))
+    found = texts.select(F.col("id").alias("first"), F.col("t").alias("first_t"), "text")
+    sized = cut(wanted.join(found, ["first", "first_t"]).dropDuplicates(["id"]).select("id", "label", "times", "text"))
     groups = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / min(block, VERIFY_BLOCK)), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks"))
     bounded_batches(spark, 256)
     dealt = _by_group(_blocks(sized.join(groups, "label"), "label", "blocks").select("g", "id", "side", "times", "text"))
     checked = cut(dealt.mapInArrow(_verified(threshold), "id long, root long, links long"))
     release(spark)
-    links = checked.groupBy("id").agg(F.sum("links").alias("links"))
+    links = checked.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(checked.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
 
-    classes = sets.join(links, sets.rep == links.id, "left").drop("id").join(labels, F.col("rep") == labels.node, "left")
-    classes = classes.select("d1", "d2", "n", "times", F.coalesce("label", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    known = signed.select("id", "d1", "d2", "n").distinct().join(classes, ["d1", "d2", "n"]).select("id", "class", (F.col("links") + F.col("times") - 1).alias("n_links"))
-    given = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"))
-    return rows.join(known, "id", "left").select(given("id").alias("doc_id"), F.when(F.coalesce("class", "id") != _NULL_ID, F.coalesce("class", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = labels.join(sets.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("least"))
+    linked = labels.join(least, "label").join(links, "node")
+    classes = sets.join(linked, "node", "left").select("node", "d1", "d2", "n", F.coalesce("label", "node").alias("label"), F.coalesce("least", "first").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
+    return signed.select("id", "t", "d1", "d2", "n").distinct().join(classes, ["d1", "d2", "n"]).select("id", "t", "node", "label", "first", "links")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs``: doc_id, class_id (the least doc_id that links lead to), n_links (documents linked to it)."""
+    known = _classes(docs, threshold, tolerance, block).select("id", "t", F.col("first").alias("class"), F.col("links").alias("n_links"))
+    given = lambda c: F.when(c != _NULL_ID, c)
+    return docs.select(*_keys(docs)).join(known, ["id", "t"], "left").select(given(F.col("id")).alias("doc_id"), given(F.coalesce("class", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of least doc_id of their class, with their own columns; of rows equal in doc_id and text one stays."""
-    kept = join(docs, threshold).where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    unique = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
-    return rows if unique else rows.dropDuplicates(["doc_id", "text"])
+    """One document of each class, the one of least doc_id (then of least hash of its text), with its own columns.
+
+    Of rows equal in doc_id and text one stays, that of the least hash of all columns. Documents without words all stay.
+    """
+    known = cut(_classes(docs, threshold, TOLERANCE, BLOCK))
+    best = known.groupBy("label").agg(F.min(F.struct("id", "t")).alias("best")).select("best.*")
+    gone = known.join(best, ["id", "t"], "left_anti").select(F.col("id").alias("_kept_id"), F.col("t").alias("_kept_t"))
+    id_, t = _keys(docs)
+    rows = docs.join(gone, (id_ == gone["_kept_id"]) & (t == gone["_kept_t"]), "left_anti")
+    keyed = docs.select(id_, t)
+    if not keyed.groupBy("id", "t").count().where("count > 1").limit(1).count():
+        return rows
+    packed = rows.select(id_, t, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return packed.groupBy("id", "t").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
