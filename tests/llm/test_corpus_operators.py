@@ -61,6 +61,37 @@ def test_words_are_hashed_alike_in_every_batch():
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [64, 1024, 8192])
+def test_words_that_cancel_out_in_a_polynomial_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    (first, second), _ = word_hashes(*utf8(pa.array([a, b])))
+    assert first != second
+    rows = [(1, " ".join([a] + ["w"] * 5)), (2, " ".join([b] + ["w"] * 5)), (3, " ".join(make_words(90, 12) + [a] + make_words(91, 12))), (4, " ".join(make_words(90, 12) + [b] + make_words(91, 12)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(docs).collect()} == brute_links(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()} == brute_dedup(rows)
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    for text, ids in zip([t for _, t in rows], encoder.encode_all(pa.array([t for _, t in rows]))):
+        assert np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == ids
+
+
+def test_packing_is_right_even_if_hashes_collide(monkeypatch):
+    real = packing.hash_words
+    monkeypatch.setattr(packing, "hash_words", lambda *a: real(*a) & np.uint64(7))
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    texts = [" ".join(make_words(i, 40) + ["x" * 300, "x" * 299 + "y", "abcdefgh", "abcdefghi"]) for i in range(6)] + ["", None]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode_all(pa.array(texts, pa.string()))):
+            assert np.array(encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() == ids
+
+
 def test_components(spark):
     pairs = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 9), (30, 31)] + [(100 + i, 101 + i) for i in range(40)]
     found = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -94,6 +125,71 @@ def test_quality_em_trusts_the_rules_that_agree():
     assert trust.log_odds({"a": 0, "b": 0, "noise": 0}) > 0
 
 
+def plain_em(votes, counts, rounds=500):
+    """The same estimates from matrices: expectation, maximisation, the order of the accuracies, nothing else."""
+    votes, n = np.array(votes), np.array(counts, float)
+    up, down = votes > 0, votes < 0
+    pseudo, begin = quality_rules.PSEUDO_VOTES, quality_rules.BEGIN_ACCURACY
+    a, b, g = np.full(votes.shape[1], begin[0]), np.full(votes.shape[1], begin[1]), quality_rules.PRIOR_GOOD
+    edge = lambda x: np.clip(x, quality_rules.EDGE, 1 - quality_rules.EDGE)
+    odds = lambda: np.log(g / (1 - g)) + up @ np.log(a / (1 - b)) + down @ np.log((1 - a) / b)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-odds()))
+        good, bad = p * n, n - p * n
+        a, b = ((w.T @ k + t * pseudo) / ((up | down).T @ k + pseudo) for w, k, t in ((up, good, begin[0]), (down, bad, begin[1])))
+        level = edge((up.T @ n + begin[0] * pseudo) / ((up | down).T @ n + pseudo))
+        a, b = edge(np.where(a + b < 1, level, a)), edge(np.where(a + b < 1, 1 - level, b))
+        g = float(edge((good.sum() + quality_rules.PRIOR_GOOD * pseudo) / (n.sum() + pseudo)))
+    return g, a, b, 1 / (1 + np.exp(-odds()))
+
+
+def simulated(share, accuracies, abstain, n=20_000, seed=0):
+    draw = np.random.default_rng(seed)
+    good = draw.random(n) < share
+    votes = np.zeros((n, len(accuracies)), int)
+    for i, (on_good, on_bad) in enumerate(accuracies):
+        right = draw.random(n) < np.where(good, on_good, on_bad)
+        votes[:, i] = np.where(good == right, 1, -1)
+        votes[draw.random(n) < abstain, i] = 0
+    return np.unique(votes, axis=0, return_counts=True)
+
+
+@pytest.mark.parametrize("share, accuracies, abstain", [(0.9, [(0.97, 0.97)] * 3 + [(0.5, 0.5)], 0.0), (0.7, [(0.9, 0.8), (0.95, 0.6), (0.85, 0.9), (0.5, 0.5), (0.8, 0.7)], 0.2)])
+def test_quality_em_recovers_shares_and_accuracies(share, accuracies, abstain):
+    votes, counts = simulated(share, accuracies, abstain)
+    names = [str(i) for i in range(len(accuracies))]
+    trust = quality_rules.fit([(dict(zip(names, map(int, v))), int(n)) for v, n in zip(votes, counts)], names)
+    assert abs(trust.good - share) < 0.02
+    for r, want in zip(names, accuracies):
+        assert np.abs(np.array(trust.accuracy[r]) - want).max() < 0.05
+    g, a, b, posterior = plain_em(votes, counts)
+    assert abs(trust.good - g) < 1e-6 and np.abs(np.array([trust.accuracy[r] for r in names]) - np.stack([a, b], 1)).max() < 1e-6
+    for v, p in zip(votes, posterior):
+        assert abs(1 / (1 + np.exp(-trust.log_odds(dict(zip(names, map(int, v)))))) - p) < 1e-6
+
+
+def test_quality_is_the_posterior_and_ties_are_kept(spark):
+    texts = [" ".join(make_words(200 + i, 60)) for i in range(40)] + ["# $ % & | < > * " * 10 + " ".join(make_words(300 + i, 30)) for i in range(12)] + [" ".join(make_words(400 + i, 3) * 30) for i in range(8)] + [None, "short"]
+    docs = spark.createDataFrame([(i, t, 0.5, -1) for i, t in enumerate(texts)], "doc_id long, text string, quality double, kept int")
+    rules = quality_rules.rules()
+    seen = quality_rules.features(docs).select("doc_id", *(sum_vote.alias(r) for r, sum_vote in ((r, _vote(*rules[r])) for r in rules))).collect()
+    votes = np.array([[row[r] for r in rules] for row in sorted(seen, key=lambda r: r.doc_id)])
+    unique, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    *_, posterior = plain_em(unique, counts)
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    for i in range(len(texts)):
+        assert abs(got[i].quality - posterior[which[i]]) < 1e-6
+        assert got[i].kept == (not got[i].base_failed and got[i].quality >= quality_rules.THRESHOLD)
+    level = got[0].quality
+    assert {r.doc_id for r in quality_rules.judge(docs, threshold=level).where("kept").collect()} >= {0}
+
+
+def _vote(good, bad):
+    from pyspark.sql import functions as F
+
+    return F.when(bad, -1).when(good, 1).otherwise(0)
+
+
 def brute_links(rows, threshold=0.8):
     sets = {}
     for i, t, *_ in rows:
@@ -135,6 +231,19 @@ def test_jaccard_join(spark, docs, empty, block):
     assert got == brute_links(rows)
 
 
+def test_jaccard_rows_of_one_id_with_other_texts_are_documents_of_their_own(spark):
+    base = [make_words(500 + i, 60) for i in range(3)]
+    rows = [(1, base[0]), (1, base[1]), (2, base[0][:-1]), (3, base[1][:-1]), (None, base[2]), (None, make_words(510, 50)), (4, base[2][1:]), (5, make_words(511, 50)), (1, base[0]), (6, []), (6, [])]
+    docs = spark.createDataFrame([(i, " ".join(w), k, -k) for k, (i, w) in enumerate(rows)], "doc_id long, text string, _kept_id int, id int")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(docs).collect())
+    assert got == Counter({(1, 1, 1): 3, (2, 1, 1): 1, (3, 1, 1): 1, (None, None, 1): 1, (None, None, 0): 1, (4, None, 1): 1, (5, 5, 0): 1, (6, 6, 0): 2})
+    kept = jaccard_join.representatives(docs)
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    text = lambda w: " ".join(w)
+    assert found == Counter({(1, text(base[0])): 1, (1, text(base[1])): 1, (None, text(base[2])): 1, (None, text(rows[5][1])): 1, (5, text(rows[7][1])): 1, (6, ""): 1})
+
+
 def test_jaccard_representatives(docs):
     kept = jaccard_join.representatives(docs)
     assert kept.columns == docs.columns

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Where checkpoints go if the session names no shared folder, as in local tests.
+#: Where checkpoints go if a local session names no folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidewright"
 
 #: Rows in one Arrow batch: bounds a Python worker's memory however long texts are.
@@ -31,10 +32,13 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """This session's folder in the shared checkpoint folder."""
+    """This session's folder in the shared checkpoint folder; on a cluster the session has to name one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+        folder = spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS if context.master.startswith("local") else None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -61,6 +65,13 @@ class Staged:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most, whatever the session's setting was when the plan ran."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chosen(column: str, share: float) -> Column:
     """Whether the hash of a value falls into this share of all hashes."""
     return F.pmod(F.xxhash64(column), F.lit(2**30)) < int(share * 2**30)
@@ -93,6 +104,7 @@ def longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_GOLD = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,17 +118,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a pair of hashes; mixing after each pair leaves no sum that two orders of the same parts could share."""
+    return mix(left * np.uint64(0xD1342543DE82EF95) + right)
+
+
 def window_hashes(values: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive values, for the whole array at once."""
+    """Hash of each run of ``width`` consecutive values, for the whole array at once, from those of runs of powers of two."""
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    v = mix(values.view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out *= np.uint64(0xD1342543DE82EF95)
-        out += v[k : k + n]
-    return mix(out)
+    power = mix(values.view(np.uint64) + np.uint64(seed * _GOLD % 2**64))
+    out, done, size = None, 0, 1
+    while size <= width:
+        if width & size:
+            part = power[done : done + n]
+            out = part if out is None else _joined(out, part)
+            done += size
+        if 2 * size <= width:
+            power = _joined(power[:-size], power[size:])
+        size *= 2
+    return mix(out ^ np.uint64(width * _GOLD % 2**64))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -138,32 +160,65 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-_BYTE = np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACE_CHARS]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n + n // 4, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+
+#: Words of more bytes are hashed one at a time.
+LONG_WORD = 256
+
+
+class Bytes:
+    """Bytes that can be read eight at a time from anywhere."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        padded[: len(raw)] = raw
+        self.eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+    def read(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """``size`` bytes, at most eight, from each place."""
+        return self.eights[at] & _MASK[np.minimum(size, 8)]
+
+
+def hash_words(data: Bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word: its bytes, eight at a time, are mixed in one after another, so no two patterns of bytes cancel out."""
+    sizes = ends - starts
+    salt = mix(np.uint64(seed) + sizes.astype(np.uint64) * np.uint64(_GOLD))
+    h = mix(data.read(starts, sizes) ^ salt)
+    more, done = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD)), 8
+    while len(more):
+        h[more] = _joined(h[more], mix(data.read(starts[more] + done, sizes[more] - done) + salt[more]))
+        done += 8
+        more = more[sizes[more] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data.raw[starts[i] : ends[i]].tobytes(), seed)
+    return h
+
+
+def equal_words(a: Bytes, at: np.ndarray, b: Bytes, bt: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the ``sizes`` bytes at each place of one are those at the place of the other."""
+    same = a.read(at, sizes) == b.read(bt, sizes)
+    more, done = np.flatnonzero(same & (sizes > 8)), 8
+    while len(more):
+        ok = a.read(at[more] + done, sizes[more] - done) == b.read(bt[more] + done, sizes[more] - done)
+        same[more[~ok]] = False
+        done += 8
+        more = more[ok]
+        more = more[sizes[more] > done]
+        if done > LONG_WORD:
+            for i in more.tolist():
+                same[i] = np.array_equal(a.raw[at[i] : at[i] + sizes[i]], b.raw[bt[i] : bt[i] + sizes[i]])
+            break
+    return same
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end) of each word of UTF-8 texts that lie one after another.
 
-    A word's hash is a polynomial of its bytes modulo 2**64, finished by ``mix``; all words of a
-    batch are hashed at once from prefix sums. Equal words have equal hashes in every batch.
-    """
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of each word of UTF-8 texts that lie one after another."""
     n = len(raw)
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     inside = ~_IS_SPACE[raw]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
@@ -172,19 +227,13 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     end = inside & first[1:]
     end[-1] = inside[-1]
     end[:-1] |= inside[:-1] & ~inside[1:]
-    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-    return mix(h), starts, ends
-
-
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text)."""
-    h, starts, _ = word_spans(raw, offsets)
-    return h, np.searchsorted(starts, offsets)
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text); equal words have equal hashes in every batch."""
+    starts, ends = word_bounds(raw, offsets)
+    return hash_words(Bytes(raw), starts, ends, seed), np.searchsorted(starts, offsets)
 
 
 def release(spark: SparkSession) -> None:

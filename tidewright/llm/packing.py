@@ -6,7 +6,8 @@ group, so the plan's size depends on the number of lengths alone. Each plan row
 one length and a range of ranks their place; a piece finds it by its rank within its length.
 
 Ranks come from small cells (a length and a hash of the piece), counted first and offset by the sums
-of the cells before, so a length that a third of all pieces have is dealt over many tasks.
+of the cells before; a length has as many cells as its pieces need, so one that a third of all pieces
+have is dealt over many tasks.
 
 Defined results: a null or empty text is one piece with token 1 alone; ties are ranked by doc_id,
 then copy; repeated rows are packed each, as copies of their own; other columns are ignored.
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import bounded_batches, cut, utf8, word_spans
+from tidewright.llm.common import Bytes, bounded_batches, cut, equal_words, hash_words, sliced, utf8, word_bounds
 
 CAPACITY = 4096
 END_ID = 1
 #: Entries of the cache of encoded words in one Python worker.
 CACHE_ENTRIES = 1_500_000
-#: Pieces in one cell of ranks, about, and cells of a length at most.
-CELL_PIECES, MOST_CELLS = 5_000, 64
+#: Pieces in one cell of ranks, about.
+CELL_PIECES = 5_000
 
 #: Latin letters whose lower case is one letter and that normalisation leaves alone, then signs: two units to the tokenizer.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|()\"-]*)")
@@ -44,9 +45,10 @@ class WordEncoder:
 
     The tokenizer's pattern never matches white space and its normaliser only turns runs of it into
     one, so the ids of a text are those of its white-space-separated words, one after another. Words
-    are looked up by 64-bit hash, a batch at a time; those not seen yet are encoded many at a time,
-    as the last token of a unit is marked in the vocabulary. Texts with special tokens in them,
-    which the tokenizer looks for first, are encoded whole.
+    are looked up by 64-bit hash, a batch at a time, and compared byte for byte with the word that is
+    found; those not seen yet are encoded many at a time, as the last token of a unit is marked in the
+    vocabulary. Texts with special tokens in them, which the tokenizer looks for first, are encoded
+    whole, and so are texts with a word that shares its hash with another word of the batch.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -60,6 +62,9 @@ class WordEncoder:
         self.entries = entries
         self.hashes, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.pool, self.used = np.empty(0, np.uint32), 0
+        # the known words themselves, one after another, and where each begins and how long it is
+        self.letters, self.spelled = np.empty(0, np.uint8), 0
+        self.begin, self.long = np.empty(0, np.int64), np.empty(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -89,42 +94,71 @@ class WordEncoder:
         units = self._units(sorted({*cores, *signs} - {""}))
         return [units[c] + units[s] if m else self._whole(w) for m, c, s, w in zip(simple, cores, signs, words)]
 
-    def _places(self, hashes: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) in the pool of the ids of distinct words; ``spell`` gives the texts of those at some indices."""
+    def _places(self, hashes: np.ndarray, data: Bytes, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in the pool of the ids of distinct words, given where they stand in ``data``."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        taken = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        known = taken.copy()
+        if taken.any():
+            hit = np.flatnonzero(taken)
+            k = at[hit]
+            same = self.long[k] == sizes[hit]
+            alike = np.flatnonzero(same)
+            same[alike] = equal_words(data, begins[hit[alike]], Bytes(self.letters[: self.spelled]), self.begin[k[alike]], sizes[hit[alike]])
+            known[hit] = same
         start, size = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int32)
         start[known], size[known] = self.start[at[known]], self.size[at[known]]
         missing = np.flatnonzero(~known)
         if len(missing):
-            found = self._words(spell(missing))
+            raw = [data.raw[i : i + n].tobytes() for i, n in zip(begins[missing].tolist(), sizes[missing].tolist())]
+            found = self._words([w.decode() for w in raw])
             new = np.frombuffer(b"".join(found), "<u4")
-            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            many = np.fromiter(map(len, found), np.int64, len(found)) // 4
             if self.used + len(new) > len(self.pool):
                 self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(new), self.used // 4), np.uint32)])
             self.pool[self.used : self.used + len(new)] = new
-            start[missing], size[missing] = self.used + np.cumsum(sizes) - sizes, sizes
-            if len(self.hashes) + len(missing) <= self.entries:  # else frequent words have come first and stay
-                order = np.argsort(both := np.concatenate([self.hashes, hashes[missing]]), kind="stable")
-                self.hashes, self.start, self.size = both[order], np.concatenate([self.start, start[missing]])[order], np.concatenate([self.size, size[missing]])[order]
+            start[missing], size[missing] = self.used + np.cumsum(many) - many, many
+            # a word that shares its hash with a known one is encoded each time
+            fresh = ~taken[missing]
+            if len(self.hashes) + int(fresh.sum()) <= self.entries:  # else frequent words have come first and stay
+                self._learn(hashes[missing][fresh], start[missing][fresh], size[missing][fresh], [w for w, ok in zip(raw, fresh.tolist()) if ok])
                 self.used += len(new)
         return start, size
 
+    def _learn(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, words: list[bytes]) -> None:
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        if self.spelled + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters[: self.spelled], np.empty(max(len(letters), self.spelled // 4), np.uint8)])
+        self.letters[self.spelled : self.spelled + len(letters)] = letters
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = self.spelled + np.cumsum(sizes) - sizes
+        self.spelled += len(letters)
+        order = np.argsort(both := np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes = both[order]
+        for name, new in (("start", start), ("size", size), ("begin", begin), ("long", sizes)):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         raw, offsets = utf8(texts)
-        hashes, begins, ends = word_spans(raw, offsets)
-        one, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        start, size = self._places(one, lambda at: [data[i:j].decode() for i, j in zip(begins[example[at]].tolist(), ends[example[at]].tolist())])
-        sizes = size[which].astype(np.int64)
-        done = np.cumsum(sizes)
-        ids = self.pool[np.repeat(start[which] - (done - sizes), sizes) + np.arange(int(done[-1]) if len(done) else 0)].astype("<u4")
+        begins, ends = word_bounds(raw, offsets)
+        data, sizes = Bytes(raw), ends - begins
+        one, example, which = np.unique(hash_words(data, begins, ends), return_index=True, return_inverse=True)
+        start, size = self._places(one, data, begins[example], sizes[example])
+        like = example[which]
+        strange = np.flatnonzero(sizes != sizes[like])
+        alike = np.flatnonzero(sizes == sizes[like])
+        strange = np.concatenate([strange, alike[~equal_words(data, begins[alike], data, begins[like[alike]], sizes[alike])]])
+        many = size[which].astype(np.int64)
+        done = np.cumsum(many)
+        ids = self.pool[np.repeat(start[which] - (done - many), many) + np.arange(int(done[-1]) if len(done) else 0)].astype("<u4")
         bounds = np.concatenate([[0], done])[np.searchsorted(begins, offsets)]
         out = [ids[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        if any(s.encode() in data for s in self.special):
-            for i, t in enumerate(texts.to_pylist()):
-                if t and any(s in t for s in self.special):
-                    out[i] = self._whole(t)
+        again = set((np.searchsorted(offsets, begins[strange], "right") - 1).tolist())
+        letters = raw.tobytes()
+        if any(s.encode() in letters for s in self.special):
+            again |= {i for i, t in enumerate(texts.to_pylist()) if t and any(s in t for s in self.special)}
+        for i in again:
+            out[i] = self._whole(texts[i].as_py())
         return out
 
 
@@ -144,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder.of(path)
-        for batch in batches:
+        for batch in sliced(batches, 512):
             ids, piece, start, length, crc = [], [], [], [], []
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"))):
                 tokens += end
@@ -215,21 +249,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     done = cut(pieces(docs, tokenizer, capacity))
-    n = done.count()
-    cells = max(1, min(MOST_CELLS, -(-n // CELL_PIECES)))
-    ranked = done.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(cells)).cast("int"))
+    cells = np.ones(capacity + 1, np.int64)
+    for r in done.groupBy("length").count().collect():
+        cells[r.length] = -(-r["count"] // CELL_PIECES)
+    first_cell = np.cumsum(cells) - cells
+    # pieces without id are told apart by where they stand in the checkpoint
+    spread = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "piece", "start")
+    ranked = done.withColumn("cell", F.pmod(spread, F.get(F.lit(cells), F.col("length").cast("int"))))
     order = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")
-    sizes = np.zeros((capacity + 1, cells), np.int64)
-    for r in ranked.groupBy("length", "cell").count().collect():
-        sizes[r.length, r.cell] = r["count"]
-    before = np.cumsum(sizes, axis=1) - sizes
-    counts = {length: int(many) for length, many in enumerate(sizes.sum(1)) if many}
+    sizes = np.zeros(int(cells.sum()), np.int64)
+    for r in ranked.groupBy("length", "cell").count().toLocalIterator():
+        sizes[first_cell[r.length] + r.cell] = r["count"]
+    upto = np.cumsum(sizes) - sizes
+    before = upto - np.repeat(upto[first_cell], cells)
+    counts = {length: int(many) for length, many in enumerate(np.add.reduceat(sizes, first_cell)) if many}
     made = plan(counts, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = np.asarray(batch.column("length"))
-            rank = before[length, np.asarray(batch.column("cell"))] + np.asarray(batch.column("r")) - 1
+            rank = before[first_cell[length] + np.asarray(batch.column("cell"))] + np.asarray(batch.column("r")) - 1
             sequence, offset = made.place(length, rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
