@@ -274,9 +274,10 @@ def test_decontamination(spark, empty, limit):
     docs = spark.createDataFrame([(i, t, 0) for i, t in QUESTIONS], "doc_id long, text string, item_id int")
     items = spark.createDataFrame(BENCHMARK, "item_id long, text string")
     found = {r.doc_id: r["items"] for r in decontaminate.leaks(docs, items, index_windows=limit).collect()}
-    assert found == {1: "1", 2: "1", 6: "4", 7: "5"}
+    assert found == {1: "1", 2: "1", 6: "4", 7: "5", None: "1"}
     kept = decontaminate.without_leaks(docs, items, index_windows=limit)
-    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([3, 4, 5, 8, 9, None])
+    # each row is judged by its own text: the row without text of document 6 stays, the leak without id goes
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([3, 4, 5, 6, 8, 9])
     assert decontaminate.leaks(empty, items, index_windows=limit).count() == 0
     assert decontaminate.leaks(docs, items.limit(0), index_windows=limit).count() == 0
 
@@ -306,6 +307,17 @@ def test_items_without_a_template_are_found_word_for_word(spark, limit):
     assert {r.doc_id for r in kept.collect()} == {6, 7, 8}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.INDEX_WINDOWS, 0])
+def test_leading_names_and_numbers_in_words_are_slots(spark, limit):
+    texts = ["Alice has 5 apples and gives two of them to the old man", "Berta sold nine red hats", "Nina paid 3 euros for the bread and Nina paid 4 euros for milk"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    questions = ["Carol has 7 apples and gives five of them to the old man", "so Greta sold twenty-one red hats", "Well. Omar has eleven apples and gives 2 of them to the old man", "Olga paid 8 euros for the bread and Olga paid 9 euros for milk", "Olga paid 8 euros for the bread and Rosa paid 9 euros for milk", "Carol has many apples"]
+    docs = spark.createDataFrame(list(enumerate(questions)), "doc_id long, text string")
+    found = {r.doc_id: (r["items"], r.n_windows) for r in decontaminate.leaks(docs, items, index_windows=limit).collect()}
+    assert found[0] == ("0", 3) and found[1][0] == "1" and found[2][0] == "0" and found[3][0] == "2" and 5 not in found
+    assert 4 not in found or found[4][1] < found[3][1]
+
+
 def test_rows_of_one_id_count_alike_on_both_sides_of_the_switch(spark):
     clash = BENCHMARK[4][1].replace("4 apples and 4", "7 apples and 7"), BENCHMARK[4][1].replace("4 apples and 4", "9 apples and 9")
     docs = spark.createDataFrame([*QUESTIONS, (7, clash[1]), (20, clash[0]), (20, clash[1]), (6, QUESTIONS[5][1]), (1, BENCHMARK[0][1])], "doc_id long, text string")

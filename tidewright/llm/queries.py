@@ -57,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Words of a text, as DuckDB reads them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_NUMBERS = ", ".join(f"'{w}'" for w in sorted(decontaminate.NUMBER_WORDS))
 _UNITS = ", ".join(f"'{u}'" for u in sorted(decontaminate.UNITS))
 _OUTER = decontaminate._OUTER.replace("'", "''")
 
@@ -65,7 +66,7 @@ _TOKENS = """
 {n}_raw AS (SELECT id, unnest(toks) AS tok, unnest(range(len(toks))) AS p FROM (SELECT {id} AS id, regexp_extract_all(text, '\\S+') AS toks FROM {table})),
 {n}_core AS (SELECT id, p, trim(tok, '{outer}') AS core, coalesce(lag(tok) OVER (PARTITION BY id ORDER BY p), '.') SIMILAR TO '.*[.!?:]' AS begins FROM {n}_raw),
 {n}_glue AS (SELECT *, regexp_extract(core, '^([+-]?\\d[\\d.,]*)(\\p{{L}}+|%|°[cfCF])$', ['a', 'u']) AS g FROM {n}_core WHERE core <> ''),
-{n}_part AS (SELECT id, p, begins, unnest(CASE WHEN regexp_full_match(core, '[+-]?[$€£]?\\d[\\d.,:/]*(?:st|nd|rd|th)?') THEN [{{'v': lower(core), 'k': 1, 'q': 0}}]
+{n}_part AS (SELECT id, p, begins, unnest(CASE WHEN regexp_full_match(core, '[+-]?[$€£]?\\d[\\d.,:/]*(?:st|nd|rd|th)?') OR lower(core) IN ({numbers}) THEN [{{'v': lower(core), 'k': 1, 'q': 0}}]
     WHEN lower(g.u) IN ({units}) THEN [{{'v': g.a, 'k': 1, 'q': 0}}, {{'v': lower(g.u), 'k': 2, 'q': 1}}]
     WHEN lower(core) IN ({units}) THEN [{{'v': lower(core), 'k': 4, 'q': 0}}]
     WHEN NOT begins AND regexp_full_match(core, '\\p{{Lu}}[^\\p{{Lu}}\\p{{Lt}}]*\\p{{Ll}}[^\\p{{Lu}}\\p{{Lt}}]*') THEN [{{'v': lower(core), 'k': 3, 'q': 0}}]
@@ -75,7 +76,7 @@ _TOKENS = """
 
 
 def _tokens(name: str, key: str, source: str) -> str:
-    return _TOKENS.format(n=name, id=key, table=source, outer=_OUTER, units=_UNITS)
+    return _TOKENS.format(n=name, id=key, table=source, outer=_OUTER, units=_UNITS, numbers=_NUMBERS)
 
 
 def _template_windows(name: str, widths: str) -> str:
