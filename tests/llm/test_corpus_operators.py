@@ -375,6 +375,61 @@ def test_html_wrappers_and_sections_with_marked_names_are_kept():
         assert html_extract.extract(page, {}) == f"{first}\n{second}", page
 
 
+@given(st.lists(st.integers(-3, 3), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_the_scan_finds_the_best_of_all_ranges(gains):
+    first, last = html_extract.best_region([float(g) for g in gains])
+    sums = {(i, j): sum(gains[i:j]) for i in range(len(gains) + 1) for j in range(i, len(gains) + 1)}
+    assert sum(gains[first:last]) == max(sums.values())
+    assert first == last or gains[first] > 0
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", '<div class="ad">', "<nav>", "</nav>", "<b>", "</b>", "<article>", "</article>", "one", " two three ", "<br>"]), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_html_region_is_the_best_contiguous_one(parts):
+    page = "".join(parts)
+    seq, _ = html_extract.tokens(page)
+    gain = lambda t: html_extract._prior("w:" + t[2]) * len(t[1].split()) if t[0] == "text" else html_extract._prior("t:" + t[1]) if t[0] == "tag" else 0.0
+    gains = [gain(t) for t in seq]
+    most = max(sum(gains[i:j]) for i in range(len(gains) + 1) for j in range(i, len(gains) + 1))
+    first, last = html_extract.best_region(gains)
+    assert abs(sum(gains[first:last]) - most) < 1e-9
+    allowed = " ".join(t[1] for t in seq[first:last] if t[0] == "text").split()
+    assert set(html_extract.extract(page, {}).split()) <= set(allowed)
+
+
+def test_html_tags_are_never_worth_anything():
+    counts = {("t:b", True): 500, ("t:p", True): 900, ("t:a", False): 400, ("w:p", True): 9000, ("w:a", False): 800}
+    learned = html_extract.weights_of(counts)
+    assert all(w <= html_extract.TAG_MOST < 0 for f, w in learned.items() if f[0] == "t") and learned["w:p"] > 0 > learned["w:a"]
+
+
+def test_html_of_broken_markup_loses_the_least():
+    words = " ".join(make_words(63, 30))
+    learned = {"t:p": -0.1, "t:title": -0.1, "t:script": -0.1, "t:body": -0.1}
+    for page in (
+        f"<html><title>never closed<body><p>{words}</p></body>", f'<p class="x>{words}</p>', f"<p title=don't>{words}</p>", f"""<p data-x='{{"a": "<b>"}}' title="a > b">{words}</p>""",
+        f"<body><script>var a = 1;<p>{words}</p>", f"<!-- never closed ><p>{words}</p>", f"<p>{words}<div", f"<textarea><p>{words}", f'<p "x" class=">{words}</p>',
+    ):
+        assert html_extract.extract(page, learned) == words, page
+    assert html_extract.extract(f"<p>{words} if x <y then", learned) == f"{words} if x <y then"
+    assert html_extract.extract(f"<script>if (a < b) {{ '<p>' }}</script><p>{words}<style>p > a {{}}</style></p>", learned) == words
+
+
+def test_html_time_is_linear_in_depth():
+    import time
+
+    def spent(n):
+        began = time.perf_counter()
+        for page in ("<div>" * n + "x", "<div class='ad'>a" * n, "<article><div id=ad>b" * n + "</article>" * n, '<p class="x>word ' * n, "<script>var a; <title>x " * n):
+            html_extract.extract(page, {})
+        return time.perf_counter() - began
+
+    spent(500)
+    few = spent(4000)
+    assert spent(32_000) < 24 * few  # eight times the depth; quadratic time would be sixty-four times
+
+
 @given(st.text(alphabet="<>/!-\"'= abpdiv&;\n", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_html_extraction_reads_anything(page):
