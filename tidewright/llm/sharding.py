@@ -6,9 +6,9 @@ clockwise to the next node of a shard with room. Capacities add up to the rows (
 at most one apart), so balance is guaranteed and only overflow moves.
 
 Arcs between nodes are dealt to shards as whole stretches of rows, so the walk needs the counts of
-cells (an arc and a hash of doc_id) only, whose number is bounded, never a list of keys. A row finds
-its place by its rank in its cell. A text that a third of all rows have spreads over the cells of
-its arc.
+cells (an arc and a hash of doc_id) only, never a list of keys. A row finds its place by its rank in
+its cell. An arc has as many cells as its rows need, so a text that a third of all rows have spreads
+over many, and rows without doc_id are spread by their place in the checkpoint.
 
 Defined results: a null text counts as empty, its size is 1; ties are ordered by doc_id, then size
 and checksum; repeated rows get slots of their own; other columns are ignored.
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import bounded_batches
+from tidewright.llm.common import bounded_batches, cut
 
 SHARDS = 8
 #: Nodes of a shard on the ring.
 VNODES = 64
-#: Rows of one cell, about, and cells of an arc at least (a text that many rows have has one arc) and at most.
-CELL_ROWS, LEAST_CELLS, MOST_CELLS = 20_000, 16, 128
+#: Rows of one cell, about, and cells of an arc at least (a text that many rows have has one arc).
+CELL_ROWS, LEAST_CELLS = 20_000, 16
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -70,19 +70,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
         at = np.array(points, np.int64)
         for batch in batches:
             arc = np.searchsorted(at, np.asarray(batch.column("point")), "left") % len(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "text_crc32", "salt")), pa.array(arc.astype(np.int32))], names=["doc_id", "size", "text_crc32", "salt", "arc"])
-
-    total = docs.count()
-    cells = max(LEAST_CELLS, min(MOST_CELLS, -(-total // (CELL_ROWS * shards))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("point"), F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("salt"))
-    rows = rows.mapInArrow(arcs, "doc_id long, size long, text_crc32 long, salt int, arc int")
-    counts = np.zeros((len(nodes), cells), np.int64)
-    for r in rows.groupBy("arc", "salt").count().collect():
-        counts[r.arc, r.salt] = r["count"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "text_crc32")), pa.array(arc.astype(np.int32))], names=["doc_id", "size", "text_crc32", "arc"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("point"))
+    rows = cut(rows.mapInArrow(arcs, "doc_id long, size long, text_crc32 long, arc int"))
+    cells = np.full(len(nodes), LEAST_CELLS, np.int64)
+    for r in rows.groupBy("arc").count().collect():
+        cells[r.arc] = max(LEAST_CELLS, -(-r["count"] // CELL_ROWS))
+    first_cell = np.cumsum(cells) - cells
+    spread = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("salt", F.pmod(spread, F.get(F.lit(cells), F.col("arc"))))
+    counts = np.zeros(int(cells.sum()), np.int64)
+    for r in rows.groupBy("arc", "salt").count().toLocalIterator():
+        counts[first_cell[r.arc] + r.salt] = r["count"]
     # rows in the order of arcs, cells and ranks have one global position; stretches are ranges of it
-    begin = (np.cumsum(counts.ravel()) - counts.ravel()).reshape(counts.shape)
+    begin = np.cumsum(counts) - counts
     used, end, ends, owners, shifts = [0] * shards, 0, [], [], []
-    for stretch in walk(counts.sum(1).tolist(), nodes, capacities(int(counts.sum()), shards)):
+    for stretch in walk(np.add.reduceat(counts, first_cell).tolist(), nodes, capacities(int(counts.sum()), shards)):
         for many, s in stretch:
             shifts.append(used[s] - end)
             used[s], end = used[s] + many, end + many
@@ -92,7 +96,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            at = begin[np.asarray(batch.column("arc")), np.asarray(batch.column("salt"))] + np.asarray(batch.column("r")) - 1
+            at = begin[first_cell[np.asarray(batch.column("arc"))] + np.asarray(batch.column("salt"))] + np.asarray(batch.column("r")) - 1
             k = np.searchsorted(ends_, at, "right")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "text_crc32")), pa.array(["rows"] * n, pa.string()), pa.array(owners_[k]), pa.array(at + shifts_[k]), pa.nulls(n, pa.int32())], names=["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
 
