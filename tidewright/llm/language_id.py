@@ -2,8 +2,8 @@
 
 A text becomes a normalised vector of hashed letter n-grams (one to three UTF-8 bytes of the
 lower-cased text, with everything but letters as one separator), weighted by log(1 + tf) and by
-inverse document frequencies counted over all training rows. Each language has several centroids, clustered by
-spherical k-means on a bounded sample of its rows. A text gets the language of the centroid of the
+inverse document frequencies counted over all training rows. Each language has several centroids, clustered on the
+executors by spherical k-means on a bounded sample of its rows; only they come to the driver. A text gets the language of the centroid of the
 greatest cosine; it is rejected if that cosine is far less than almost every training text of that
 language has, as far as a text of its length can reach it.
 
@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, chosen, utf8
+from tidewright.llm.common import bounded_batches, sliced, utf8
 
-#: Buckets of hashed n-grams, centroids of a language, sampled rows of a language at most about.
+#: Buckets of hashed n-grams, centroids of a language, sampled rows of a language, about.
 DIMENSIONS = 4096
 CENTROIDS = 4
 SAMPLE_ROWS = 400
@@ -112,49 +112,44 @@ def train(docs: DataFrame, sample: int = SAMPLE_ROWS, centroids: int = CENTROIDS
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one row per language and task, so that what is sent does not grow with the rows of a task
-        df, counts = np.zeros(DIMENSIONS, np.int64), {}
-        for batch in batches:
-            df += (vectors(batch.column("text")) > 0).sum(0)
-            for v in pc.value_counts(batch.column("lang")).to_pylist():
-                counts[v["values"]] = counts.get(v["values"], 0) + v["counts"]
-        for i, (lang, n) in enumerate(counts.items()):
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n], pa.int64()), pa.array([df.tolist() if i == 0 else None], pa.list_(pa.int64()))], names=["lang", "n", "df"])
-
-    parts = rows.mapInArrow(frequencies, "lang string, n long, df array<long>")
-    parts = parts.withColumn("slot", F.pmod(F.hash("df"), F.lit(16)))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    zero = F.array_repeat(F.lit(0).cast("long"), DIMENSIONS)
-    sums = parts.groupBy("lang", "slot").agg(F.sum("n").alias("n"), F.reduce(F.collect_list("df"), zero, add).alias("df")).collect()
-    if not sums:
+        # a row per n-gram and task; the last bucket counts the texts
+        df = np.zeros(DIMENSIONS + 1, np.int64)
+        for batch in sliced(batches):
+            df[:-1] += (vectors(batch.column("text")) > 0).sum(0)
+            df[-1] += batch.num_rows
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["bucket", "n"])
+
+    df = np.zeros(DIMENSIONS + 1)
+    for r in rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        df[r.bucket] = r.n
+    if not df[-1]:
         return None
-    df, counts = np.zeros(DIMENSIONS), {}
-    for r in sums:
-        df += np.array(r.df)
-        counts[r.lang] = counts.get(r.lang, 0) + r.n
-    idf = (np.log((1 + sum(counts.values())) / (1 + df)) + 1).astype(np.float32)
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & chosen("text", min(1.0, sample / n)))
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = _unit(vectors(batch.column("text")) * idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "v"])
 
-    found: dict[str, list[bytes]] = {}
-    # copies of one text count once, and no more than twice the sample may come
-    distinct = rows.where(wanted).dropDuplicates(["lang", "text"]).limit(2 * sample * len(counts))
-    for r in distinct.mapInArrow(sampled, "lang string, v binary").collect():
-        found.setdefault(r.lang, []).append(bytes(r.v))
-    languages, owners, centers, least = sorted(found), [], [], []
-    for i, lang in enumerate(languages):
-        x = np.frombuffer(b"".join(sorted(found[lang])), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+    def clustered(group: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(sorted(group["v"].to_pylist())), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
         c = _clusters(x, centroids)
-        owners += [i] * len(c)
-        centers.append(c)
-        least.append(REJECT_SHARE * float(np.quantile((x @ c.T).max(1), REJECT_QUANTILE)))
-    return CentroidModel(languages, idf, np.array(owners), np.concatenate(centers).astype(np.float32), np.array(least)) if languages else None
+        least = REJECT_SHARE * float(np.quantile((x @ c.T).max(1), REJECT_QUANTILE))
+        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(c), pa.string()), "place": pa.array(range(len(c)), pa.int32()), "least": pa.array([least] * len(c)), "v": pa.array([v.tobytes() for v in c.astype(np.float32)], pa.binary())})
+
+    # a language's share of hashes is that of its distinct texts, so copies of one text do not fill it
+    distinct = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = distinct.groupBy("lang").agg(F.count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), sample / F.col("n")) * 2**30
+    some = distinct.join(sizes, "lang").where(F.pmod("h", F.lit(2**30)) < share).dropDuplicates(["lang", "text"]).select("lang", "text")
+    fitted = some.mapInArrow(sampled, "lang string, v binary").groupBy("lang").applyInArrow(clustered, "lang string, place int, least double, v binary")
+    found = sorted(fitted.collect(), key=lambda r: (r.lang, r.place))
+    languages = sorted({r.lang for r in found})
+    place = {lang: i for i, lang in enumerate(languages)}
+    least = {r.lang: r.least for r in found}
+    centers = np.frombuffer(b"".join(bytes(r.v) for r in found), np.float32).reshape(-1, DIMENSIONS)
+    return CentroidModel(languages, idf, np.array([place[r.lang] for r in found]), centers, np.array([least[lang] for lang in languages]))
 
 
 def identify(docs: DataFrame, model: CentroidModel | None = None) -> DataFrame:
@@ -162,7 +157,7 @@ def identify(docs: DataFrame, model: CentroidModel | None = None) -> DataFrame:
     model = model or train(docs)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), has_letter(F.col("text")).alias("letters"), "text")
-    return rows.mapInArrow(lambda batches: ((pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *_predicted(b, model)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])) for b in batches), schema)
+    return rows.mapInArrow(lambda batches: ((pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *_predicted(b, model)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])) for b in sliced(batches)), schema)
 
 
 def accepted(docs: DataFrame, model: CentroidModel | None = None) -> DataFrame:
@@ -171,7 +166,7 @@ def accepted(docs: DataFrame, model: CentroidModel | None = None) -> DataFrame:
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text)
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
             yield batch.filter(pc.invert(_predicted(pa.RecordBatch.from_arrays([texts, letters], names=["text", "letters"]), model)[2]))
