@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, chosen, utf8, words_of
+from tidewright.llm.common import bounded_batches, chosen, sliced, utf8, words_of
 
 #: The base patterns, in the order that breaks ties, and their shortest accepted lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, model: MarkovRatio | None = None) -> DataFrame:
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, texts = batch.num_rows, batch.column("text")
             counts = {k: np.zeros(n, np.int64) for k in KINDS}
             digests, spans = [nothing] * n, [""] * n
@@ -212,7 +212,7 @@ def redact(docs: DataFrame, model: MarkovRatio | None = None, mark: str = "[SECR
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at)
             suspects = _suspects(texts)
             if suspects.any():
