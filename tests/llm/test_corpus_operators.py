@@ -802,3 +802,21 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["secret scans"]) == set(kept["benchmark decontamination"])
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == set(range(30)) | {40} and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_pipeline_on_empty_repeated_and_clashing_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, items string, rejected boolean, length int, piece string"
+    spark.createDataFrame([(1, " ".join(make_words(50, 25)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    text = {i: " ".join(make_words(800 + i, 60)) for i in range(12)}
+    rows = [(i, t, "en", None, i, 7, "x", True, 1, "p") for i, t in text.items()]
+    rows += [rows[0], rows[1], (None, text[2] + " more", "en", None, None, None, None, None, None, None), (3, " ".join(make_words(830, 60)), "en", "s", 1, 1, "y", False, 2, "q"), (None, " ".join(make_words(831, 10) + make_words(50, 25)), "en", None, 0, 0, "", None, 0, None), (50, None, None, None, None, None, None, None, None, None), (51, "", "en", None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # of a class that holds a document without id that one stays, as null comes first
+    assert Counter(r.doc_id for r in got) == Counter({**{i: 1 for i in text if i != 2}, 3: 2, None: 1})
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert {r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, schema)).where("doc_id = 51").collect()} == {"und"}
