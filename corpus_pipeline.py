@@ -1,11 +1,17 @@
-"""From raw documents to packed sequences: language, near duplicates, benchmark leaks, secrets, packing."""
+"""From raw documents to packed sequences: language, near duplicates, benchmark leaks, secrets, packing.
+
+Defined results: a null text, or one without a letter, has no language and goes in the first stage; rows equal
+in doc_id and text are one document, of which one stays; rows of one doc_id with other texts are documents of
+their own; ties are broken by doc_id, then by hash of the text; an empty table gives an empty result; other
+columns, whatever their names, are kept up to packing and read by no stage; whole texts count.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, jaccard_join, language_id, packing, secret_scan
-from tidewright.llm.common import table
+from tidewright.llm.common import Staged, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +20,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of least doc_id stays."""
+    """Of each class of near duplicates the document of least doc_id stays; a document without words has no duplicates but repeated rows."""
     return jaccard_join.representatives(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item, as it is or re-parameterised, go."""
+    """Documents that hold a passage of a benchmark item, as it is or re-parameterised, go; without a benchmark item none does."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -46,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage is computed once, into Parquet in the shared checkpoint folder, and dropped when the next one is written."""
+    before, docs = None, table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        done = Staged(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        before, docs = done, done.rows
     return docs
