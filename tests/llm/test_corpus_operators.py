@@ -553,6 +553,42 @@ def test_substring_dedup(docs, empty):
     assert len(got) == len(fixture()) and dict(got) == brute_dedup(fixture())
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 4, 9, 15])
+def test_equal_symbols_stand_for_equal_words(rounds):
+    draw = np.random.default_rng(rounds)
+    passage = draw.integers(0, 60, 400).astype(np.uint64)
+    texts = [np.concatenate([draw.integers(0, 60, draw.integers(0, 90)).astype(np.uint64), passage, draw.integers(0, 60, 30).astype(np.uint64)]) for _ in range(5)] + [np.zeros(70, np.uint64)] * 2
+    words, docs = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    name, other, start, size = substring_dedup.symbols(words, words * np.uint64(3) + np.uint64(1), docs, rounds)
+    assert np.array_equal(np.repeat(np.arange(len(size)), size), np.searchsorted(start, np.arange(len(words)), "right") - 1)
+    seen = {}
+    for a, b, i, n in zip(name.tolist(), other.tolist(), start.tolist(), size.tolist()):
+        assert docs[i] == docs[i + n - 1]
+        assert seen.setdefault((a, b), tuple(words[i : i + n])) == tuple(words[i : i + n])
+    assert len({v: k for k, v in seen.items()}) == len(seen) if rounds == 0 else True
+    # inside of a passage that all texts share most symbols are the same
+    common = Counter(name.tolist())
+    assert sum(n for a, n in zip(name.tolist(), size.tolist()) if common[a] >= 5) > 5 * (400 - 200)
+
+
+def test_long_symbols_reveal_repeats_without_any_window(spark):
+    passage = make_words(900, 500)
+    rows = [(i, " ".join(make_words(901 + i, 40) + passage + make_words(950 + i, 40))) for i in range(4)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    found = {r.id: (r.longs, r.longs_g) for r in substring_dedup._shared_symbols(texts, 20).collect()}
+    assert set(found) == {1, 2, 3}
+    b = substring_dedup._Batch(pa.array([t for _, t in rows]), 20)
+    inside = b.inside(*(pa.array([found.get(i, ([], []))[k] for i, _ in rows], pa.list_(pa.int64())) for k in (0, 1)))
+    starts = np.flatnonzero(inside)
+    assert set(b.docs[starts].tolist()) == {1, 2, 3} and len(starts) > 3 * 250
+    for at in starts.tolist():
+        assert 40 <= at - int(b.first[b.docs[at]]) <= 520
+    info = texts.selectExpr("id", "text", "cast(null as array<long>) as keys", "false as copy").join(spark.createDataFrame([(i, *v) for i, v in found.items()], "id long, longs array<long>, longs_g array<long>"), "id", "left")
+    emitted = Counter(r.id for r in info.mapInArrow(substring_dedup._candidates(20), "id long, h long, g long").collect())
+    # those windows are not compared one by one; without anchors to go by only windows without one are left
+    assert all(emitted[i] <= emitted[0] + 60 for i in (1, 2, 3))
+
+
 @given(st.lists(st.lists(st.integers(0, 2), min_size=0, max_size=60), min_size=1, max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_equal_windows_have_equal_anchors(texts):

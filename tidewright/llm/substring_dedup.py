@@ -1,49 +1,118 @@
 """Substring dedup by recompression: words covered by a repeated window of words are removed.
 
 A document is a sequence of word symbols. Round 0 names its runs; each later round splits the symbols
-into left and right ones by a hash and names every left-right pair. A name is a hash of what it stands
-for, so it is global: equal runs and pairs get equal names in all documents, and equal substrings get
-equal symbols except near their ends. For each window the *certain* symbols are those that its own
-words alone decide; equal windows have equal certain symbols at equal places. The longest of them is
-the window's anchor.
-
-1. Names of anchors are counted over the corpus; a window whose anchor is nowhere else has no copy.
-2. Windows with a repeated anchor, or with none, are hashed as a whole and verified: their first
-   document is the least doc_id that has the window.
-3. Each document drops the words of its windows that start earlier elsewhere.
-
-Steps 1 and 2 aggregate before they shuffle, and join back by joins that Spark can split if a key is
-hot; step 2 shuffles repeated windows only, one row for a window and document. Later exact copies of
-a text take no part in step 2: all their windows start in the first copy. Window identity is a
-64-bit hash.
+into left and right ones by a hash and names every left-right pair that stands for few enough words.
+A name is a hash of what it stands for, so it is global without a dictionary: equal runs and pairs get
+equal names in all documents, and equal substrings get equal symbols except near their ends.
+
+Spark counts the names of some rounds over the corpus, one job a round:
+
+1. After round ``ANCHOR_ROUND`` symbols are short. For each window the *certain* symbols are those that
+   its own words alone decide; equal windows have equal certain symbols at equal places, the longest
+   is the window's anchor. A window whose anchor is nowhere else has no copy and is looked at no more.
+2. After the rounds ``LONG_ROUNDS`` symbols stand for whole passages. A symbol of at least a window's
+   words that an earlier document has reveals a long repeat: all windows inside of it are repeated.
+3. What is left are windows that cross the ends of long symbols. They are compared as a whole.
+
+Repeats of 2 and 3 are verified by two names that are made of different hashes of the words, 128 bits
+together; anchors of 1 only choose what to look at. Then each document drops the words of its windows
+that start earlier elsewhere.
+
+All steps aggregate before they shuffle, and join back by joins that Spark can split if a key is hot.
+Later exact copies of a text (by MD5) take no part: all their windows start in the first copy.
 
 Defined results: a null text has no words; texts of fewer words than the window lose none; a null
-doc_id comes before all others; rows with equal doc_id and text are one document and get equal
-results; other columns are ignored.
+doc_id comes before all others, and none of them before another; rows with equal doc_id and text are
+one document and get equal results, rows of one doc_id with other texts do not repeat each other;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Staged, bounded_batches, cut, longs, mix, release, utf8, window_hashes, word_hashes
+from tidewright.llm.common import Bytes, Staged, bounded_batches, cut, hash_words, mix, release, sliced, utf8, window_hashes, word_bounds
+from tidewright.llm.common import longs as longs_of
 
 WINDOW = 20
-#: Rounds of naming pairs, and the most words that a pair may stand for.
-ROUNDS, LONGEST_PAIR = 4, 12
+#: The round whose symbols anchor windows, and the rounds whose symbols reveal long repeats.
+ANCHOR_ROUND, LONG_ROUNDS = 4, (9, 15)
+#: The most words that a pair may stand for up to the round of anchors, and after it.
+LONGEST_SHORT, LONGEST = 12, 400
 
+#: Documents without id have numbers under this one, by hash of their text; they all come before the others and at once.
 _NULL_ID = -(2**63)
+_FIRST_ID = _NULL_ID + 2**40
 _BATCH = 256
 
 
-def anchors(words: np.ndarray, docs: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def _runs(words: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of each run of one symbol; words of two documents make no run."""
+    head = np.ones(len(words), bool)
+    head[1:] = (words[1:] != words[:-1]) | (docs[1:] != docs[:-1])
+    start = np.flatnonzero(head)
+    return start, np.diff(np.append(start, len(words)))
+
+
+def _named_runs(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.where(size == 1, words[start], mix(words[start] + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+
+
+def _sides(name: np.ndarray, k: int) -> np.ndarray:
+    """Whether a symbol is a right one in round ``k``."""
+    return (mix(name ^ np.uint64(k * 0x9FB21C651E98DF25 % 2**64)) & np.uint64(1)).astype(bool)
+
+
+def _longest(k: int) -> int:
+    return LONGEST_SHORT if k <= ANCHOR_ROUND else LONGEST
+
+
+def _pairs(right: np.ndarray, size: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Whether each symbol is the left one of a pair."""
+    left = np.zeros(len(size), bool)
+    left[:-1] = ~right[:-1] & right[1:] & (doc[:-1] == doc[1:]) & (size[:-1] + size[1:] <= _longest(k))
+    return left
+
+
+def _kept(left: np.ndarray) -> np.ndarray:
+    """Which symbols are left once the right ones of pairs are taken in."""
+    keep = np.ones(len(left), bool)
+    keep[1:] = ~left[:-1]
+    return keep
+
+
+def _named_pairs(name: np.ndarray, left: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    return np.where(left, mix(name * np.uint64(0xD6E8FEB86659FD93) + np.append(name[1:], np.uint64(0))), name)[keep]
+
+
+def _sized_pairs(size: np.ndarray, left: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    return np.where(left, size + np.append(size[1:], 0), size)[keep]
+
+
+def symbols(words: np.ndarray, others: np.ndarray, docs: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, other name, first word, words) of each symbol after ``rounds`` rounds.
+
+    ``words`` and ``others`` are two kinds of word symbols of documents one after another; the first decides the pairs.
+    """
+    start, size = _runs(words, docs)
+    name, other, doc = _named_runs(words, start, size), _named_runs(others, start, size), docs[start]
+    for k in range(1, rounds + 1):
+        left = _pairs(_sides(name, k), size, doc, k)
+        keep = _kept(left)
+        name, other, size = _named_pairs(name, left, keep), _named_pairs(other, left, keep), _sized_pairs(size, left, keep)
+        start, doc = start[keep], doc[keep]
+    return name, other, start, size
+
+
+def anchors(words: np.ndarray, docs: np.ndarray, window: int = WINDOW, rounds: int = ANCHOR_ROUND) -> tuple[np.ndarray, np.ndarray]:
     """(name of its anchor, whether it has one) of the window that starts at each word.
 
     ``words`` are the word symbols of documents one after another, ``docs`` the document of each.
@@ -52,32 +121,21 @@ def anchors(words: np.ndarray, docs: np.ndarray, window: int = WINDOW, rounds: i
     n = len(words)
     if n < window:
         return np.zeros(n, np.uint64), np.zeros(n, bool)
-    # round 0: runs
-    head = np.ones(n, bool)
-    head[1:] = (words[1:] != words[:-1]) | (docs[1:] != docs[:-1])
-    start = np.flatnonzero(head)
-    size = np.diff(np.append(start, n))
-    name = np.where(size == 1, words[start], mix(words[start] + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
-    doc = docs[start]
-    run = np.cumsum(head) - 1
+    start, size = _runs(words, docs)
+    name, doc = _named_runs(words, start, size), docs[start]
+    run = np.repeat(np.arange(len(start)), size)
     # certain symbols of window i are those from lo[i] up to hi[i]; the runs at its ends may go on outside
     lo = run[: n - window + 1] + 1
     hi = run[window - 1 :].copy()
     for k in range(1, rounds + 1):
-        right = (mix(name ^ np.uint64(k * 0x9FB21C651E98DF25 % 2**64)) & np.uint64(1)).astype(bool)
-        paired = np.zeros(len(name) + 1, bool)
-        paired[:-2] = ~right[:-1] & right[1:] & (doc[:-1] == doc[1:]) & (size[:-1] + size[1:] <= LONGEST_PAIR)
+        right = _sides(name, k)
+        left = _pairs(right, size, doc, k)
         # a right symbol at the start may belong to a left one outside, a left one at the end likewise
         edge = np.append(right, False)
         lo += edge[np.minimum(lo, len(name))]
         hi -= ~edge[hi - 1]
-        keep = np.ones(len(name), bool)
-        keep[1:] = ~paired[:-2]
-        left = paired[:-1]
-        following = np.append(name[1:], np.uint64(0))
-        name = np.where(left, mix(name * np.uint64(0xD6E8FEB86659FD93) + following), name)[keep]
-        size = np.where(left, size + np.append(size[1:], 0), size)[keep]
-        doc = doc[keep]
+        keep = _kept(left)
+        name, size, doc = _named_pairs(name, left, keep), _sized_pairs(size, left, keep), doc[keep]
         before = np.concatenate([[0], np.cumsum(keep)])
         hi = np.maximum(hi, 0)
         lo, hi = before[np.minimum(lo, len(keep))], before[hi]
@@ -105,19 +163,46 @@ class _Batch:
 
     def __init__(self, texts: pa.Array, window: int):
         self.raw, self.offsets = utf8(texts)
-        self.words, self.first = word_hashes(self.raw, self.offsets)
+        starts, ends = word_bounds(self.raw, self.offsets)
+        data = Bytes(self.raw)
+        # two kinds of word symbols, of different hashes
+        self.words, self.others = hash_words(data, starts, ends), hash_words(data, starts, ends, seed=0x5BD1E995)
+        self.first = np.searchsorted(starts, self.offsets)
         self.counts = np.diff(self.first)
         self.docs = np.repeat(np.arange(len(self.counts)), self.counts)
         left = self.first[1:][self.docs] - np.arange(len(self.words))
         self.whole = left >= window
         self.window = window
 
-    def hashes(self) -> np.ndarray:
-        h = np.zeros(len(self.words), np.uint64)
-        found = window_hashes(self.words, self.window)
+    def hashes(self, words: np.ndarray, seed: int = 1) -> np.ndarray:
+        h = np.zeros(len(words), np.uint64)
+        found = window_hashes(words, self.window, seed)
         h[: len(found)] = found
         return h
 
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both names of the window that starts at each word."""
+        return self.hashes(self.words), self.hashes(self.others, seed=2)
+
+    def long_symbols(self, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(name, other name, first word, words) of the symbols that hold a window."""
+        found = symbols(self.words, self.others, self.docs, rounds)
+        long = found[3] >= self.window
+        return tuple(x[long] for x in found)
+
+    def inside(self, longs: pa.Array, others: pa.Array) -> np.ndarray:
+        """Whether the window that starts at each word lies in a long symbol whose names its document is given."""
+        depth = np.zeros(len(self.words) + 1, np.int64)
+        (names, offsets), (twins, _) = longs_of(longs), longs_of(others)
+        if len(names):
+            for rounds in LONG_ROUNDS:
+                name, other, start, size = self.long_symbols(rounds)
+                doc = self.docs[start]
+                known = _within(doc, name, names, offsets) & _within(doc, other, twins, offsets)
+                np.add.at(depth, start[known], 1)
+                np.add.at(depth, start[known] + size[known] - self.window + 1, -1)
+        return np.cumsum(depth[:-1]) > 0
+
 
 def _first_of(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Whether each (doc, value) is the first of its kind; documents lie one after another."""
@@ -152,24 +237,43 @@ def kept_texts(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 def _final(documents: DataFrame, window: int, with_text: bool) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark, _BATCH)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    without = F.lit(_NULL_ID) + F.pmod(F.xxhash64("text"), F.lit(_FIRST_ID - _NULL_ID))
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), without).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.select("id", "text")
-    info = _per_document(texts, window)
-    windows = Staged(texts.join(info, "id", "left").mapInArrow(_candidates(window), "id long, h long")).rows
+    copies = cut(_copies(texts))
+    info = cut(_shared_anchors(texts, window).join(_shared_symbols(texts, window), "id", "full").join(copies.withColumn("copy", F.lit(True)), "id", "full"))
+    release(spark)
+    staged = Staged(texts.join(info, "id", "left").mapInArrow(_candidates(window), "id long, h long, g long"))
     release(spark)
-    firsts = cut(windows.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"))
+    windows = staged.rows
+    firsts = cut(windows.groupBy("h", "g").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first"))
     release(spark)
-    later = windows.join(firsts, "h").where("id > first").groupBy("id").agg(F.collect_list("h").alias("repeated"))
-    joined = docs.join(info.select("id", "copy"), "id", "left").join(later, "id", "left")
+    later = windows.join(firsts, ["h", "g"]).where(_order() > F.col("first")).groupBy("id").agg(F.collect_list(F.struct("h", "g")).alias("r"))
+    later = cut(later.select("id", F.col("r.h").alias("repeated"), F.col("r.g").alias("repeated_g")))
+    staged.drop()
+    joined = docs.join(info.select("id", "copy", "longs", "longs_g"), "id", "left").join(later, "id", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_cleaned(window, with_text), schema)
 
 
-def _per_document(texts: DataFrame, window: int) -> DataFrame:
-    """(id, keys, copy): the repeated anchors of a document, and whether it is a later exact copy."""
+def _order() -> Column:
+    """What tells which of two documents comes first."""
+    return F.when(F.col("id") < _FIRST_ID, _NULL_ID).otherwise(F.col("id"))
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """(id) of the later exact copies of a text."""
+    digests = texts.where("text is not null").select("id", F.md5("text").alias("digest"))
+    order = _order()
+    copied = digests.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("last > first").select("digest", "first")
+    return digests.join(copied, "digest").where(_order() > F.col("first")).select("id").distinct()
+
+
+def _shared_anchors(texts: DataFrame, window: int) -> DataFrame:
+    """(id, keys): the repeated anchors of a document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, _BATCH):
             b = _Batch(batch.column("text"), window)
             name, has = anchors(b.words, b.docs, window)
             at = np.flatnonzero(has & b.whole)
@@ -190,40 +294,65 @@ def _per_document(texts: DataFrame, window: int) -> DataFrame:
     found = staged.rows
     keys = cut(found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     release(texts.sparkSession)
-    shared = found.select("key", "id").join(keys, "key").groupBy("id").agg(F.collect_list("key").alias("keys")).withColumn("copy", F.lit(False))
-    digests = texts.where("text is not null").select("id", F.md5("text").alias("digest"))
-    copied = cut(digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("digest", "first"))
-    copies = digests.join(copied, "digest").where("id > first").select("id").distinct()
-    info = cut(shared.join(copies.withColumn("again", F.lit(True)), "id", "full").select("id", "keys", F.coalesce("again", F.lit(False)).alias("copy")))
+    shared = cut(found.select("key", "id").join(keys, "key").groupBy("id").agg(F.collect_list("key").alias("keys")))
     staged.drop()
     release(texts.sparkSession)
-    return info
+    return shared
+
+
+def _shared_symbols(texts: DataFrame, window: int) -> DataFrame:
+    """(id, longs, longs_g): both names of the long symbols of a document that an earlier one has."""
+    rounds = []
+    for k in LONG_ROUNDS:
+        staged = Staged(texts.mapInArrow(_long_names(window, k), "id long, a long, b long"))
+        found = staged.rows
+        firsts = cut(found.groupBy("a", "b").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first"))
+        rounds.append(cut(found.join(firsts, ["a", "b"]).where(_order() > F.col("first")).select("id", "a", "b")))
+        staged.drop()
+        release(texts.sparkSession)
+    return reduce(DataFrame.union, rounds).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("r")).select("id", F.col("r.a").alias("longs"), F.col("r.b").alias("longs_g"))
+
+
+def _long_names(window: int, rounds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, _BATCH):
+            b = _Batch(batch.column("text"), window)
+            name, other, start, _ = b.long_symbols(rounds)
+            one = _first_of(b.docs[start], name)
+            ids = np.asarray(batch.column("id"), np.int64)[b.docs[start[one]]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name[one].view(np.int64)), pa.array(other[one].view(np.int64))], names=["id", "a", "b"])
+
+    return run
 
 
 def _candidates(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, _BATCH):
             b = _Batch(batch.column("text"), window)
             name, has = anchors(b.words, b.docs, window)
             copy = np.asarray(batch.column("copy").fill_null(False), dtype=bool)
-            mask = b.whole & (~has | _within(b.docs, name, *longs(batch.column("keys")))) & ~copy[b.docs]
+            mask = b.whole & (~has | _within(b.docs, name, *longs_of(batch.column("keys")))) & ~copy[b.docs]
+            mask &= ~b.inside(batch.column("longs"), batch.column("longs_g"))
             at = np.flatnonzero(mask)
-            h = b.hashes()[at]
+            h, g = (x[at] for x in b.names())
             one = _first_of(b.docs[at], h)
             ids = np.asarray(batch.column("id"), np.int64)[b.docs[at[one]]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[one].view(np.int64))], names=["id", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[one].view(np.int64)), pa.array(g[one].view(np.int64))], names=["id", "h", "g"])
 
     return run
 
 
 def _cleaned(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, _BATCH):
             b = _Batch(batch.column("text"), window)
             copy = np.asarray(batch.column("copy").fill_null(False), dtype=bool)
             at = np.flatnonzero(b.whole)
-            h, doc = b.hashes()[at], b.docs[at]
-            gone = ~_first_of(doc, h) | copy[doc] | _within(doc, h, *longs(batch.column("repeated")))
+            doc = b.docs[at]
+            h, g = (x[at] for x in b.names())
+            (names, offsets), (twins, _) = longs_of(batch.column("repeated")), longs_of(batch.column("repeated_g"))
+            gone = ~_first_of(doc, h) | copy[doc] | b.inside(batch.column("longs"), batch.column("longs_g"))[at]
+            gone |= _within(doc, h, names, offsets) & _within(doc, g, twins, offsets)
             cover = np.zeros(len(b.words) + 1, np.int64)
             np.add.at(cover, at[gone], 1)
             np.add.at(cover, at[gone] + window, -1)
