@@ -568,23 +568,23 @@ def test_equal_symbols_stand_for_equal_words(rounds):
     assert len({v: k for k, v in seen.items()}) == len(seen) if rounds == 0 else True
     # inside of a passage that all texts share most symbols are the same
     common = Counter(name.tolist())
-    assert sum(n for a, n in zip(name.tolist(), size.tolist()) if common[a] >= 5) > 5 * (400 - 200)
+    assert sum(n for a, n in zip(name.tolist(), size.tolist()) if common[a] >= 5) > 5 * (400 - (100 if rounds < 10 else 300))
 
 
 def test_long_symbols_reveal_repeats_without_any_window(spark):
     passage = make_words(900, 500)
     rows = [(i, " ".join(make_words(901 + i, 40) + passage + make_words(950 + i, 40))) for i in range(4)]
     texts = spark.createDataFrame(rows, "id long, text string")
-    found = {r.id: (r.longs, r.longs_g) for r in substring_dedup._shared_symbols(texts, 20).collect()}
+    found = {r.id: (r.longs, r.longs_g) for r in substring_dedup._shared_symbols(texts, 20)[0].collect()}
     assert set(found) == {1, 2, 3}
     b = substring_dedup._Batch(pa.array([t for _, t in rows]), 20)
-    inside = b.inside(*(pa.array([found.get(i, ([], []))[k] for i, _ in rows], pa.list_(pa.int64())) for k in (0, 1)))
+    inside = b.inside(*(pa.array([found.get(i, ([], []))[k] for i, _ in rows], pa.list_((pa.int64(), pa.int32())[k])) for k in (0, 1)))
     starts = np.flatnonzero(inside)
-    assert set(b.docs[starts].tolist()) == {1, 2, 3} and len(starts) > 3 * 250
+    assert set(b.docs[starts].tolist()) == {1, 2, 3} and len(starts) > 3 * 150
     for at in starts.tolist():
         assert 40 <= at - int(b.first[b.docs[at]]) <= 520
-    info = texts.selectExpr("id", "text", "cast(null as array<long>) as keys", "false as copy").join(spark.createDataFrame([(i, *v) for i, v in found.items()], "id long, longs array<long>, longs_g array<long>"), "id", "left")
-    emitted = Counter(r.id for r in info.mapInArrow(substring_dedup._candidates(20), "id long, h long, g long").collect())
+    info = texts.selectExpr("id", "text", "cast(null as array<long>) as keys", "false as copy").join(spark.createDataFrame([(i, *v) for i, v in found.items()], "id long, longs array<long>, longs_g array<int>"), "id", "left")
+    emitted = Counter(r.id for r in info.mapInArrow(substring_dedup._candidates(20), "id long, h long, g int").collect())
     # those windows are not compared one by one; without anchors to go by only windows without one are left
     assert all(emitted[i] <= emitted[0] + 60 for i in (1, 2, 3))
 

@@ -93,9 +93,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of an array<long> column; nulls are empty."""
+    """(values, offsets) of an array column of whole numbers; nulls are empty."""
     offsets = np.asarray(column.offsets, np.int64) if len(column) else np.zeros(1, np.int64)
-    values = np.asarray(column.values, np.int64)
+    values = np.asarray(column.values)
     if column.null_count:
         sizes = np.where(np.asarray(column.is_null()), 0, np.diff(offsets))
         kept = np.concatenate([values[o : o + n] for o, n in zip(offsets, sizes)]) if len(sizes) else values[:0]

@@ -10,12 +10,12 @@ Spark counts the names of some rounds over the corpus, one job a round:
 1. After round ``ANCHOR_ROUND`` symbols are short. For each window the *certain* symbols are those that
    its own words alone decide; equal windows have equal certain symbols at equal places, the longest
    is the window's anchor. A window whose anchor is nowhere else has no copy and is looked at no more.
-2. After the rounds ``LONG_ROUNDS`` symbols stand for whole passages. A symbol of at least a window's
-   words that an earlier document has reveals a long repeat: all windows inside of it are repeated.
+2. After round ``LONG_ROUND`` symbols stand for whole passages. A symbol of at least a window's words
+   that an earlier document has reveals a long repeat: all windows inside of it are repeated.
 3. What is left are windows that cross the ends of long symbols. They are compared as a whole.
 
-Repeats of 2 and 3 are verified by two names that are made of different hashes of the words, 128 bits
-together; anchors of 1 only choose what to look at. Then each document drops the words of its windows
+Repeats of 2 and 3 are verified by two names that are made of different hashes of the words, of 64 and
+32 bits; anchors of 1 only choose what to look at. Then each document drops the words of its windows
 that start earlier elsewhere.
 
 All steps aggregate before they shuffle, and join back by joins that Spark can split if a key is hot.
@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -43,8 +42,10 @@ from tidewright.llm.common import Bytes, Staged, bounded_batches, cut, hash_word
 from tidewright.llm.common import longs as longs_of
 
 WINDOW = 20
-#: The round whose symbols anchor windows, and the rounds whose symbols reveal long repeats.
-ANCHOR_ROUND, LONG_ROUNDS = 4, (9, 15)
+#: The round whose symbols anchor windows (the two before it stand in for windows without a certain symbol),
+#: and the round whose symbols reveal long repeats.
+ANCHOR_ROUND, LONG_ROUND = 4, 13
+FALLBACKS = 2
 #: The most words that a pair may stand for up to the round of anchors, and after it.
 LONGEST_SHORT, LONGEST = 12, 400
 
@@ -127,34 +128,34 @@ def anchors(words: np.ndarray, docs: np.ndarray, window: int = WINDOW, rounds: i
     # certain symbols of window i are those from lo[i] up to hi[i]; the runs at its ends may go on outside
     lo = run[: n - window + 1] + 1
     hi = run[window - 1 :].copy()
+    levels = []
     for k in range(1, rounds + 1):
         right = _sides(name, k)
         left = _pairs(right, size, doc, k)
         # a right symbol at the start may belong to a left one outside, a left one at the end likewise
         edge = np.append(right, False)
-        lo += edge[np.minimum(lo, len(name))]
-        hi -= ~edge[hi - 1]
+        lo = lo + edge[np.minimum(lo, len(name))]
+        hi = hi - ~edge[hi - 1]
         keep = _kept(left)
         name, size, doc = _named_pairs(name, left, keep), _sized_pairs(size, left, keep), doc[keep]
         before = np.concatenate([[0], np.cumsum(keep)])
         hi = np.maximum(hi, 0)
         lo, hi = before[np.minimum(lo, len(keep))], before[hi]
-    rank = (np.minimum(size, 127).astype(np.uint64) << np.uint64(57)) | (mix(name) >> np.uint64(7))
-    best = np.full(len(lo), -1, np.int64)
-    score = np.zeros(len(lo), np.uint64)
-    active = np.flatnonzero(lo < hi)
-    step = 0
-    while len(active):
-        at = lo[active] + step
-        better = (rank[at] > score[active]) | (best[active] < 0)
-        w = active[better]
-        best[w], score[w] = at[better], rank[at[better]]
-        step += 1
-        active = active[lo[active] + step < hi[active]]
-    has = np.zeros(n, bool)
-    has[: len(best)] = best >= 0
-    out = np.zeros(n, np.uint64)
-    out[: len(best)][best >= 0] = name[best[best >= 0]]
+        levels.append((name, size, lo, hi))
+    out, has = np.zeros(n, np.uint64), np.zeros(n, bool)
+    for name, size, lo, hi in levels[: -FALLBACKS - 2 : -1]:
+        rank = (np.minimum(size, 127).astype(np.uint64) << np.uint64(57)) | (mix(name) >> np.uint64(7))
+        some = np.flatnonzero((lo < hi) & ~has[: len(lo)])
+        best, score = np.zeros(len(some), np.int64), np.zeros(len(some), np.uint64)
+        active, step = np.arange(len(some)), 0
+        while len(active):
+            at = lo[some[active]] + step
+            better = (rank[at] > score[active]) | (step == 0)
+            w = active[better]
+            best[w], score[w] = at[better], rank[at[better]]
+            step += 1
+            active = active[lo[some[active]] + step < hi[some[active]]]
+        out[some], has[some] = name[best], True
     return out, has
 
 
@@ -182,28 +183,37 @@ class _Batch:
 
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """Both names of the window that starts at each word."""
-        return self.hashes(self.words), self.hashes(self.others, seed=2)
+        return self.hashes(self.words), _short(self.hashes(self.others, seed=2))
 
-    def long_symbols(self, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(name, other name, first word, words) of the symbols that hold a window."""
-        found = symbols(self.words, self.others, self.docs, rounds)
-        long = found[3] >= self.window
-        return tuple(x[long] for x in found)
+    def long_symbols(self, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(name, other name, first word, words) of the symbols that hold a window, of all documents or of some."""
+        at = np.arange(len(self.words)) if docs is None else np.flatnonzero(docs[self.docs])
+        name, other, start, size = symbols(self.words[at], self.others[at], self.docs[at], LONG_ROUND)
+        long = size >= self.window
+        return name[long], _short(other[long]), at[start[long]], size[long]
 
     def inside(self, longs: pa.Array, others: pa.Array) -> np.ndarray:
         """Whether the window that starts at each word lies in a long symbol whose names its document is given."""
         depth = np.zeros(len(self.words) + 1, np.int64)
         (names, offsets), (twins, _) = longs_of(longs), longs_of(others)
         if len(names):
-            for rounds in LONG_ROUNDS:
-                name, other, start, size = self.long_symbols(rounds)
-                doc = self.docs[start]
-                known = _within(doc, name, names, offsets) & _within(doc, other, twins, offsets)
-                np.add.at(depth, start[known], 1)
-                np.add.at(depth, start[known] + size[known] - self.window + 1, -1)
+            name, other, start, size = self.long_symbols(np.diff(offsets) > 0)
+            doc = self.docs[start]
+            known = _within(doc, name, names, offsets) & _within(doc, other, twins, offsets)
+            np.add.at(depth, start[known], 1)
+            np.add.at(depth, start[known] + size[known] - self.window + 1, -1)
         return np.cumsum(depth[:-1]) > 0
 
 
+def _short(name: np.ndarray) -> np.ndarray:
+    """The upper half of a name."""
+    return name >> np.uint64(32)
+
+
+def _ints(name: np.ndarray) -> pa.Array:
+    return pa.array(name.astype(np.uint32).view(np.int32))
+
+
 def _first_of(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Whether each (doc, value) is the first of its kind; documents lie one after another."""
     order = np.lexsort((value, doc))
@@ -221,6 +231,8 @@ def _within(doc: np.ndarray, value: np.ndarray, sets: np.ndarray, offsets: np.nd
         return np.zeros(len(doc), bool)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64)
     salt = np.uint64(0xC2B2AE3D27D4EB4F)
+    if sets.dtype == np.int32:
+        sets = sets.view(np.uint32).astype(np.int64)
     return np.isin(mix(value ^ mix(doc.astype(np.uint64) * salt)), mix(sets.view(np.uint64) ^ mix(owner * salt)))
 
 
@@ -240,17 +252,23 @@ def _final(documents: DataFrame, window: int, with_text: bool) -> DataFrame:
     without = F.lit(_NULL_ID) + F.pmod(F.xxhash64("text"), F.lit(_FIRST_ID - _NULL_ID))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), without).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.select("id", "text")
-    copies = cut(_copies(texts))
-    info = cut(_shared_anchors(texts, window).join(_shared_symbols(texts, window), "id", "full").join(copies.withColumn("copy", F.lit(True)), "id", "full"))
+    keys, anchored = _shared_anchors(texts, window)
+    longs, named = _shared_symbols(texts, window)
+    info = cut(keys.join(longs, "id", "full").join(_copies(texts).withColumn("copy", F.lit(True)), "id", "full"))
+    anchored.drop()
+    named.drop()
     release(spark)
-    staged = Staged(texts.join(info, "id", "left").mapInArrow(_candidates(window), "id long, h long, g long"))
+    staged = Staged(texts.join(info, "id", "left").mapInArrow(_candidates(window), "id long, h long, g int"))
     release(spark)
     windows = staged.rows
-    firsts = cut(windows.groupBy("h", "g").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first"))
+    shared = Staged(windows.groupBy("h", "g").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first"))
+    firsts = shared.rows
     release(spark)
     later = windows.join(firsts, ["h", "g"]).where(_order() > F.col("first")).groupBy("id").agg(F.collect_list(F.struct("h", "g")).alias("r"))
     later = cut(later.select("id", F.col("r.h").alias("repeated"), F.col("r.g").alias("repeated_g")))
     staged.drop()
+    shared.drop()
+    release(spark)
     joined = docs.join(info.select("id", "copy", "longs", "longs_g"), "id", "left").join(later, "id", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_cleaned(window, with_text), schema)
@@ -265,12 +283,12 @@ def _copies(texts: DataFrame) -> DataFrame:
     """(id) of the later exact copies of a text."""
     digests = texts.where("text is not null").select("id", F.md5("text").alias("digest"))
     order = _order()
-    copied = digests.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("last > first").select("digest", "first")
+    copied = cut(digests.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("last > first").select("digest", "first"))
     return digests.join(copied, "digest").where(_order() > F.col("first")).select("id").distinct()
 
 
-def _shared_anchors(texts: DataFrame, window: int) -> DataFrame:
-    """(id, keys): the repeated anchors of a document."""
+def _shared_anchors(texts: DataFrame, window: int) -> tuple[DataFrame, Staged]:
+    """(id, keys), the repeated anchors of a document, and the table that it is read from."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, _BATCH):
@@ -294,35 +312,26 @@ def _shared_anchors(texts: DataFrame, window: int) -> DataFrame:
     found = staged.rows
     keys = cut(found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     release(texts.sparkSession)
-    shared = cut(found.select("key", "id").join(keys, "key").groupBy("id").agg(F.collect_list("key").alias("keys")))
-    staged.drop()
-    release(texts.sparkSession)
-    return shared
+    return found.select("key", "id").join(keys, "key").groupBy("id").agg(F.collect_list("key").alias("keys")), staged
 
 
-def _shared_symbols(texts: DataFrame, window: int) -> DataFrame:
-    """(id, longs, longs_g): both names of the long symbols of a document that an earlier one has."""
-    rounds = []
-    for k in LONG_ROUNDS:
-        staged = Staged(texts.mapInArrow(_long_names(window, k), "id long, a long, b long"))
-        found = staged.rows
-        firsts = cut(found.groupBy("a", "b").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first"))
-        rounds.append(cut(found.join(firsts, ["a", "b"]).where(_order() > F.col("first")).select("id", "a", "b")))
-        staged.drop()
-        release(texts.sparkSession)
-    return reduce(DataFrame.union, rounds).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("r")).select("id", F.col("r.a").alias("longs"), F.col("r.b").alias("longs_g"))
+def _shared_symbols(texts: DataFrame, window: int) -> tuple[DataFrame, Staged]:
+    """(id, longs, longs_g), both names of the long symbols of a document that an earlier one has, and the table that they are read from."""
 
-
-def _long_names(window: int, rounds: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, _BATCH):
             b = _Batch(batch.column("text"), window)
-            name, other, start, _ = b.long_symbols(rounds)
+            name, other, start, _ = b.long_symbols()
             one = _first_of(b.docs[start], name)
             ids = np.asarray(batch.column("id"), np.int64)[b.docs[start[one]]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name[one].view(np.int64)), pa.array(other[one].view(np.int64))], names=["id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name[one].view(np.int64)), _ints(other[one])], names=["id", "a", "b"])
 
-    return run
+    staged = Staged(texts.mapInArrow(emit, "id long, a long, b int"))
+    found = staged.rows
+    firsts = cut(found.groupBy("a", "b").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first"))
+    release(texts.sparkSession)
+    later = found.join(firsts, ["a", "b"]).where(_order() > F.col("first")).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("r"))
+    return later.select("id", F.col("r.a").alias("longs"), F.col("r.b").alias("longs_g")), staged
 
 
 def _candidates(window: int):
@@ -337,7 +346,7 @@ def _candidates(window: int):
             h, g = (x[at] for x in b.names())
             one = _first_of(b.docs[at], h)
             ids = np.asarray(batch.column("id"), np.int64)[b.docs[at[one]]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[one].view(np.int64)), pa.array(g[one].view(np.int64))], names=["id", "h", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[one].view(np.int64)), _ints(g[one])], names=["id", "h", "g"])
 
     return run
 
