@@ -412,7 +412,9 @@ def test_made_datasets_and_quarantine(spark, tmp_path):
     Path(root, "data/chunk-000/episode_000002.parquet").write_bytes(b"broken")
     with pytest.warns(UserWarning, match="do not read"):
         result, problems = curator.run_dataset(spark, root, spec, "quarantine")
-    assert len(problems) == 1 and result.decisions.count() == 7
+    assert len(problems) == 1 and result.decisions.count() == 8
+    (lost,) = result.decisions.where("episode_index = 2").collect()
+    assert not lost.kept and lost.reason.startswith("quarantined: unreadable episode (") and lost.keep_score is None
     with pytest.raises(FileNotFoundError):
         datasets.resolve("nowhere at all")
     assert datasets.resolve(root) == root

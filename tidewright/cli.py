@@ -58,6 +58,9 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--no-videos", action="store_true")
         c.add_argument("--seed", type=int, default=0)
         if name == "curate":
+            c.add_argument("--on-error", default="abort", choices=("abort", "quarantine"))
+            c.add_argument("--no-card", action="store_true")
+            c.add_argument("--json", action="store_true")
             c.add_argument("--out", required=True)
             c.add_argument("--save-recipe")
             c.add_argument("--report-html")
@@ -95,7 +98,11 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
 
     if a.command == "list-signals":
-        print("\n".join(S.REGISTRY.available()))
+        for name in S.REGISTRY.available():
+            spec = curator.SPECS.get(name)
+            print(name if spec is None else f"{name}: {'higher' if spec.higher_is_better else 'lower'} is better, {spec.cost}{', needs ' + ', '.join(spec.requires) if spec.requires else ''}")
+        for name, why in S.REGISTRY.unavailable().items():
+            print(f"{name}: not available ({why})")
         return 0
     if a.command == "report":
         m = json.loads(Path(a.manifest).read_text())
@@ -115,7 +122,17 @@ def main(argv: list[str] | None = None) -> int:
         one, two = (datasets.read(spark, x) for x in (a.a, a.b))
         _print(reports.diff(datasets.fingerprints(one.frames, one.features), datasets.fingerprints(two.frames, one.features)).orderBy("episode_index").collect())
         return 0
-    data = datasets.read(spark, a.dataset) if a.command != "validate" else None
+    quarantined = None
+    if a.command == "curate" and a.on_error == "quarantine":
+        good, problems = datasets.readable(spark, a.dataset)
+        if problems:
+            print(f"{len(problems)} episode files do not read", file=sys.stderr)
+            data = (datasets.read_v21 if datasets.detect_version(a.dataset) == "v2.1" else datasets.read_v3)(spark, a.dataset, good)
+            quarantined = datasets.unreadable(spark, a.dataset, problems)
+        else:
+            data = datasets.read(spark, a.dataset)
+    else:
+        data = datasets.read(spark, a.dataset) if a.command != "validate" else None
     if a.command == "validate":
         problems = datasets.validate(spark, a.dataset)
         print("\n".join(problems) or "no problem was found")
@@ -150,13 +167,19 @@ def main(argv: list[str] | None = None) -> int:
         wrong = reports.verify(expected, again.decisions).collect()
         _print(wrong)
         return int(bool(wrong))
-    result = curator.run(frames, _spec(a), prints)
+    if a.command == "inspect":  # scores of statistics need all episodes, the rest one
+        spec = _spec(a)
+        if set(spec.signals) <= {"jerk", "path_efficiency", "spectral_smoothness"}:
+            frames, prints = frames.where(F.col("episode_index") == a.episode), prints.where(F.col("episode_index") == a.episode)
+    result = curator.run(frames, _spec(a), prints, quarantined=quarantined)
     if a.command == "score":
         _print(result.scores.orderBy("signal", "episode_index").collect())
     elif a.command == "rank":
         keep = prints.join(curation.weighted_sum(result.scores), "episode_index")
         rows = curation.worst(keep, a.worst).collect()
         _print(rows)
+        if none := [r.episode_index for r in curation.unscored(result.scores).orderBy("episode_index").toLocalIterator()]:
+            print(f"unscored: {', '.join(map(str, none))}")
         if a.out_flags:
             Path(a.out_flags).write_text(json.dumps({"episode_indices": [r.episode_index for r in rows]}))
     elif a.command == "explain":
@@ -168,12 +191,13 @@ def main(argv: list[str] | None = None) -> int:
     else:
         result.save(data, a.out, videos=not a.no_videos)
         card = scorecard.scorecard(result)
-        Path(a.out, "README.md").write_text(scorecard.markdown(card))
+        if not a.no_card:
+            Path(a.out, "README.md").write_text(scorecard.markdown(card))
         if a.report_html:
             Path(a.report_html).write_text(scorecard.html_page(card))
         if a.save_recipe:
             curator.save_recipe(result.spec, a.save_recipe)
-        print(json.dumps(card["summary"]))
+        print(json.dumps(card if a.json else card["summary"], default=str))
     return 0
 
 

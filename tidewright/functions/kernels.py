@@ -24,10 +24,13 @@ def finite(x: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once, in the shared folder that the session names; later stages survive lost executors."""
+    """Compute once, in the shared folder that the session names, as it has to on a cluster; later stages survive lost executors."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/tidewright"))
+        folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/tidewright" if spark.sparkContext.master.startswith("local") else None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -85,16 +88,43 @@ def difference(long: DataFrame) -> DataFrame:
 
 
 def step_norms(long: DataFrame) -> DataFrame:
-    """(episode_index, step, norm): the Euclidean norm over the dimensions of each step."""
-    return long.groupBy("episode_index", "step").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    """(episode_index, step, t, norm): the Euclidean norm over the dimensions of each step."""
+    return long.groupBy("episode_index", "step").agg(F.min("t").alias("t"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+
+
+#: Rank error of the quantiles that bracket a median is one in so many; the brackets are five times as wide.
+MEDIAN_ACCURACY = 10_000
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the exact median of each column's values that are not NULL.
+
+    Approximate quantiles bracket it, and only values in the bracket, about one in a thousand, are counted
+    by value and put in order, so no task holds the distinct values of a column.
+    """
+    long = df.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("i", "x")).where("x is not null")
+    near = long.groupBy("i").agg(F.percentile_approx("x", [0.4995, 0.5005], MEDIAN_ACCURACY).alias("q"), F.count("*").alias("n"))
+    near = near.select("i", "n", F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
+    x = F.col("x")
+    place = F.when(x < F.col("lo"), F.lit(float("-inf"))).when(x > F.col("hi"), F.lit(float("inf"))).otherwise(x)
+    counted = long.join(F.broadcast(near), "i").groupBy("i", "n", place.alias("x")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("i").orderBy("x"))
+    # the two middle places, which are one for odd counts
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    held = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
+    here = lambda rank: F.max(F.when((F.col("before") < rank) & (rank <= F.col("upto")), F.col("x")))
+    found = held.groupBy("i").agg(((here(first) + here(second)) / 2).alias("m"))
+    return found.agg(*(F.max(F.when(F.col("i") == k, F.col("m"))).alias(c) for k, c in enumerate(columns)))
 
 
 def median_mad(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: median, MAD, mean and population deviation of each column's finite values, as c_median, c_mad, c_mean, c_std."""
     good = df.select(*(F.when(finite(F.col(c)), F.col(c)).alias(c) for c in columns))
-    first = good.agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("median", F.median), ("mean", F.avg), ("std", F.stddev_pop))))
-    spread = good.crossJoin(F.broadcast(first)).agg(*(F.median(F.abs(F.col(c) - F.col(f"{c}_median"))).alias(f"{c}_mad") for c in columns))
-    return first.crossJoin(F.broadcast(spread))
+    good = cut(good)  # read four times
+    middle = medians(good, columns).select(*(F.col(c).alias(f"{c}_median") for c in columns))
+    first = cut(middle.crossJoin(F.broadcast(good.agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop)))))))
+    spread = medians(good.crossJoin(F.broadcast(first)).select(*(F.abs(F.col(c) - F.col(f"{c}_median")).alias(c) for c in columns)), columns)
+    return first.crossJoin(F.broadcast(spread.select(*(F.col(c).alias(f"{c}_mad") for c in columns))))
 
 
 def robust_z(value: Column, median: Column, mad: Column, mean: Column, std: Column) -> Column:
@@ -102,10 +132,14 @@ def robust_z(value: Column, median: Column, mad: Column, mean: Column, std: Colu
     return F.when(mad > 0, 0.6745 * (value - median) / mad).when(std > 0, (value - mean) / std).otherwise(0.0)
 
 
-def minmax_keep(value: Column, signal: Column, higher_is_better: Column) -> Column:
-    """Value scaled to 0..1 within its signal so that 1 is best; constant signals and missing values get one half."""
-    scope = Window.partitionBy(signal)
-    known = F.when(finite(value), value)
-    low, high = F.min(known).over(scope), F.max(known).over(scope)
+def minmax_keep(scores: DataFrame) -> DataFrame:
+    """Adds ``norm``: the value scaled to 0..1 within its signal so that 1 is best; constant signals and missing values get one half.
+
+    The ends of each signal are aggregated first and joined to its rows, so a signal is dealt over all tasks.
+    """
+    known = F.when(finite(F.col("value")), F.col("value"))
+    ends = scores.groupBy(F.col("signal").alias("_of")).agg(F.min(known).alias("_low"), F.max(known).alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
     scaled = (known - low) / (high - low)
-    return F.when(known.isNull() | (high <= low), 0.5).when(higher_is_better, scaled).otherwise(1 - scaled)
+    norm = F.when(known.isNull() | (high <= low), 0.5).when(F.col("higher_is_better"), scaled).otherwise(1 - scaled)
+    return scores.join(ends, scores["signal"].eqNullSafe(ends["_of"])).withColumn("norm", norm).drop("_of", "_low", "_high")

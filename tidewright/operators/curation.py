@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,7 +53,8 @@ class Gate:
 
 
 def normalised(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("norm", K.minmax_keep(F.col("value"), F.col("signal"), F.col("higher_is_better")))
+    """Scores with ``norm``; they are read twice, so hand in computed ones."""
+    return K.minmax_keep(scores)
 
 
 def weighted_sum(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -75,6 +77,11 @@ def top_k(keep: DataFrame, k: int) -> DataFrame:
     return keep.orderBy(F.col("keep_score").desc(), F.col("fingerprint").asc()).limit(k)
 
 
+def unscored(scores: DataFrame) -> DataFrame:
+    """(episode_index) of the episodes that every signal skipped."""
+    return scores.groupBy("episode_index").agg(F.count(F.when(K.finite(F.col("value")), 1)).alias("n")).where("n = 0").select("episode_index")
+
+
 def worst(keep: DataFrame, n: int) -> DataFrame:
     return keep.orderBy(F.col("keep_score").asc(), F.col("fingerprint").asc()).limit(n)
 
@@ -85,15 +92,81 @@ def responsible(scores: DataFrame) -> DataFrame:
     return normalised(scores).withColumn("place", place).where("place = 1 or (place = 2 and norm < 0.5)").select("episode_index", "place", "signal", "norm", "value")
 
 
-def close_pairs(vectors: DataFrame, epsilon: float, cell_dims: int = 3) -> DataFrame:
-    """(a, b), a < b: vectors within ``epsilon``; a grid of cells of that side over the first dimensions limits who meets."""
-    sides = [F.floor(F.get("v", i) / epsilon).cast("long") for i in range(cell_dims)]
-    cells = vectors.withColumn("cell", F.array(*(F.coalesce(s, F.lit(0).cast("long")) for s in sides)))
-    near = F.array(*(F.array(*(F.lit(x) for x in shift)) for shift in np.ndindex(*(3,) * cell_dims)))
-    reach = cells.withColumn("shift", F.explode(near)).withColumn("cell", F.zip_with("cell", "shift", lambda c, s: c + s - 1)).drop("shift")
-    a, b = cells.select(F.col("episode_index").alias("a"), F.col("v").alias("va"), "cell"), reach.select(F.col("episode_index").alias("b"), F.col("v").alias("vb"), "cell")
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return a.join(b, "cell").where("a < b").withColumn("distance", d).where(F.col("distance") <= epsilon).select("a", "b", "distance")
+#: Vectors in a block of the search for close pairs.
+PAIR_BLOCK = 1024
+
+
+def _meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x to those of y, to the last bit alike whichever way round."""
+    return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(2))
+
+
+def close_pairs(vectors: DataFrame, epsilon: float, block: int = PAIR_BLOCK) -> DataFrame:
+    """(a, b, distance), a < b: vectors (episode_index, v) within ``epsilon``.
+
+    Vectors are put in order along the dimension in which they spread most and cut into blocks; two blocks
+    meet only if their ranges come within ``epsilon``. A row goes out for a close pair and for no other.
+    """
+    width = vectors.select(F.size("v").alias("n")).agg(F.max("n")).first()[0] or 1
+    spread = vectors.agg(*(F.stddev_pop(F.get("v", i)).alias(f"s{i}") for i in range(width))).first()
+    along = max(range(width), key=lambda i: (spread[i] is not None and spread[i] == spread[i], spread[i] or 0.0))
+    placed = K.in_order(vectors.select("episode_index", "v", F.coalesce(F.get("v", along), F.lit(0.0)).alias("p")), F.col("p"), F.col("episode_index"))
+    placed = K.cut(placed.select("episode_index", "v", "p", F.floor((F.col("rank") - 1) / block).alias("block")))
+    # one row for a block
+    ends = sorted((r.block, r.lo, r.hi) for r in placed.groupBy("block").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).collect())
+    last = np.searchsorted([lo for _, lo, _ in ends], [hi + epsilon for _, _, hi in ends], "right") - 1
+    reach = vectors.sparkSession.createDataFrame([(int(e[0]), int(k)) for e, k in zip(ends, last)], "x long, last long")
+    pairs = reach.select("x", F.explode(F.sequence("x", "last")).alias("y"))
+    row = lambda side: placed.select(F.col("block").alias("x" if side == 1 else "y"), "episode_index", "v", F.lit(side).alias("side"))
+    dealt = row(1).join(pairs, "x").select("x", "y", "side", "episode_index", "v").union(row(2).join(pairs.where("x < y"), "y").select("x", "y", "side", "episode_index", "v"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, side, x = pdf["episode_index"].to_numpy(), pdf["side"].to_numpy(), np.array(pdf["v"].tolist(), float)
+        one = side == 1
+        other = ~one if (~one).any() else one
+        a, b, d = [], [], []
+        step = max(1, 4_000_000 // max(1, other.sum() * x.shape[1]))
+        left = np.flatnonzero(one)
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            far = _meeting(x[part], x[other])
+            i, j = np.nonzero(far <= epsilon)
+            a.append(ids[part][i]), b.append(ids[other][j]), d.append(far[i, j])
+        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+        keep = a < b if other is one else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": d[keep]})
+
+    return dealt.groupBy("x", "y").applyInPandas(meet, "a long, b long, distance double")
+
+
+def representatives(removed: DataFrame, kept: DataFrame, vectors: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(episode_index, representative, distance): the nearest kept episode of each removed one, the better ranked of equally near ones.
+
+    removed (episode_index); kept (episode_index, rank). Episodes without a vector are left out. Blocks of removed
+    and of kept ones meet; a row goes out for a removed episode and a block of kept ones.
+    """
+    theirs = vectors.join(kept.select("episode_index", "rank"), "episode_index")
+    ours = vectors.join(removed.select("episode_index"), "episode_index")
+    counts = [max(1, -(-n // block)) for n in (ours.count(), theirs.count())]
+    own = lambda n: F.pmod(F.xxhash64("episode_index"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = ours.select(own(counts[0]).alias("x"), every(counts[1]).alias("y"), "episode_index", "v", F.lit(None).cast("long").alias("rank"))
+    dealt = dealt.union(theirs.select(every(counts[0]).alias("x"), own(counts[1]).alias("y"), "episode_index", "v", F.col("rank").cast("long")))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf["rank"].notna().to_numpy()
+        best = pdf[known].sort_values("rank")
+        rows = pdf[~known]
+        if best.empty or rows.empty:
+            return pd.DataFrame({"episode_index": [], "representative": [], "distance": [], "rank": []}).astype({"episode_index": "int64", "representative": "int64", "rank": "int64"})
+        x, y = np.array(rows["v"].tolist(), float), np.array(best["v"].tolist(), float)
+        step = max(1, 4_000_000 // (len(y) * y.shape[1]))
+        far = [(_meeting(x[at : at + step], y)) for at in range(0, len(x), step)]
+        at = np.concatenate([f.argmin(1) for f in far])
+        return pd.DataFrame({"episode_index": rows["episode_index"].to_numpy(), "representative": best["episode_index"].to_numpy()[at], "distance": np.concatenate([f.min(1) for f in far]), "rank": best["rank"].to_numpy()[at].astype("int64")})
+
+    met = dealt.groupBy("x", "y").applyInPandas(meet, "episode_index long, representative long, distance double, rank long")
+    return met.groupBy("episode_index").agg(F.min_by(F.struct("representative", "distance"), F.struct("distance", "rank")).alias("r")).select("episode_index", "r.representative", "r.distance")
 
 
 def greedy_dedup(keep: DataFrame, vectors: DataFrame, epsilon: float, k: int | None = None, most_rounds: int = 1000) -> DataFrame:
@@ -116,12 +189,12 @@ def greedy_dedup(keep: DataFrame, vectors: DataFrame, epsilon: float, k: int | N
     fallen = copies
     open_edges = edges
     for done in count(1):
-        # kept: better in an open edge and worse in none
-        free = K.cut(open_edges.select(F.col("better").alias("episode_index")).distinct().join(open_edges.select(F.col("worse").alias("episode_index")), "episode_index", "left_anti"))
-        down = K.cut(open_edges.join(free, open_edges.better == free.episode_index, "left_semi").select(F.col("worse").alias("episode_index")).distinct())
+        # who is better in an open edge and worse in none is kept, and all that are worse than those fall
+        beaten = open_edges.select(F.col("worse").alias("beaten")).distinct()
+        down = K.cut(open_edges.join(beaten, open_edges.better == beaten.beaten, "left_anti").select(F.col("worse").alias("episode_index")).distinct())
         fallen = fallen.union(down) if done % most_rounds else K.cut(fallen.union(down))
-        gone = free.union(down)
-        open_edges = K.cut(open_edges.join(gone, open_edges.better == gone.episode_index, "left_anti").join(down, F.col("worse") == down.episode_index, "left_anti"))
+        # an edge of a kept episode goes with the one that falls
+        open_edges = K.cut(open_edges.join(down, open_edges.better == down.episode_index, "left_anti").join(down, F.col("worse") == down.episode_index, "left_anti"))
         if not open_edges.limit(1).count():
             break
     marked = ranked.join(fallen.distinct().withColumn("fell", F.lit(True)), "episode_index", "left").withColumn("alive", F.col("fell").isNull())
@@ -178,10 +251,20 @@ def equal_n_baseline(valid: list[int], k: int, seed: int) -> list[int]:
     return sorted(int(i) for i in np.random.default_rng(int(state)).choice(np.array(valid, np.int64), min(k, len(valid)), replace=False)) if valid else []
 
 
-def decisions(episodes: DataFrame, keep: DataFrame, kept: DataFrame, gated: DataFrame | None = None, dropped: DataFrame | None = None, unlisted: DataFrame | None = None) -> DataFrame:
-    """(episode_index, keep_score, kept, reason) of every episode. gated has gate_signal and value; a gate comes before lists, lists before the budget."""
+def decisions(episodes: DataFrame, keep: DataFrame, kept: DataFrame, gated: DataFrame | None = None, dropped: DataFrame | None = None, unlisted: DataFrame | None = None, similar: DataFrame | None = None, how: str = "near-duplicate of") -> DataFrame:
+    """(episode_index, keep_score, kept, reason, representative) of every episode.
+
+    gated has gate_signal and value; similar (episode_index, representative) are removed episodes that a kept
+    one stands for. A gate comes before lists, lists before the kept, those before similar ones, then the budget.
+    """
     out = episodes.select("episode_index").join(keep.select("episode_index", "keep_score"), "episode_index", "left").join(kept.select("episode_index").withColumn("k", F.lit(True)), "episode_index", "left")
-    reason = F.when(F.col("k"), F.format_string("kept: keep score %.4f", "keep_score")).otherwise(F.format_string("below budget: keep score %.4f", "keep_score"))
+    reason = F.format_string("below budget: keep score %.4f", "keep_score")
+    represented = F.lit(None).cast("long")
+    if similar is not None:
+        out = out.join(similar.select("episode_index", "representative"), "episode_index", "left")
+        represented = F.when(F.col("k").isNull(), F.col("representative"))
+        reason = F.when(represented.isNotNull(), F.format_string(f"{how} kept episode %d", "representative")).otherwise(reason)
+    reason = F.when(F.col("k"), F.format_string("kept: keep score %.4f", "keep_score")).otherwise(reason)
     for name, df, text in (("listed", dropped, F.lit("on the drop list")), ("unlisted", unlisted, F.lit("not on the keep list"))):
         if df is not None:
             out = out.join(df.select("episode_index").distinct().withColumn(name, F.lit(True)), "episode_index", "left")
@@ -189,4 +272,4 @@ def decisions(episodes: DataFrame, keep: DataFrame, kept: DataFrame, gated: Data
     if gated is not None:
         out = out.join(gated.select("episode_index", "gate_signal", F.col("value").alias("gate_value")), "episode_index", "left")
         reason = F.when(F.col("gate_signal").isNotNull(), F.format_string("gated: %s = %.4f", "gate_signal", "gate_value")).otherwise(reason)
-    return out.select("episode_index", "keep_score", F.coalesce("k", F.lit(False)).alias("kept"), reason.alias("reason"))
+    return out.select("episode_index", "keep_score", F.coalesce("k", F.lit(False)).alias("kept"), reason.alias("reason"), represented.alias("representative"))

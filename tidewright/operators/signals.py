@@ -30,6 +30,8 @@ class Spec:
     per_transition: bool = False
     requires: tuple[str, ...] = ()
     deterministic: bool = True
+    #: What an episode costs: "cheap" reads numbers, "video" reads pixels, "learned" trains a model.
+    cost: str = "cheap"
 
 
 def _scores(spec: Spec, rows: DataFrame, value: Column, skip: Column, *more: Column) -> DataFrame:
@@ -94,13 +96,16 @@ def _increments(frames: DataFrame, source: str, dims: tuple[int, int], motion: s
 
 
 def path_efficiency(frames: DataFrame, source: str = "action", dims: tuple[int, int] = (0, 3), motion: str = "increments") -> DataFrame:
-    """Length of the net displacement over the length of the path."""
+    """Length of the net displacement over the length of the path; one pass behind one shuffle."""
     spec = Spec("path_efficiency", True)
-    moves = _increments(frames, source, dims, motion)
-    net = moves.groupBy("episode_index", "dof").agg(F.sum("x").alias("x")).groupBy("episode_index").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("net"))
-    path = K.step_norms(moves).groupBy("episode_index").agg(F.sum("norm").alias("path"))
-    n = frames.groupBy("episode_index").agg(F.count("*").alias("n_steps"))
-    rows = n.join(net, "episode_index", "left").join(path, "episode_index", "left")
+    names = [f"_x{i}" for i in range(*dims)]
+    moves = frames.select("episode_index", "step", *(F.get(source, i).cast("double").alias(f"_x{i}") for i in range(*dims)))
+    if motion == "positions":
+        earlier = Window.partitionBy("episode_index").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+        moves = moves.withColumns({c: F.col(c) - F.last(c, ignorenulls=True).over(earlier) for c in names})
+    square = lambda terms: sum((F.coalesce(x * x, F.lit(0.0)) for x in terms), F.lit(0.0))
+    norm = F.when(F.coalesce(*names).isNotNull(), F.sqrt(square(map(F.col, names)))) if len(names) > 1 else F.abs(names[0])
+    rows = moves.groupBy("episode_index").agg(F.count("*").alias("n_steps"), F.sum(norm).alias("path"), F.sqrt(square([F.sum(c) for c in names])).alias("net"))
     skip = F.when(F.col("n_steps") < 2, "too short").when(F.col("path").isNull(), "no source").when(F.col("path") < 1e-9, "no motion")
     return _scores(spec, rows, F.try_divide("net", "path"), skip)
 
@@ -126,7 +131,7 @@ def sparc(speed: np.ndarray, fs: float, cutoff: float = 10.0, threshold: float =
 def spectral_smoothness(frames: DataFrame, source: str = "action", dims: tuple[int, int] = (0, 3), motion: str = "increments", cutoff: float = 10.0, threshold: float = 0.05) -> DataFrame:
     """Spectral arc length per episode; the FFT runs in Arrow-fed pandas, a group is one episode."""
     spec = Spec("spectral_smoothness", True)
-    speed = K.step_norms(_increments(frames, source, dims, motion)).join(frames.select("episode_index", "step", "t"), ["episode_index", "step"])
+    speed = K.step_norms(_increments(frames, source, dims, motion))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
@@ -167,6 +172,13 @@ def statistical_embedding(frames: DataFrame, action: str = "action", state: str
     return out
 
 
+def standardised_arrays(vectors: DataFrame) -> DataFrame:
+    """As ``standardised``, of (episode_index, v array); arrays of other lengths than the longest are left out."""
+    width = vectors.agg(F.max(F.size("v")).alias("n")).first().n or 0
+    names = [f"d{i}" for i in range(width)]
+    return standardised(vectors.select("episode_index", *(F.get("v", i).cast("double").alias(n) for i, n in enumerate(names))), names) if width else vectors.select("episode_index", "v").limit(0)
+
+
 def standardised(vectors: DataFrame, columns: list[str]) -> DataFrame:
     """(episode_index, v): columns standardised over the dataset, constant ones by 1; episodes that are not finite are left out."""
     good = vectors.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in columns))
@@ -363,8 +375,66 @@ def _embedded_redundancy(frames: DataFrame, k: int = 1, state: str | None = None
     return redundancy(standardised(statistical_embedding(frames, state=state), EMBEDDING), k)
 
 
+def _skipped(spec: Spec, frames: DataFrame, why: str) -> DataFrame:
+    return _scores(spec, frames.select("episode_index").distinct(), F.lit(None).cast("double"), F.lit(why))
+
+
+def _found_sim_validity(frames: DataFrame, penetration: str | None = None, threshold: float = 0.005, max_step: float = 1.0, positions: list[str] | None = None, prefix: str = "sim.") -> DataFrame:
+    """Columns of a simulator begin with ``prefix``; positions are those with ``pos`` in their names, penetration the one with that word."""
+    found = [c for c in frames.columns if c.startswith(prefix)]
+    penetration = penetration or next((c for c in found if "penetration" in c), None)
+    positions = sorted(c for c in found if "pos" in c) if positions is None else positions
+    if not penetration and not positions:
+        return _skipped(SPECS["sim_physics_validity"], frames, "no simulator columns")
+    plain = {c: f"_sim{i}" for i, c in enumerate([c for c in [penetration, *positions] if c])}
+    return sim_validity(frames.select("episode_index", "step", *(F.col(f"`{c}`").alias(n) for c, n in plain.items())), plain.get(penetration), [plain[c] for c in positions], threshold, max_step)
+
+
+def _of_images(name: str, signal: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    def judged(frames: DataFrame, camera: str | None = None, shape: tuple[int, int, int] | None = None, **parameters) -> DataFrame:
+        """``camera`` is a binary column of raw pixels, the first by name if none is given; ``shape`` is that of a frame."""
+        cameras = sorted(c for c, kind in frames.dtypes if kind == "binary")
+        if not (camera or cameras) or shape is None:
+            return _skipped(SPECS[name], frames, "no images")
+        images = frames.select("episode_index", "step", F.col(f"`{camera or cameras[0]}`").alias("frame"))
+        return signal(images, tuple(shape), **parameters)
+
+    return judged
+
+
+def _learned_demo_score(frames: DataFrame, label: str = "success", state: str | None = None, **parameters) -> DataFrame:
+    from tidewright.operators import learned
+
+    if label not in frames.columns:
+        return _skipped(SPECS["demo_score"], frames, "no labels")
+    labels = frames.groupBy("episode_index").agg(F.max_by(F.col(label).cast("boolean"), "step").alias("success"))
+    return learned.demo_score(standardised(statistical_embedding(frames, state=state), EMBEDDING), labels, **parameters)
+
+
+def _learned_influence(frames: DataFrame, state: str = "state", action: str = "action", **parameters) -> DataFrame:
+    from tidewright.operators import learned
+
+    if state not in frames.columns or action not in frames.columns:
+        return _skipped(SPECS["cupid"], frames, "no state or action")
+    return learned.influence(frames, state, action, **parameters)
+
+
+#: What each signal needs beside a CPU, what it costs and whether it gives equal results twice.
+SPECS = {
+    s.name: s
+    for s in (
+        Spec("jerk", False, per_transition=True), Spec("action_noise", False, per_transition=True), Spec("path_efficiency", True), Spec("spectral_smoothness", True), Spec("redundancy", True),
+        Spec("structural_validity", False), Spec("sim_physics_validity", False, per_transition=True), Spec("image_blur", False, cost="video"), Spec("visual_stall", False, cost="video"),
+        Spec("visual_diversity", True, cost="video"), Spec("demo_score", True, cost="learned"), Spec("cupid", True, cost="learned"),
+    )
+}
+
 REGISTRY = Registry(
-    {"jerk": jerk, "action_noise": action_noise, "path_efficiency": path_efficiency, "spectral_smoothness": spectral_smoothness, "redundancy": _embedded_redundancy, "structural_validity": structural_validity}
+    {
+        "jerk": jerk, "action_noise": action_noise, "path_efficiency": path_efficiency, "spectral_smoothness": spectral_smoothness, "redundancy": _embedded_redundancy, "structural_validity": structural_validity,
+        "sim_physics_validity": _found_sim_validity, "image_blur": _of_images("image_blur", image_blur), "visual_stall": _of_images("visual_stall", visual_stall),
+        "visual_diversity": _of_images("visual_diversity", visual_diversity), "demo_score": _learned_demo_score, "cupid": _learned_influence,
+    }
 )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -73,8 +74,8 @@ class Resources:
     cpus: int = 1
 
 
-#: What signals need beside a CPU, and whether they give equal results twice.
-SPECS: dict[str, S.Spec] = {}
+#: What signals need; a plug-in adds its own.
+SPECS = S.SPECS
 
 
 def usable(names: list[str], resources: Resources) -> list[str]:
@@ -112,18 +113,32 @@ def run_dataset(spark, root: str, spec: CurationSpec, on_error: str = "abort") -
         raise ValueError("on_error is abort or quarantine")
     problems: dict[str, str] = {}
     data = None
-    if on_error == "quarantine" and datasets.detect_version(root) == "v2.1":
+    if on_error == "quarantine":
         good, problems = datasets.readable(spark, root)
         if problems:
-            data = datasets.read_v21(spark, root, good)
+            data = (datasets.read_v21 if datasets.detect_version(root) == "v2.1" else datasets.read_v3)(spark, root, good)
             warnings.warn(f"{len(problems)} episode files do not read", stacklevel=2)
     data = data or datasets.read(spark, root)
     frames = data.frames.withColumn("action", F.transform("action", lambda x: x.cast("double")))
-    return run(frames, spec, datasets.fingerprints(data.frames, data.features)), problems
-
-
-def run(frames: DataFrame, spec: CurationSpec, episodes: DataFrame | None = None, resources: Resources = Resources()) -> Result:
-    """episodes may hold (episode_index, fingerprint); without it an episode's index, zero-padded, orders ties."""
+    quarantined = datasets.unreadable(spark, root, problems) if problems else None
+    return run(frames, spec, datasets.fingerprints(data.frames, data.features), quarantined=quarantined), problems
+
+
+def run(
+    frames: DataFrame,
+    spec: CurationSpec,
+    episodes: DataFrame | None = None,
+    resources: Resources = Resources(),
+    quarantined: DataFrame | None = None,
+    embedding: Callable[[DataFrame], DataFrame] | None = None,
+    combiner: Callable[[DataFrame, dict[str, float]], DataFrame] = C.weighted_sum,
+) -> Result:
+    """episodes may hold (episode_index, fingerprint); without it an episode's index, zero-padded, orders ties.
+
+    quarantined (episode_index, problem) episodes are in no pool and get a decision. embedding makes
+    (episode_index, v array) of frames, which are standardised; combiner makes (episode_index, keep_score)
+    of scores and weights.
+    """
     if episodes is None:
         episodes = frames.select("episode_index").distinct().withColumn("fingerprint", F.lpad(F.col("episode_index").cast("string"), 20, "0"))
     scores = None
@@ -134,13 +149,18 @@ def run(frames: DataFrame, spec: CurationSpec, episodes: DataFrame | None = None
     scores = K.cut(scores)
     for r in scores.groupBy("signal").agg(F.every(F.col("value").isNull()).alias("none")).where("none").collect():
         warnings.warn(f"signal {r.signal} skipped every episode", stacklevel=2)
-    keep = K.cut(episodes.select("episode_index", "fingerprint").join(C.weighted_sum(scores, spec.weights), "episode_index"))
-    gated = dropped = unlisted = None
+    keep = K.cut(episodes.select("episode_index", "fingerprint").join(combiner(scores, spec.weights), "episode_index"))
+    gated = dropped = unlisted = similar = None
     valid = keep
     if spec.gate:
         gated = scores.where((F.col("signal") == spec.gate.signal) & spec.gate.rejects(F.col("value"))).select("episode_index", F.col("signal").alias("gate_signal"), "value")
         valid = valid.join(gated, "episode_index", "left_anti")
     spark = frames.sparkSession
+    unknown = set(spec.drop or spec.keep)
+    if unknown:
+        unknown -= {r.episode_index for r in keep.where(F.col("episode_index").isin(sorted(unknown))).select("episode_index").collect()}
+        if unknown:
+            warnings.warn(f"the list names episodes that are not there: {', '.join(map(str, sorted(unknown)))}", stacklevel=2)
     if spec.drop:
         dropped = spark.createDataFrame([(i,) for i in spec.drop], "episode_index long")
         valid = valid.join(dropped, "episode_index", "left_anti")
@@ -153,17 +173,29 @@ def run(frames: DataFrame, spec: CurationSpec, episodes: DataFrame | None = None
         kept = C.top_k(valid, k)
     else:
         pool = frames.join(valid.select("episode_index"), "episode_index", "left_semi")
-        vectors = S.standardised(S.statistical_embedding(pool, state=spec.state), S.EMBEDDING)
+        vectors = K.cut(S.standardised_arrays(embedding(pool)) if embedding else S.standardised(S.statistical_embedding(pool, state=spec.state), S.EMBEDDING))
+        ranked = K.in_order(valid, F.col("keep_score").desc(), F.col("fingerprint").asc()).select("episode_index", "rank")
         if spec.selection == "greedy_dedup":
-            kept = C.greedy_dedup(valid, vectors, spec.dedup_epsilon, k).where("kept")
+            walk = K.cut(C.greedy_dedup(valid, vectors, spec.dedup_epsilon))
+            kept = K.cut(walk.where("kept").orderBy("rank").limit(k))
+            similar = C.representatives(walk.where("not kept"), kept, vectors)
         else:
             n = valid.count()
             if n > C.COVERAGE_LIMIT:
                 raise ValueError(f"coverage takes {C.COVERAGE_LIMIT} episodes at most; there are {n}")
             rows = [(r.episode_index, r.fingerprint, r.keep_score) for r in valid.collect()]
             chosen = C.coverage(rows, {r.episode_index: np.array(r.v) for r in vectors.collect()}, k, spec.coverage_quality_weight)
-            kept = spark.createDataFrame([(i,) for i in chosen], "episode_index long")
+            kept = K.cut(spark.createDataFrame([(i,) for i in chosen], "episode_index long").join(ranked, "episode_index"))
+            removed = valid.join(kept, "episode_index", "left_anti").select("episode_index")
+            # the best kept episode stands for those without a vector
+            similar = removed.join(C.representatives(removed, kept, vectors), "episode_index", "left")
+            best = kept.agg(F.min_by("episode_index", "rank").alias("best"))
+            similar = similar.crossJoin(F.broadcast(best)).select("episode_index", F.coalesce("representative", "best").alias("representative"))
     baseline = None
     if spec.baseline:
         baseline = C.equal_n_baseline([r.episode_index for r in valid.select("episode_index").orderBy("episode_index").toLocalIterator()], k, spec.seed)
-    return Result(spec, scores, C.decisions(episodes, keep, kept, gated, dropped, unlisted), baseline, k)
+    decided = C.decisions(episodes, keep, kept, gated, dropped, unlisted, similar, "represented by" if spec.selection == "coverage" else "near-duplicate of")
+    if quarantined is not None:
+        why = F.concat(F.lit("quarantined: unreadable episode ("), "problem", F.lit(")"))
+        decided = decided.unionByName(quarantined.select("episode_index", F.lit(False).alias("kept"), why.alias("reason")), allowMissingColumns=True)
+    return Result(spec, scores, decided, baseline, k)

@@ -184,8 +184,13 @@ def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.jerk(frames).select(*columns).union(S.action_noise(frames).select(*columns)).union(S.path_efficiency(frames, dims=(0, 1), motion="positions").select(*columns))
 
 
+def computed(scores):
+    """Scores computed once, as they are read twice."""
+    return K.cut(scores)
+
+
 def event_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.weighted_sum(event_scores(spark, sf_dir), {"jerk": 2.0}).withColumn("fingerprint", F.lpad(F.col("episode_index").cast("string"), 20, "0"))
+    return curation.weighted_sum(computed(event_scores(spark, sf_dir)), {"jerk": 2.0}).withColumn("fingerprint", F.lpad(F.col("episode_index").cast("string"), 20, "0"))
 
 
 _SCORES = f"""WITH {_SUMMARY}, {_gradient_sql('e1n', 'g1')}, {_gradient_sql('g1', 'g2')},
@@ -199,7 +204,7 @@ ks AS (SELECT ep, sum(norm * CASE signal WHEN 'jerk' THEN 2 ELSE 1 END) / 4 AS k
 
 @query(f"{_SCORES} SELECT ep AS episode_index, signal, round(norm, 6) AS norm FROM nm")
 def q_minmax_keep(spark, sf_dir):
-    return curation.normalised(event_scores(spark, sf_dir)).select("episode_index", "signal", *r6("norm"))
+    return curation.normalised(computed(event_scores(spark, sf_dir))).select("episode_index", "signal", *r6("norm"))
 
 
 @query(f"{_SCORES} SELECT ep AS episode_index, round(keep, 6) AS keep_score FROM ks")
@@ -243,7 +248,7 @@ def q_rank_worst(spark, sf_dir):
 
 @query(f"{_SCORES}, p AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY norm, signal) AS place FROM nm) SELECT ep AS episode_index, place::INT AS place, signal, round(norm, 6) AS norm FROM p WHERE place = 1 OR (place = 2 AND norm < .5)")
 def q_responsible_signals(spark, sf_dir):
-    return curation.responsible(event_scores(spark, sf_dir)).select("episode_index", "place", "signal", *r6("norm"))
+    return curation.responsible(computed(event_scores(spark, sf_dir))).select("episode_index", "place", "signal", *r6("norm"))
 
 
 @query(f"{_SCORES} SELECT signal, high AS higher_is_better, count(value) AS scored, count(*) - count(value) AS skipped, round(min(value), 6) AS low, round(median(value), 6) AS median, round(max(value), 6) AS high FROM sc GROUP BY signal, high")
@@ -269,10 +274,15 @@ def q_compare_runs(spark, sf_dir):
     return reports.compare(decided(spark, sf_dir, "jerk", {}), decided(spark, sf_dir, "action_noise", {})).select("n_both", "n_either", "only_a", "only_b", *r6("jaccard"))
 
 
-@query("SELECT 0::BIGINT AS n_problems")
+@query("""WITH e AS (SELECT DISTINCT user_id AS ep FROM events), p AS (SELECT ep, CASE WHEN ep % 5 = 0 THEN 'missing' WHEN ep % 5 = 1 THEN 'kept differs' WHEN ep % 5 = 2 THEN 'reason differs' END AS problem FROM e)
+SELECT ep AS episode_index, problem FROM p WHERE problem IS NOT NULL UNION ALL SELECT -1 - ep, 'not expected' FROM e WHERE ep % 5 = 3""")
 def q_verify(spark, sf_dir):
-    once, again = decided(spark, sf_dir, "jerk", {}), decided(spark, sf_dir, "jerk", {})
-    return reports.verify(once, again).agg(F.count("*").alias("n_problems"))
+    """Differences are planted: missing episodes, other verdicts, other reasons, episodes that were not expected."""
+    once = decided(spark, sf_dir, "jerk", {}).select("episode_index", "kept", "reason")
+    kind = F.col("episode_index") % 5
+    changed = once.where(kind != 0).withColumns({"kept": F.when(kind == 1, ~F.col("kept")).otherwise(F.col("kept")), "reason": F.when(kind == 2, F.concat("reason", F.lit("!"))).otherwise(F.col("reason"))})
+    more = once.where(kind == 3).withColumn("episode_index", -1 - F.col("episode_index"))
+    return reports.verify(once, changed.union(more))
 
 
 @query("SELECT d.doc_id AS episode_index FROM documents d WHERE md5(d.text) NOT IN (SELECT md5(c.text) FROM documents c JOIN labels l USING (doc_id) WHERE l.quality = 1)")
@@ -415,18 +425,42 @@ def q_quality_summary(spark, sf_dir):
     return reports.quality_summary(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("kept"))).select("n", "n_kept", "n_removed", *r6("pct_removed"))
 
 
-@query("""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+_GREEDY = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 r AS (SELECT vec_id, v, row_number() OVER (ORDER BY v[1] DESC, lpad(vec_id::VARCHAR, 20, '0')) AS rank FROM v),
 e AS (SELECT b.rank, list(a.rank) AS near FROM r a JOIN r b ON a.rank < b.rank AND list_distance(a.v, b.v) <= 1.1 GROUP BY b.rank),
 w AS (SELECT r.vec_id, r.rank, coalesce(e.near, []) AS near FROM r LEFT JOIN e USING (rank)),
 g AS (SELECT 1::BIGINT AS rank, [1::BIGINT] AS kept UNION ALL SELECT g.rank + 1, CASE WHEN list_has_any(g.kept, w.near) THEN g.kept ELSE list_append(g.kept, w.rank) END FROM g JOIN w ON w.rank = g.rank + 1)
-SELECT w.vec_id AS episode_index, list_contains(f.kept, w.rank) AS kept FROM w, (SELECT kept FROM g ORDER BY rank DESC LIMIT 1) f""")
+"""
+
+
+@query(_GREEDY + """SELECT w.vec_id AS episode_index, list_contains(f.kept, w.rank) AS kept FROM w, (SELECT kept FROM g ORDER BY rank DESC LIMIT 1) f""")
 def q_greedy_dedup(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
     keep = v.select("episode_index", F.lpad(F.col("episode_index").cast("string"), 20, "0").alias("fingerprint"), F.get("v", 0).alias("keep_score"))
     return curation.greedy_dedup(keep, v.select("episode_index", "v"), 1.1).select("episode_index", "kept")
 
 
+@query(_GREEDY + """, f AS (SELECT kept FROM g ORDER BY rank DESC LIMIT 1), k AS (SELECT r.* FROM r, f WHERE list_contains(f.kept, r.rank)), x AS (SELECT r.* FROM r ANTI JOIN k USING (rank))
+SELECT x.vec_id AS episode_index, k.vec_id AS representative, round(list_distance(x.v, k.v), 6) AS distance FROM x JOIN k ON true QUALIFY row_number() OVER (PARTITION BY x.rank ORDER BY list_distance(x.v, k.v), k.rank) = 1""")
+def q_removed_representative(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    keep = v.select("episode_index", F.lpad(F.col("episode_index").cast("string"), 20, "0").alias("fingerprint"), F.get("v", 0).alias("keep_score"))
+    walk = K.cut(curation.greedy_dedup(keep, v.select("episode_index", "v"), 1.1))
+    found = curation.representatives(walk.where("not kept"), walk.where("kept"), v.select("episode_index", "v"))
+    return found.select("episode_index", "representative", *r6("distance"))
+
+
+@query("""WITH e AS (SELECT user_id AS ep, count(*) AS n FROM events GROUP BY user_id)
+SELECT ep AS episode_index, CASE WHEN ep % 4 = 0 THEN 'quarantined: unreadable episode (EOFError: cut)' WHEN ep % 4 = 1 THEN 'on the drop list' ELSE 'kept' END AS reason, ep % 4 > 1 AS kept FROM e""")
+def q_quarantine(spark, sf_dir):
+    """A fourth of the episodes does not read, a fourth is on the drop list; the rest is kept."""
+    frames = views.event_frames(spark, sf_dir)
+    lost = frames.select("episode_index").distinct().where("episode_index % 4 = 0").withColumn("problem", F.lit("EOFError: cut"))
+    listed = [r.episode_index for r in frames.select("episode_index").distinct().where("episode_index % 4 = 1").collect()]
+    result = curator.run(frames.where("episode_index % 4 <> 0"), curator.CurationSpec(baseline=False, drop=listed), quarantined=lost)
+    return result.decisions.select("episode_index", F.regexp_replace("reason", "^kept:.*", "kept").alias("reason"), "kept")
+
+
 @query(None)
 def q_coverage(spark, sf_dir):
     frames = views.line_frames(spark, sf_dir)

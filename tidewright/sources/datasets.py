@@ -103,7 +103,8 @@ def read_v21(spark: SparkSession, root: str, files: list[str] | None = None) ->
     return Dataset(root, "v2.1", info, episodes.drop("given"), frames)
 
 
-def read_v3(spark: SparkSession, root: str) -> Dataset:
+def read_v3(spark: SparkSession, root: str, files: list[str] | None = None) -> Dataset:
+    """``files`` are the data files to read, if not all."""
     info = json.loads((Path(root) / "meta/info.json").read_text())
     raw = spark.read.parquet(f"{root}/meta/episodes/*/*.parquet")
     cameras = [k for k, f in info["features"].items() if f.get("dtype") == "video" and f"videos/{k}/chunk_index" in raw.columns]
@@ -111,7 +112,7 @@ def read_v3(spark: SparkSession, root: str) -> Dataset:
     success = F.col("success") if "success" in raw.columns else F.lit(None).cast("boolean")
     video = F.array(*refs) if refs else F.array().cast("array<struct<video_key:string,shard_path:string,from_ts:double,to_ts:double>>")
     episodes = raw.select(F.col("episode_index").cast("long"), F.col("length").cast("int").alias("n_steps"), "tasks" if "tasks" in raw.columns else F.array().cast("array<string>").alias("tasks"), success.alias("success"), video.alias("video_refs"))
-    return Dataset(root, "v3.0", info, episodes, _frames(spark, f"{root}/data/*/*.parquet", info["features"]))
+    return Dataset(root, "v3.0", info, episodes, _frames(spark, files or f"{root}/data/*/*.parquet", info["features"]))
 
 
 def read_nested(episodes: DataFrame, fps: float = 10.0) -> DataFrame:
@@ -270,11 +271,21 @@ def _reindexed(data: Dataset, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept episodes renumbered from 0 in their order, with the offset of their first frame; and their frames."""
     chosen = data.episodes.join(kept.select("episode_index"), "episode_index", "left_semi")
     episodes = K.in_order(chosen, F.col("episode_index").asc(), total="n_steps").withColumn("out", F.col("rank") - 1).withColumnRenamed("before", "begin").drop("rank")
-    frames = data.frames.join(episodes.select("episode_index", "out", "begin"), "episode_index")
-    frames = frames.withColumns({"episode_index": F.col("out").cast("long"), "frame_index": F.col("step").cast("long"), "index": (F.col("begin") + F.col("step")).cast("long"), "task_index": F.lit(0).cast("long")})
+    numbers = [(i, task) for i, task in enumerate(_tasks(episodes))]
+    named = episodes.sparkSession.createDataFrame(numbers, "task_number long, task string")
+    episodes = K.cut(episodes.withColumn("task", F.coalesce(F.get("tasks", 0), F.lit(""))).join(named, "task", "left").drop("task"))
+    frames = data.frames.join(episodes.select("episode_index", "out", "begin", "task_number"), "episode_index")
+    frames = frames.withColumns({"episode_index": F.col("out").cast("long"), "frame_index": F.col("step").cast("long"), "index": (F.col("begin") + F.col("step")).cast("long"), "task_index": F.coalesce("task_number", F.lit(0)).cast("long")})
     return episodes, frames.select(*(F.col(f"`{k}`") for k in dict.fromkeys([*data.features, *POSITIONS]) if k in frames.columns), "step")
 
 
+def _tasks(episodes: DataFrame) -> list[str]:
+    """The tasks of episodes in the order in which they first come; an episode without one has the empty task."""
+    each = episodes.select("out", F.posexplode(F.when(F.size("tasks") > 0, F.col("tasks")).otherwise(F.array(F.lit("")))).alias("place", "task"))
+    first = each.groupBy("task").agg(F.min(F.struct("out", "place")).alias("first"))
+    return [r.task or "" for r in first.orderBy("first").collect()]
+
+
 def write_v21(data: Dataset, kept: DataFrame, dest: str, manifest: dict | None = None) -> dict:
     """Write kept episodes in the v2.1 layout; returns the checksums. One file per episode, each from one task."""
     guard(dest, data.root)
@@ -294,7 +305,7 @@ def write_v21(data: Dataset, kept: DataFrame, dest: str, manifest: dict | None =
         _meta(dest, data, rows, "v2.1")
         lines = [json.dumps({"episode_index": r.out, "length": r.n_steps, "tasks": list(r.tasks or [])} | ({"success": r.success} if r.success is not None else {})) for r in rows]
         Path(dest, "meta/episodes.jsonl").write_text("".join(x + "\n" for x in lines))
-        Path(dest, "meta/tasks.jsonl").write_text(json.dumps({"task_index": 0, "task": ""}) + "\n")
+        Path(dest, "meta/tasks.jsonl").write_text("".join(json.dumps({"task_index": i, "task": t}) + "\n" for i, t in enumerate(_tasks(episodes))))
         return _finish(data, frames, dest, manifest)
     except Exception:
         _set_aside(dest)
@@ -308,7 +319,9 @@ def write_v3(data: Dataset, kept: DataFrame, dest: str, manifest: dict | None =
         episodes, frames = _reindexed(data, kept)
         _single(frames.orderBy("episode_index", "step").drop("step"), f"{dest}/{V3_DATA}")
         rows = episodes.orderBy("out").select("out", "n_steps", "tasks", "success", "begin").collect()
-        _meta(dest, data, rows, "v3.0")
+        _meta(dest, data, rows, "v3.0", videos)
+        tasks = _tasks(episodes)
+        _single(data.frames.sparkSession.createDataFrame(list(enumerate(tasks)), "task_index long, task string"), f"{dest}/meta/tasks.parquet")
         out = episodes.select(F.col("out").cast("long").alias("episode_index"), F.lit(0).cast("long").alias("data/chunk_index"), F.lit(0).cast("long").alias("data/file_index"), F.col("begin").cast("long").alias("dataset_from_index"), (F.col("begin") + F.col("n_steps")).cast("long").alias("dataset_to_index"), F.col("n_steps").cast("long").alias("length"), "tasks", "success")
         _single(out.orderBy("episode_index"), f"{dest}/meta/episodes/chunk-000/file-000.parquet")
         if videos and "video_refs" in data.episodes.columns:
@@ -336,9 +349,12 @@ def _single(df: DataFrame, path: str) -> None:
     shutil.rmtree(staged)
 
 
-def _meta(dest: str, data: Dataset, rows: list, version: str) -> None:
+def _meta(dest: str, data: Dataset, rows: list, version: str, videos: bool = True) -> None:
     Path(dest, "meta").mkdir(parents=True, exist_ok=True)
     info = data.info | {"codebase_version": version, "total_episodes": len(rows), "total_frames": sum(r.n_steps for r in rows)}
+    if not videos:  # what is not there is not declared
+        info |= {"features": {k: f for k, f in info["features"].items() if f.get("dtype") != "video"}}
+        info.pop("video_path", None)
     if version == "v3.0":
         info |= {"data_path": "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet"}
     Path(dest, "meta/info.json").write_text(json.dumps(info, indent=2, sort_keys=True))
@@ -373,7 +389,7 @@ def validate(spark: SparkSession, root: str) -> list[str]:
         return problems
     found = data.frames.groupBy("episode_index").agg(F.count("*").alias("rows"))
     both = data.episodes.join(found, "episode_index", "full").where(~F.col("n_steps").eqNullSafe(F.col("rows")))
-    problems += [f"episode {r.episode_index} declares {r.n_steps} steps and has {r.rows}" for r in both.orderBy("episode_index").limit(20).collect()]
+    problems += [f"episode {r.episode_index} declares {r.n_steps} steps and has {r.rows}" for r in both.orderBy("episode_index").toLocalIterator()]
     n = data.episodes.count()
     if info.get("total_episodes", n) != n:
         problems.append(f"info declares {info['total_episodes']} episodes and there are {n}")
@@ -402,9 +418,20 @@ def _set_aside(dest: str) -> None:
         os.rename(dest, aside)
 
 
+def unreadable(spark: SparkSession, root: str, problems: dict[str, str]) -> DataFrame:
+    """(episode_index, problem) of the episodes whose data file does not read."""
+    if detect_version(root) == "v2.1":
+        found = [(int(re.search(r"episode_(\d+)", Path(f).name)[1]), why) for f, why in problems.items()]
+        return spark.createDataFrame(found, "episode_index long, problem string")
+    places = [(*(int(x) for x in re.search(r"chunk-(\d+)/file-(\d+)\.parquet$", f).groups()), why) for f, why in problems.items()]
+    files = spark.createDataFrame(places, "chunk long, file long, problem string")
+    episodes = spark.read.parquet(f"{root}/meta/episodes/*/*.parquet").select(F.col("episode_index").cast("long"), F.col("`data/chunk_index`").cast("long").alias("chunk"), F.col("`data/file_index`").cast("long").alias("file"))
+    return episodes.join(files, ["chunk", "file"]).select("episode_index", "problem")
+
+
 def readable(spark: SparkSession, root: str) -> tuple[list[str], dict[str, str]]:
-    """(files that read, why others do not) of a v2.1 dataset; executors open each file's footer and rows."""
-    files = sorted(str(p) for p in Path(root).glob("data/*/episode_*.parquet"))
+    """(data files that read, why others do not) of a dataset; executors open each file's footer and rows."""
+    files = sorted(str(p) for p in Path(root).glob("data/*/*.parquet"))
 
     def probe(batches):
         import pyarrow.parquet as pq
