@@ -107,9 +107,9 @@ def close_pairs(vectors: DataFrame, epsilon: float, block: int = PAIR_BLOCK) ->
     Vectors are put in order along the dimension in which they spread most and cut into blocks; two blocks
     meet only if their ranges come within ``epsilon``. A row goes out for a close pair and for no other.
     """
-    width = vectors.select(F.size("v").alias("n")).agg(F.max("n")).first()[0] or 1
-    spread = vectors.agg(*(F.stddev_pop(F.get("v", i)).alias(f"s{i}") for i in range(width))).first()
-    along = max(range(width), key=lambda i: (spread[i] is not None and spread[i] == spread[i], spread[i] or 0.0))
+    spread = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.stddev_pop("x").alias("s")).where(K.finite(F.col("s")))
+    widest = spread.orderBy(F.col("s").desc(), "i").first()
+    along = widest.i if widest else 0
     placed = K.in_order(vectors.select("episode_index", "v", F.coalesce(F.get("v", along), F.lit(0.0)).alias("p")), F.col("p"), F.col("episode_index"))
     placed = K.cut(placed.select("episode_index", "v", "p", F.floor((F.col("rank") - 1) / block).alias("block")))
     # one row for a block
