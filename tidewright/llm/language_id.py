@@ -139,10 +139,10 @@ def train(docs: DataFrame, sample: int = SAMPLE_ROWS, centroids: int = CENTROIDS
         return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(c), pa.string()), "place": pa.array(range(len(c)), pa.int32()), "least": pa.array([least] * len(c)), "v": pa.array([v.tobytes() for v in c.astype(np.float32)], pa.binary())})
 
     # a language's share of hashes is that of its distinct texts, so copies of one text do not fill it
-    distinct = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = distinct.groupBy("lang").agg(F.count_distinct("h").alias("n"))
-    share = F.least(F.lit(1.0), sample / F.col("n")) * 2**30
-    some = distinct.join(sizes, "lang").where(F.pmod("h", F.lit(2**30)) < share).dropDuplicates(["lang", "text"]).select("lang", "text")
+    h = F.xxhash64("text")
+    sizes = rows.select("lang", h.alias("h")).distinct().groupBy("lang").count().collect()  # a row for a language, as the model has
+    known = spark.createDataFrame([(r.lang, min(1.0, sample / r["count"]) * 2**30) for r in sizes], "lang string, share double")
+    some = rows.join(known, "lang").where(F.pmod(h, F.lit(2**30)) < F.col("share")).dropDuplicates(["lang", "text"]).select("lang", "text")
     fitted = some.mapInArrow(sampled, "lang string, v binary").groupBy("lang").applyInArrow(clustered, "lang string, place int, least double, v binary")
     found = sorted(fitted.collect(), key=lambda r: (r.lang, r.place))
     languages = sorted({r.lang for r in found})
