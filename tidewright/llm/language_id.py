@@ -142,7 +142,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_ROWS, centroids: int = CENTROIDS
     h = F.xxhash64("text")
     sizes = rows.select("lang", h.alias("h")).distinct().groupBy("lang").count().collect()  # a row for a language, as the model has
     known = spark.createDataFrame([(r.lang, min(1.0, sample / r["count"]) * 2**30) for r in sizes], "lang string, share double")
-    some = rows.join(known, "lang").where(F.pmod(h, F.lit(2**30)) < F.col("share")).dropDuplicates(["lang", "text"]).select("lang", "text")
+    # the driver holds these rows already, and the model that goes to every task is far larger
+    some = rows.join(F.broadcast(known), "lang").where(F.pmod(h, F.lit(2**30)) < F.col("share")).dropDuplicates(["lang", "text"]).select("lang", "text")
     fitted = some.mapInArrow(sampled, "lang string, v binary").groupBy("lang").applyInArrow(clustered, "lang string, place int, least double, v binary")
     found = sorted(fitted.collect(), key=lambda r: (r.lang, r.place))
     languages = sorted({r.lang for r in found})
