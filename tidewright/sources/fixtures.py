@@ -19,26 +19,29 @@ def in_memory(spark: SparkSession, episodes: Iterable[tuple[np.ndarray, np.ndarr
 
 
 def demonstrations(episodes: int = 8, steps: int = 24, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Smooth reaches, every odd one jittery."""
-    draw, out = np.random.default_rng(seed), []
-    for e in range(episodes):
-        goal = draw.uniform(0.5, 1.0, 2)
-        s = np.linspace(0, 1, steps)[:, None]
-        way = goal * (3 * s**2 - 2 * s**3)
-        action = np.diff(way, axis=0, prepend=way[:1]) * steps
-        if e % 2:
-            action = action + 0.4 * draw.normal(size=action.shape)
-        out.append((action, np.cumsum(action, axis=0) / steps))
+    """Reaches along an arc: speed rises and falls as a half sine while the heading turns. Odd episodes tremble."""
+    beat = np.sin(np.pi * (np.arange(steps) + 0.5) / steps)
+    out = []
+    for number in range(episodes):
+        draw = np.random.default_rng([seed, number])
+        heading = draw.uniform(-np.pi, np.pi) + draw.uniform(-0.8, 0.8) * np.linspace(-1, 1, steps)
+        velocity = beat[:, None] * np.column_stack([np.cos(heading), np.sin(heading)])
+        if number % 2:
+            velocity += draw.normal(scale=0.35, size=velocity.shape)
+        out.append((velocity, velocity.cumsum(axis=0) / steps))
     return out
 
 
-def identity(helpful: int = 12, harmful: int = 4, steps: int = 24, noise: float = 0.02, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+#: An identity task's helpful and harmful episodes, steps, and noise of the actions.
+IDENTITY = {"helpful": 12, "harmful": 4, "steps": 24, "noise": 0.02}
+
+
+def identity(helpful: int = IDENTITY["helpful"], harmful: int = IDENTITY["harmful"], steps: int = IDENTITY["steps"], noise: float = IDENTITY["noise"], seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """The action is the state, or its opposite in the harmful episodes, which come last."""
-    draw, out = np.random.default_rng(seed), []
-    for e in range(helpful + harmful):
-        s = draw.uniform(-1, 1, (steps, 2))
-        out.append(((1 if e < helpful else -1) * s + noise * draw.normal(size=s.shape), s))
-    return out
+    draw = np.random.default_rng(seed)
+    state = draw.uniform(-1, 1, (helpful + harmful, steps, 2))
+    sign = np.where(np.arange(helpful + harmful) < helpful, 1, -1)[:, None, None]
+    return list(zip(sign * state + draw.normal(scale=noise, size=state.shape), state))
 
 
 def write_demo(root: str, episodes: list[tuple[np.ndarray, np.ndarray]], hz: float = 10.0, task: str = "reach the goal") -> None:
