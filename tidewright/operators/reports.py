@@ -86,6 +86,30 @@ def diff(source: DataFrame, curated: DataFrame, key: str = "fingerprint") -> Dat
     return source.join(curated.select(key).distinct(), key, "left_anti")
 
 
+def diff_or_index(source: DataFrame, curated: DataFrame) -> DataFrame:
+    """As ``diff`` by fingerprint; by episode_index if no curated episode has a fingerprint."""
+    known = "fingerprint" in curated.columns and curated.where("fingerprint is not null and fingerprint <> ''").limit(1).count()
+    return diff(source, curated, "fingerprint" if known else "episode_index")
+
+
+def compare_signals(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(signal, scored_a, scored_b, median_a, median_b, delta) of two runs' scores; a signal of one run has nulls for the other."""
+    one, two = (signal_report(x).select("signal", F.col("scored").alias(f"scored_{n}"), F.col("median").alias(f"median_{n}")) for x, n in ((a, "a"), (b, "b")))
+    return one.join(two, "signal", "full").withColumn("delta", F.col("median_b") - F.col("median_a"))
+
+
+def length_confound(decisions: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(kept, n, mean_steps): whether a selection only picks short or long episodes."""
+    return decisions.select("episode_index", "kept").join(lengths.select("episode_index", "n_steps"), "episode_index").groupBy("kept").agg(F.count("*").alias("n"), F.avg("n_steps").alias("mean_steps"))
+
+
+def box(scores: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """(signal, group, n, low, q1, median, q3, high): what a box plot of each signal by group shows."""
+    rows = scores.where(K.finite(F.col("value"))).join(groups.select("episode_index", group), "episode_index")
+    quartiles = rows.groupBy("signal", group).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.percentile("value", [0.25, 0.5, 0.75]).alias("q"), F.max("value").alias("high"))
+    return quartiles.select("signal", group, "n", "low", *(F.get("q", i).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "high")
+
+
 def verify(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (episode_index, problem) in which two runs' decisions (episode_index, kept, reason) do not agree."""
     e, f = expected.select("episode_index", F.col("kept").alias("ek"), F.col("reason").alias("er")), found.select("episode_index", F.col("kept").alias("fk"), F.col("reason").alias("fr"))

@@ -12,7 +12,9 @@ import json
 import os
 import re
 import shutil
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from contextlib import AbstractContextManager, contextmanager
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 import numpy as np
@@ -45,12 +47,40 @@ class Dataset:
     def episode(self, index: int) -> DataFrame:
         return self.frames.where(F.col("episode_index") == index).orderBy("step")
 
+    def has(self, key: str) -> bool:
+        return key in self.frames.columns
+
+    def feature(self, key: str) -> DataFrame:
+        """(episode_index, step, t, the feature under its own name)."""
+        if not self.has(key):
+            raise KeyError(f"there is no feature {key!r}; there are {', '.join(sorted(self.features))}")
+        return self.frames.select("episode_index", "step", "t", F.col(f"`{key}`"))
+
+    def select_roles(self, *roles: str) -> DataFrame:
+        """Features of the roles in the order in which they are declared; roles without a feature add none."""
+        keys = [k for k in self.features if role_of(k) in roles and self.has(k)]
+        return self.frames.select("episode_index", "step", "t", *(F.col(f"`{k}`") for k in keys))
+
+    def view(self, role: str) -> DataFrame | None:
+        """The first feature of a role (ACTION, TIME, REWARD, SUCCESS, ...), None if there is none."""
+        key = next((k for k in self.features if role_of(k) == role and self.has(k)), None)
+        return None if key is None else self.feature(key)
+
     def subset(self, indices: DataFrame) -> "Dataset":
-        """Episodes of (episode_index, ord) rows; ord is their new order."""
-        episodes = self.episodes.join(indices, "episode_index")
+        """Episodes of (episode_index, ord) rows under their own numbers; they are written in the order of ``ord``."""
+        order = [c for c in ("ord",) if c in indices.columns]
+        episodes = self.episodes.drop("ord").join(indices.select("episode_index", *order), "episode_index")
         return Dataset(None, self.version, self.info, episodes, self.frames.join(indices.select("episode_index"), "episode_index", "left_semi"))
 
 
+def subset_hash(source: str, indices: DataFrame) -> str:
+    """sha256 of the source's hash and the episode numbers of a subset, in the order of ``ord``."""
+    h = hashlib.sha256(source.encode())
+    for r in indices.orderBy("ord").toLocalIterator():
+        h.update(str(r.episode_index).encode())
+    return h.hexdigest()
+
+
 def role_of(key: str) -> str:
     """What a feature is for, by its name."""
     if key.startswith("observation.image"):
@@ -134,33 +164,86 @@ def natural_key(name: str) -> tuple:
     return (0, int(m[1]), name) if m else (1, 0, name)
 
 
-def read_groups(spark: SparkSession, groups: dict[str, dict], pattern: str = r".*") -> DataFrame:
-    """Frames of in-memory groups {name: {"actions": (T, D), "obs": array or {key: array}, "rewards", ...}} as HDF5 and Zarr files hold them.
-
-    Groups that match the pattern are taken in natural order; observations are concatenated by key
-    and clipped to the actions.
-    """
-    rows = []
-    for i, name in enumerate(sorted((n for n in groups if re.fullmatch(pattern, n)), key=natural_key)):
-        g = groups[name]
-        actions = np.asarray(g["actions"], float)
-        obs = g.get("obs")
-        if isinstance(obs, dict):
-            obs = np.concatenate([np.asarray(obs[k], float).reshape(len(obs[k]), -1) for k in sorted(obs)], axis=1)
-        state = np.asarray(obs, float)[: len(actions)] if obs is not None else np.empty((len(actions), 0))
-        rewards = np.asarray(g.get("rewards", np.zeros(len(actions))), float)
-        rows += [(i, name, s, float(s), actions[s].tolist(), state[s].tolist(), float(rewards[s])) for s in range(len(actions))]
-    return spark.createDataFrame(rows, "episode_index long, group string, step int, t double, action array<double>, state array<double>, reward double")
+#: Parts of names that tell images from numbers.
+IMAGE_HINTS = ("image", "rgb", "depth")
 
 
 @dataclass(frozen=True)
 class GroupLayout:
-    """How a file of groups holds episodes: where they are, what they are called, and what tells success."""
+    """How a file of groups holds episodes: where they are, what they are called, and what tells success.
+
+    ``keys`` are the observations that make up the state, in order; all of them by name if none are given.
+    ``expose`` are observations that get a column ``observation.<key>`` of their own beside it.
+    """
 
     top: str = ""
     pattern: str = r".*"
     observations: tuple[str, ...] = ("obs", "observations")
     success: str = "none"  # last_reward: the last reward is positive; last_flag: the last success flag is set
+    keys: tuple[str, ...] | None = None
+    expose: tuple[str, ...] = ()
+    hz: float = 1.0
+
+
+def _group_frames(number: int, name: str, group: dict, layout: GroupLayout) -> pd.DataFrame:
+    """Rows of one group; observations are clipped to the actions, as some files hold one more than actions."""
+    actions = np.asarray(group["actions"], float)
+    n = len(actions)
+    flat = lambda x: np.asarray(x, float)[:n].reshape(n, -1)
+    seen = next((group[k] for k in layout.observations if k in group), None)
+    named = seen if isinstance(seen, dict) else {}
+    if named:
+        keys = sorted(named) if layout.keys is None else layout.keys
+        if pictures := [k for k in keys if any(hint in k.lower() for hint in IMAGE_HINTS)]:
+            raise NotImplementedError(f"observations that hold images are not read: {', '.join(pictures)}; name others in the layout")
+        if missing := [k for k in keys if k not in named]:
+            raise KeyError(f"group {name} has no observation {', '.join(missing)}")
+        state = np.concatenate([flat(named[k]) for k in keys], axis=1) if keys else np.empty((n, 0))
+    else:
+        state = flat(seen) if seen is not None else np.empty((n, 0))
+    rewards = np.asarray(group.get("rewards", np.zeros(n)), float).ravel()[:n]
+    columns = {"episode_index": number, "group": name, "step": np.arange(n, dtype=np.int32), "t": np.arange(n) / layout.hz, "action": list(actions.reshape(n, -1)), "state": list(state), "reward": rewards}
+    columns |= {f"observation.{k}": list(flat(named[k])) if k in named else [None] * n for k in layout.expose}
+    return pd.DataFrame(columns)
+
+
+def _group_schema(layout: GroupLayout) -> str:
+    return ", ".join(["episode_index long, group string, step int, t double, action array<double>, state array<double>, reward double", *(f"`observation.{k}` array<double>" for k in layout.expose)])
+
+
+def _named(names: Iterable[str], pattern: str) -> list[tuple[int, str]]:
+    return list(enumerate(sorted((n for n in names if re.fullmatch(pattern, n)), key=natural_key)))
+
+
+def read_groups(spark: SparkSession, groups: dict[str, dict], pattern: str = r".*", layout: GroupLayout = GroupLayout()) -> DataFrame:
+    """Frames of in-memory groups {name: {"actions": (T, D), "obs": array or {key: array}, "rewards", ...}} as HDF5 and Zarr files hold them.
+
+    Groups that match the pattern are taken in natural order; observations are concatenated by key
+    and clipped to the actions.
+    """
+    parts = [_group_frames(i, name, groups[name], layout) for i, name in _named(groups, pattern)]
+    rows = [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in row) for part in parts for row in part.itertuples(index=False, name=None)]
+    return spark.createDataFrame(rows, _group_schema(layout))
+
+
+def read_opened(spark: SparkSession, names: Iterable[str], opened: Callable[[], AbstractContextManager], layout: GroupLayout = GroupLayout()) -> DataFrame:
+    """Frames of the named groups of a file that executors open for themselves; a worker holds one group at a time.
+
+    ``opened`` gives a context with a mapping of names to groups, whose parts are arrays or mappings of arrays.
+    """
+    named = _named(names, layout.pattern)
+
+    def plain(x):
+        return {k: plain(x[k]) for k in x.keys()} if hasattr(x, "keys") else np.asarray(x[()] if hasattr(x, "shape") else x)
+
+    def rows(batches):
+        with opened() as top:
+            for pdf in batches:
+                for number, name in zip(pdf["episode_index"], pdf["group"]):
+                    yield _group_frames(int(number), name, plain(top[name]), layout)
+
+    index = spark.createDataFrame(named, "episode_index long, group string").repartition(max(1, min(len(named), 4 * spark.sparkContext.defaultParallelism)))
+    return index.mapInPandas(rows, _group_schema(layout))
 
 
 #: Layouts of known collections.
@@ -211,26 +294,45 @@ def decode_video(path: str, begin: float, end: float, most: int | None = None) -
     return [frames[i] for i in np.round(np.linspace(0, len(frames) - 1, most)).astype(int)]
 
 
-def read_zarr(spark: SparkSession, path: str, pattern: str = r".*") -> DataFrame:
+def _top(file, layout: GroupLayout):
+    return file[layout.top] if layout.top else file["data"] if "data" in file else file
+
+
+def read_zarr(spark: SparkSession, path: str, pattern: str = r".*", layout: GroupLayout = GroupLayout()) -> DataFrame:
+    """The driver reads the names of the groups, executors their arrays; ``path`` is one that all of them can open."""
     try:
         import zarr
     except ImportError as missing:
         raise ImportError("reading Zarr needs the package zarr") from missing
-    top = zarr.open(path, mode="r")
-    top = top["data"] if "data" in top else top
-    plain = lambda x: {k: x[k][...] for k in x} if hasattr(x, "keys") else x[...]
-    return read_groups(spark, {n: {("obs" if k in ("obs", "observations") else k): plain(top[n][k]) for k in top[n]} for n in top}, pattern)
+    layout = replace(layout, pattern=pattern) if pattern != r".*" else layout
+
+    @contextmanager
+    def opened():
+        import zarr
+
+        yield _top(zarr.open(path, mode="r"), layout)
 
+    return read_opened(spark, list(_top(zarr.open(path, mode="r"), layout).keys()), opened, layout)
 
-def read_hdf5(spark: SparkSession, path: str, pattern: str = r".*") -> DataFrame:
+
+def read_hdf5(spark: SparkSession, path: str, pattern: str = r".*", layout: GroupLayout = GroupLayout()) -> DataFrame:
+    """The driver reads the names of the groups, executors their arrays; ``path`` is one that all of them can open."""
     try:
         import h5py
     except ImportError as missing:
         raise ImportError("reading HDF5 needs the package h5py") from missing
+    layout = replace(layout, pattern=pattern) if pattern != r".*" else layout
+
+    @contextmanager
+    def opened():
+        import h5py
+
+        with h5py.File(path) as f:
+            yield _top(f, layout)
+
     with h5py.File(path) as f:
-        top = f["data"] if "data" in f else f
-        plain = lambda x: {k: x[k][()] for k in x} if hasattr(x, "keys") else x[()]
-        return read_groups(spark, {n: {("obs" if k in ("obs", "observations") else k): plain(v) for k, v in top[n].items()} for n in top}, pattern)
+        names = list(_top(f, layout).keys())
+    return read_opened(spark, names, opened, layout)
 
 
 def fingerprints(frames: DataFrame, features: list[str]) -> DataFrame:
@@ -268,9 +370,10 @@ def guard(dest: str, source: str | None) -> None:
 
 
 def _reindexed(data: Dataset, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Kept episodes renumbered from 0 in their order, with the offset of their first frame; and their frames."""
+    """Kept episodes renumbered from 0 in their order (``ord`` first if they have one), with the offset of their first frame; and their frames."""
     chosen = data.episodes.join(kept.select("episode_index"), "episode_index", "left_semi")
-    episodes = K.in_order(chosen, F.col("episode_index").asc(), total="n_steps").withColumn("out", F.col("rank") - 1).withColumnRenamed("before", "begin").drop("rank")
+    order = [F.col(c).asc() for c in ("ord", "episode_index") if c in chosen.columns]
+    episodes = K.in_order(chosen, *order, total="n_steps").withColumn("out", F.col("rank") - 1).withColumnRenamed("before", "begin").drop("rank")
     numbers = [(i, task) for i, task in enumerate(_tasks(episodes))]
     named = episodes.sparkSession.createDataFrame(numbers, "task_number long, task string")
     episodes = K.cut(episodes.withColumn("task", F.coalesce(F.get("tasks", 0), F.lit(""))).join(named, "task", "left").drop("task"))
