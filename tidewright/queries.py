@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import kernels as K
 from tidewright.operators import corruptions, curation, reports, stats
 from tidewright.operators import signals as S
-from tidewright.plans import curator
+from tidewright.plans import curator, plots
 from tidewright.sources import datasets, views
 from tidewright.sources.views import table
 
@@ -135,14 +135,36 @@ def q_embedded_redundancy(spark, sf_dir):
     return S.redundancy(v).select("episode_index", *r6("value"))
 
 
-@query(f"""WITH {_E1}, d AS (SELECT ep, abs(x - lag(x) OVER (PARTITION BY ep ORDER BY step)) AS d FROM e1),
+_VALIDITY = f"""WITH {_E1}, d AS (SELECT ep, abs(x - lag(x) OVER (PARTITION BY ep ORDER BY step)) AS d FROM e1),
 s AS (SELECT ep, count(*) AS n, coalesce(avg(CASE WHEN d < 1e-8 THEN 1.0 WHEN d IS NOT NULL THEN 0.0 END), 0) AS still FROM d GROUP BY ep), m AS (SELECT median(n) AS med FROM s),
-v AS (SELECT ep, CASE WHEN n < .5 * med THEN (.5 * med - n) / med ELSE 0 END AS tr, greatest(0, still - .1) AS st FROM s, m)
+v AS (SELECT ep, CASE WHEN n < .5 * med THEN (.5 * med - n) / med ELSE 0 END AS tr, greatest(0, still - .1) AS st FROM s, m)"""
+
+
+@query(f"""{_VALIDITY}
 SELECT ep AS episode_index, round(tr + st, 6) AS value, round(tr, 6) AS truncated, round(st, 6) AS stalled, tr + st = 0 AS is_valid FROM v""")
 def q_structural_validity(spark, sf_dir):
     return S.structural_validity(views.event_frames(spark, sf_dir)).select("episode_index", *r6("value", "truncated", "stalled"), "is_valid")
 
 
+@query(f"{_VALIDITY} SELECT count(*) FILTER (tr + st = 0) AS n_valid, count(*) FILTER (tr > 0) AS n_truncated, count(*) FILTER (st > 0) AS n_stalled, count(*) FILTER (tr IS NULL) AS n_nonfinite FROM v")
+def q_structural_tally(spark, sf_dir):
+    return reports.structural_tally(S.structural_validity(views.event_frames(spark, sf_dir)))
+
+
+@query(f"WITH {_E1}, d AS (SELECT ep, abs(x - 2 * lag(x) OVER w + lag(x, 2) OVER w) AS d FROM e1 WINDOW w AS (PARTITION BY ep ORDER BY step)) SELECT round(-avg(m), 6) AS quality FROM (SELECT ep, avg(d) AS m FROM d WHERE d IS NOT NULL GROUP BY ep)")
+def q_action_roughness(spark, sf_dir):
+    return reports.action_roughness(views.event_frames(spark, sf_dir)).select(*r6("quality"))
+
+
+@query("SELECT user_id AS episode_index, (row_number() OVER w - 1)::INT AS step, (row_number() OVER w - 1) / 20 AS t, value AS level, -value AS action FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def q_nested_steps(spark, sf_dir):
+    """Events as nested episodes, read back as frames."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_index"), F.struct("ts", "event_id", F.struct(F.col("value").alias("level")).alias("observation"), (-F.col("value")).alias("action")).alias("s"))
+    steps = F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["observation"].alias("observation"), s["action"].alias("action")))
+    frames = datasets.read_nested(e.groupBy("episode_index").agg(steps.alias("steps")), fps=20.0)
+    return frames.select("episode_index", "step", "t", F.col("`observation.level`").alias("level"), "action")
+
+
 @query(f"""WITH {_E2}, j AS (SELECT ep, l_tax, greatest(abs(l_quantity - lag(l_quantity) OVER w), abs(state - lag(state) OVER w)) AS jump FROM items WINDOW w AS (PARTITION BY ep ORDER BY step))
 SELECT ep AS episode_index, round(greatest(0, max(l_tax) - .005) + greatest(0, coalesce(max(jump), 0) - 1), 6) AS value, round(max(l_tax), 6) AS max_penetration, round(coalesce(max(jump), 0), 6) AS max_jump FROM j GROUP BY ep""")
 def q_sim_validity(spark, sf_dir):
@@ -293,6 +315,29 @@ def q_diff_anti(spark, sf_dir):
     return reports.diff(source, curated).select("episode_index")
 
 
+@query("SELECT doc_id AS episode_index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def q_diff_by_index(spark, sf_dir):
+    """The curated side has no fingerprints, so numbers are compared."""
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_index"), F.md5("text").alias("fingerprint"))
+    curated = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("episode_index"), F.lit(None).cast("string").alias("fingerprint"))
+    return reports.diff_or_index(source, curated).select("episode_index")
+
+
+_ORDERS = f"WITH {_E1}, {_gradient_sql('e1n', 'g1')}, {_gradient_sql('g1', 'g2')}, {_gradient_sql('g2', 'g3')}"
+
+
+@query(f"""{_ORDERS}, a AS (SELECT CASE WHEN count(*) >= 3 THEN avg(abs(x)) END AS v FROM g2 GROUP BY ep), b AS (SELECT CASE WHEN count(*) >= 4 THEN avg(abs(x)) END AS v FROM g3 GROUP BY ep)
+SELECT 'jerk' AS signal, (SELECT count(v) FROM a) AS scored_a, (SELECT count(v) FROM b) AS scored_b, round((SELECT median(v) FROM a), 6) AS median_a, round((SELECT median(v) FROM b), 6) AS median_b, round((SELECT median(v) FROM b) - (SELECT median(v) FROM a), 6) AS delta""")
+def q_compare_signals(spark, sf_dir):
+    frames = views.event_frames(spark, sf_dir)
+    return reports.compare_signals(S.jerk(frames), S.jerk(frames, order=3)).select("signal", "scored_a", "scored_b", *r6("median_a", "median_b", "delta"))
+
+
+@query(f"{_ORDERS} SELECT ep AS episode_index, round(min(abs(x)), 6) AS low, round(median(abs(x)), 6) AS median, round(max(abs(x)), 6) AS high FROM g2 WHERE x IS NOT NULL GROUP BY ep")
+def q_step_summary(spark, sf_dir):
+    return reports.step_summary(S.jerk_steps(views.event_frames(spark, sf_dir))).select("episode_index", *r6("low", "median", "high"))
+
+
 @query("SELECT source, count(*) AS n, min(n_chars) AS low, median(n_chars) AS median, max(n_chars) AS high FROM documents GROUP BY source")
 def q_profile_lengths(spark, sf_dir):
     return reports.distribution(views.document_episodes(spark, sf_dir), "n_steps", ["source"])
@@ -304,6 +349,27 @@ def q_length_histogram(spark, sf_dir):
     return reports.length_histogram(lengths, "n_steps")
 
 
+@query("WITH r AS (SELECT min(n_chars)::DOUBLE AS a, max(n_chars)::DOUBLE AS b FROM documents), p AS (SELECT least(19, floor((n_chars - a) / (b - a) * 20))::INT AS bin, a, (b - a) / 20 AS w FROM documents, r) SELECT bin, round(a + bin * w, 6) AS low, round(a + (bin + 1) * w, 6) AS high, count(*) AS n FROM p GROUP BY bin, a, w")
+def q_signal_histogram(spark, sf_dir):
+    return plots.histogram(lengths_as_scores(spark, sf_dir)).select("bin", *r6("low", "high"), "n")
+
+
+@query("SELECT source, count(*) AS n, min(n_chars)::DOUBLE AS low, round(quantile_cont(n_chars, .25), 6) AS q1, round(median(n_chars), 6) AS median, round(quantile_cont(n_chars, .75), 6) AS q3, max(n_chars)::DOUBLE AS high FROM documents GROUP BY source")
+def q_box_by_source(spark, sf_dir):
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_index"), "source")
+    return reports.box(lengths_as_scores(spark, sf_dir), sources, "source").select("source", "n", "low", *r6("q1", "median", "q3"), "high")
+
+
+def lengths_as_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_index"), F.lit("n_chars").alias("signal"), F.col("n_chars").cast("double").alias("value"))
+
+
+@query("SELECT quality = 1 AS kept, count(*) AS n, round(avg(n_chars), 6) AS mean_steps FROM documents JOIN labels USING (doc_id) GROUP BY kept")
+def q_length_confound(spark, sf_dir):
+    e = views.document_episodes(spark, sf_dir).where("success is not null")
+    return reports.length_confound(e.select("episode_index", F.col("success").alias("kept")), e).select("kept", "n", *r6("mean_steps"))
+
+
 _COVER = " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT CASE WHEN {c} IS NOT NULL THEN l_suppkey END) AS present, round(count(DISTINCT CASE WHEN {c} IS NOT NULL THEN l_suppkey END) / count(DISTINCT l_suppkey), 6) AS coverage, round(count({c}) / count({c}), 6) AS finite_fraction, round(min({c}), 6) AS low, round(max({c}), 6) AS high, round(avg({c}), 6) AS mean FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax"))
 
 
@@ -361,7 +427,7 @@ def q_corrupt_stall(spark, sf_dir):
     return corruptions.stall(views.event_frames(spark, sf_dir)).groupBy("episode_index").agg(F.count("*").alias("n_steps"))
 
 
-@query(None)
+@query("SELECT user_id AS episode_index, count(*) AS n_steps, kind FROM events, (SELECT unnest(['jitter', 'detour', 'wrong_target_offset', 'dropped_dof']) AS kind) GROUP BY user_id, kind")
 def q_corrupt_seeded(spark, sf_dir):
     out = None
     for kind in corruptions.SEEDED:
@@ -378,6 +444,16 @@ def q_detection_truncate(spark, sf_dir):
     return found.select("kind", "signal", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
 
 
+@query(f"""WITH {_E1}, d AS (SELECT ep, abs(x - lag(x) OVER (PARTITION BY ep ORDER BY step)) < 1e-8 AS still FROM e1),
+o AS (SELECT ep, count(*) AS n, count(*) FILTER (still) AS k, greatest(1, round_even(count(*) / 3, 0)) AS c FROM d GROUP BY ep),
+b AS (SELECT n, k, false AS bad FROM o UNION ALL SELECT n + c, k + c, true FROM o), m AS (SELECT median(n) AS med FROM b),
+v AS (SELECT bad, CASE WHEN n < .5 * med THEN (.5 * med - n) / med ELSE 0 END + greatest(0, CASE WHEN n > 1 THEN k / (n - 1) ELSE 0 END - .1) AS v FROM b, m)
+SELECT 'stall' AS kind, 'structural_validity' AS signal, (SELECT count(*) FROM o) AS n_pos, (SELECT count(*) FROM o) AS n_neg, round(avg(CASE WHEN p.v > q.v THEN 1.0 WHEN p.v = q.v THEN .5 ELSE 0 END), 4) AS auc FROM v p, v q WHERE p.bad AND NOT q.bad""")
+def q_detection_stall(spark, sf_dir):
+    found = corruptions.detection_matrix(views.event_frames(spark, sf_dir), ["stall"], {"s": S.structural_validity})
+    return found.select("kind", "signal", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
+
+
 @query(None)
 def q_detection_matrix(spark, sf_dir):
     chosen = {"jerk": S.jerk, "action_noise": S.action_noise, "structural_validity": S.structural_validity}
