@@ -6,12 +6,14 @@ keep_score). Order among equal keep scores is by fingerprint, so every selection
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from heapq import heapify, heappop, heapreplace
 from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -204,47 +206,160 @@ def greedy_dedup(keep: DataFrame, vectors: DataFrame, epsilon: float, k: int | N
     return marked.join(chosen, "episode_index", "left").select("episode_index", "rank", F.col("in").isNotNull().alias("kept"))
 
 
-#: Episodes that coverage selection takes at most: it needs all similarities, on one machine.
-COVERAGE_LIMIT = 20_000
+#: Coverage selection: entries of lists that the driver holds in a round of some candidates, and in the last one of all;
+#: distances that a round computes for its lists, and that one task is worth. They set the pace and never the result.
+COVERAGE_ENTRIES, COVERAGE_LAST, COVERAGE_DISTANCES, COVERAGE_TASK = 4_000_000, 8_000_000, 128_000_000, 4_000_000
 
 
-def coverage(keep: list[tuple[int, str, float]], vectors: dict[int, np.ndarray], k: int, quality_weight: float = 0.0) -> list[int]:
-    """Greedy facility location on at most ``COVERAGE_LIMIT`` episodes; leftovers are filled by keep order.
+def _steps(x: np.ndarray, y: np.ndarray, scale: float) -> np.ndarray:
+    """Distances of the rows of x to those of y in whole steps of 1 / ``scale``, alike whichever way round."""
+    out = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        d = x[:, i, None] - y[None, :, i]
+        d *= d
+        out += d
+    np.sqrt(out, out)
+    out *= scale
+    return np.rint(out, out)
 
-    Gains only shrink (the objective is submodular), so a stale gain bounds a fresh one.
+
+def _tiles(rows: np.ndarray, columns: np.ndarray, x: np.ndarray, scale: float, size: tuple[int, int] = (32, 512)):
+    """(first row, first column, distances) of pieces that stay in a processor's cache."""
+    for r in range(0, len(rows), size[0]):
+        near = x[rows[r : r + size[0]]]
+        for c in range(0, len(columns), size[1]):
+            yield r, c, _steps(near, x[columns[c : c + size[1]]], scale)
+
+
+def _lost(rows: np.ndarray, x: np.ndarray, scale: float, points: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What gains and lists of candidates lose when the distances that cover ``points`` fall from old to new."""
+    gain, entries = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    fall = old - new
+    for r, c, d in _tiles(rows, points, x, scale):
+        o, part = old[c : c + d.shape[1]], slice(r, r + len(d))
+        entries[part] += np.count_nonzero((d < o) & (d >= new[c : c + d.shape[1]]), axis=1)
+        np.subtract(o, d, out=d)
+        np.maximum(d, 0, out=d)
+        np.minimum(d, fall[c : c + d.shape[1]], out=d)
+        gain[part] += d.astype(np.int64).sum(1)
+    return gain, entries
+
+
+def _lists(rows: np.ndarray, x: np.ndarray, scale: float, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each candidate's list, points, distances): the points that a candidate is nearer to than what covers them."""
+    found = []
+    for r, c, d in _tiles(rows, np.arange(len(x)), x, scale):
+        i, j = np.nonzero(d < covered[c : c + d.shape[1]])
+        found.append((i + r, (j + c).astype(np.int32), d[i, j].astype(np.int64)))
+    who, points, far = (np.concatenate(f) for f in zip(*found))
+    by = np.argsort(who, kind="stable")
+    return np.bincount(who, minlength=len(rows)), points[by], far[by]
+
+
+class Local:
+    """Runs a function of some rows and all vectors here, a block of rows at a time."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+
+    def __call__(self, f: Callable, rows: np.ndarray, width: int, *args) -> list:
+        return [f(rows, self.x, *args)]
+
+    def close(self) -> None:
+        pass
+
+
+class Spread(Local):
+    """Runs it on the executors; what is less than a task is worth is done here."""
+
+    def __init__(self, x: np.ndarray, spark: SparkSession):
+        super().__init__(x)
+        self.context = spark.sparkContext
+        self.held = self.context.broadcast(x)
+
+    def __call__(self, f: Callable, rows: np.ndarray, width: int, *args) -> list:
+        n = min(len(rows), 2 * self.context.defaultParallelism, len(rows) * width // COVERAGE_TASK)
+        if n < 2:
+            return super().__call__(f, rows, width, *args)
+        held = self.held
+        return self.context.parallelize(np.array_split(rows, n), n).map(lambda part: f(part, held.value, *args)).collect()
+
+    def close(self) -> None:
+        self.held.destroy()
+
+
+def coverage(keep: list[tuple[int, str, float]], vectors: dict[int, np.ndarray], k: int, quality_weight: float = 0.0, spark: SparkSession | None = None) -> list[int]:
+    """Greedy facility location on all episodes; leftovers are filled by keep order.
+
+    Distances count in whole steps, as fine as 64-bit sums allow, so a gain is the same number in whatever order it is
+    summed, and equal gains go by keep order. Gains only shrink (the objective is submodular). A round takes the
+    candidates of the largest gains with their lists, and picks the best of them while it is ahead of what all others
+    had when the round began; then all gains are brought up to date for the points that changed, on the executors if
+    ``spark`` is given. The last round has the lists of all. The driver holds the vectors and a bounded number of entries.
     """
-    if len(keep) > COVERAGE_LIMIT:
-        raise ValueError(f"coverage takes {COVERAGE_LIMIT} episodes at most; {len(keep)} were given")
     order = sorted(keep, key=lambda r: (-r[2], r[1]))
     known = [r for r in order if r[0] in vectors]
-    chosen: list[int] = []
-    if known and k > 0:
-        x = np.array([vectors[r[0]] for r in known])
-        score = quality_weight * np.array([r[2] for r in known])
-
-        def similarity(i: int) -> np.ndarray:
-            return -np.linalg.norm(x - x[i], axis=1)
-
-        # nothing is covered yet, every gain is infinite: the first in keep order
-        covered, left = similarity(0), np.ones(len(known), bool)
-        left[0] = False
-        chosen.append(known[0][0])
-        bound = np.full(len(known), np.inf)
-        while left.any() and len(chosen) < k:
-            best, at = -np.inf, -1
-            for i in sorted(np.flatnonzero(left), key=lambda i: (-bound[i], i)):
-                if bound[i] < best or (bound[i] == best and i > at >= 0):
-                    break
-                bound[i] = np.maximum(0, similarity(i) - covered).sum() + score[i]
-                if bound[i] > best or (bound[i] == best and i < at):
-                    best, at = bound[i], i
-            chosen.append(known[at][0])
-            left[at] = False
-            covered = np.maximum(covered, similarity(at))
-    rest = [r[0] for r in order if r[0] not in set(chosen)]
+    picked = _greedy_cover(np.array([vectors[r[0]] for r in known], float), quality_weight * np.array([r[2] for r in known], float), k, spark) if known and k > 0 else []
+    chosen = [known[i][0] for i in picked]
+    taken = set(chosen)
+    rest = [r[0] for r in order if r[0] not in taken]
     return [*chosen, *rest[: max(0, k - len(chosen))]]
 
 
+def _greedy_cover(x: np.ndarray, score: np.ndarray, k: int, spark: SparkSession | None) -> list[int]:
+    """Rows of x in the order in which greedy facility location picks them, k at most; the first goes first."""
+    n = len(x)
+    span = float(np.sqrt((np.ptp(x, axis=0) ** 2).sum())) or 1.0
+    scale = 2.0 ** np.floor(np.log2(min(2.0**61 / (n * span), 2.0**52 / span, 2.0**61 / max(np.abs(score).max(), 1e-300))))
+    extra = np.rint(score * scale).astype(np.int64)
+    run = Spread(x, spark) if spark else Local(x)
+    everyone = np.arange(n)
+    # nothing is covered yet, every gain is infinite: the first in keep order
+    picked, left = [0], np.ones(n, bool)
+    left[0] = False
+    covered = _steps(x[:1], x, scale)[0]
+    parts = run(_lost, everyone, n, scale, everyone, covered, np.zeros(n))
+    gain, entries = np.concatenate([g for g, _ in parts]) + extra, np.concatenate([e for _, e in parts])
+    while len(picked) < k and left.any():
+        ranked = np.flatnonzero(left)
+        ranked = ranked[np.argsort(-gain[ranked], kind="stable")]
+        sizes = np.cumsum(entries[ranked])
+        if sizes[-1] <= COVERAGE_LAST:
+            m = len(ranked)
+        else:
+            m = max(1, min(int(np.searchsorted(sizes, COVERAGE_ENTRIES, "right")), COVERAGE_DISTANCES // n))
+        ahead = ranked[:m]
+        limit = (-int(gain[ranked[m]]), int(ranked[m])) if m < len(ranked) else (np.inf, n)
+        parts = run(_lists, ahead, n, scale, covered)
+        ends = np.cumsum(np.concatenate([p[0] for p in parts])).tolist()
+        points, far = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        place = {i: slice(a, b) for i, a, b in zip(ahead.tolist(), [0, *ends], ends)}
+        now = covered.astype(np.int64)
+        best = [(-g, i) for g, i in zip(gain[ahead].tolist(), ahead.tolist())]
+        heapify(best)
+        while best and len(picked) < k and best[0] < limit:
+            bound, i = best[0]
+            near, d = points[place[i]], far[place[i]]
+            fresh = (-int(np.maximum(now[near] - d, 0).sum() + extra[i]), i)
+            if fresh[0] > bound:
+                heapreplace(best, fresh)
+                continue
+            heappop(best)
+            picked.append(i)
+            left[i] = False
+            now[near] = np.minimum(now[near], d)
+        if len(picked) < k and left.any():
+            changed = np.flatnonzero(now < covered)
+            after = now.astype(float)
+            if len(changed):
+                parts = run(_lost, everyone, len(changed), scale, changed, covered[changed], after[changed])
+                gain -= np.concatenate([g for g, _ in parts])
+                entries -= np.concatenate([e for _, e in parts])
+            covered = after
+    run.close()
+    return picked
+
+
 def equal_n_baseline(valid: list[int], k: int, seed: int) -> list[int]:
     """A seeded random draw of k of the valid positions, sorted; NumPy's streams, on the driver."""
     state = np.random.SeedSequence([seed, BASELINE_STREAM]).generate_state(1)[0]

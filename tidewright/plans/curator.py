@@ -180,11 +180,8 @@ def run(
             kept = K.cut(walk.where("kept").orderBy("rank").limit(k))
             similar = C.representatives(walk.where("not kept"), kept, vectors)
         else:
-            n = valid.count()
-            if n > C.COVERAGE_LIMIT:
-                raise ValueError(f"coverage takes {C.COVERAGE_LIMIT} episodes at most; there are {n}")
             rows = [(r.episode_index, r.fingerprint, r.keep_score) for r in valid.collect()]
-            chosen = C.coverage(rows, {r.episode_index: np.array(r.v) for r in vectors.collect()}, k, spec.coverage_quality_weight)
+            chosen = C.coverage(rows, {r.episode_index: np.array(r.v) for r in vectors.collect()}, k, spec.coverage_quality_weight, spark)
             kept = K.cut(spark.createDataFrame([(i,) for i in chosen], "episode_index long").join(ranked, "episode_index"))
             removed = valid.join(kept, "episode_index", "left_anti").select("episode_index")
             # the best kept episode stands for those without a vector
